@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+from lexiform.llm.bpe import op6_byte_bpe
 from lexiform.llm.exact_dedup import OP4_SQL, op4_exact_dedup
+from lexiform.llm.html_text import op8_html_extraction
 from lexiform.llm.line_dedup import OP1_SQL, op1_line_dedup
+from lexiform.llm.media import op10_media_columns
+from lexiform.llm.quality import op7_quality_classifier
 from lexiform.llm.sharding import OP9_SQL, op9_sharding
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_byte_bpe": op6_byte_bpe,
+    "op7_quality_classifier": op7_quality_classifier,
+    "op8_html_extraction": op8_html_extraction,
     "op9_sharding": op9_sharding,
+    "op10_media_columns": op10_media_columns,
 }
+#: SQL can't express operators 6, 7, 8 and 10; tests hold them against brute force, round trips and held-out labels.
 ORACLE_SQL = {
     "op1_line_dedup": OP1_SQL,
     "op4_exact_dedup": OP4_SQL,
