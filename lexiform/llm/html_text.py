@@ -165,14 +165,14 @@ def main_text(page: str) -> str:
     found = blocks(page)
     has = any(b[3] for b in found)
     label = [BAD if has and not b[3] else first_pass(*b) for b in found]
-    before, after = [0] * len(found), [0] * len(found)
+    before, after = [(NEAR, 0)] * len(found), [(NEAR, 0)] * len(found)
     for seq, into in ((range(len(found)), before), (range(len(found) - 1, -1, -1), after)):
-        last, far = NEAR, 0
+        last = {False: (NEAR, 0), True: (NEAR, 0)}  # outside and inside an article
         for i in seq:
-            far += 1
-            if label[i] != NEAR:
-                last, far = label[i], 0
-            into[i] = (last, far)
+            part = found[i][3]
+            if label[i] != NEAR and not (part and found[i][2]):  # an insertion in an article says nothing of what it interrupts
+                last[part] = (label[i], i)
+            into[i] = (last[part][0], abs(i - last[part][1]))
     keep = []
     for i, b in enumerate(found):
         own = label[i]
