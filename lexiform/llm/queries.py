@@ -5,6 +5,7 @@ from __future__ import annotations
 from lexiform.llm.bpe import op6_byte_bpe
 from lexiform.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from lexiform.llm.html_text import op8_html_extraction
+from lexiform.llm.jaccard import op2_ngram_jaccard
 from lexiform.llm.line_dedup import OP1_SQL, op1_line_dedup
 from lexiform.llm.media import op10_media_columns
 from lexiform.llm.quality import op7_quality_classifier
@@ -12,6 +13,7 @@ from lexiform.llm.sharding import OP9_SQL, op9_sharding
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_quality_classifier": op7_quality_classifier,
