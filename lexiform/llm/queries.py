@@ -10,10 +10,12 @@ from lexiform.llm.line_dedup import OP1_SQL, op1_line_dedup
 from lexiform.llm.media import op10_media_columns
 from lexiform.llm.quality import op7_quality_classifier
 from lexiform.llm.sharding import OP9_SQL, op9_sharding
+from lexiform.llm.substring_dedup import OP3_SQL, op3_substring_dedup
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_quality_classifier": op7_quality_classifier,
@@ -24,6 +26,7 @@ QUERIES = {
 #: SQL can't express operators 6, 7, 8 and 10; tests hold them against brute force, round trips and held-out labels.
 ORACLE_SQL = {
     "op1_line_dedup": OP1_SQL,
+    "op3_substring_dedup": OP3_SQL,
     "op4_exact_dedup": OP4_SQL,
     "op9_sharding": OP9_SQL,
 }
