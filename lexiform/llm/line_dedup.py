@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiform.llm.common import documents, written
+from lexiform.llm.common import SPACE, documents, written
 
 #: Sites from which on a line is boilerplate.
 MIN_SITES = 8
@@ -15,58 +15,68 @@ LG_K = 12
 NEAR = 0.1
 
 
-def trimmed(line):
+def trimmed(line: Column) -> Column:
     """What two occurrences of a line are compared by: runs of white space as one space, ends trimmed."""
-    return F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))
+    return F.trim(F.regexp_replace(line, rf"[\x09-\x0D]{SPACE}*|\x20{SPACE}+", " "))
+
+
+def identity(line: Column) -> Column:
+    """A trimmed line's 128-bit identity, as two hashes with different seeds."""
+    return F.struct(F.xxhash64(line).alias("h"), F.xxhash64(F.lit(1), line).alias("g"))
+
+
+def lines_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, h, g) for each line of ``docs`` that isn't blank."""
+    lines = docs.select("doc_id", "source", F.explode(F.transform(F.split("text", "\n"), trimmed)).alias("line")).where("line <> ''")
+    return lines.select("doc_id", "source", identity(F.col("line")).alias("i")).select("doc_id", "source", "i.h", "i.g")
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """(h, line, first_id) of the lines of ``lines`` (doc_id, source, h, line) that stand on at least ``min_sites`` sites.
+    """(h, g, first_id) of the lines that stand on at least ``min_sites`` sites; first_id is the smallest document with it.
 
-    One HyperLogLog sketch of sites for each line hash, merged by the aggregation. Lines whose estimate is clear of
-    the threshold are decided by it; those near get an exact distinct count. Small sketches are exact lists, so a
-    line's first sites cost a few bytes. The text of each line that may pass is compared too, so a line
-    that only shares its hash with boilerplate stays.
+    A line with fewer occurrences than that can't have as many sites; the others get a HyperLogLog sketch of their sites each, merged by
+    the aggregation. Estimates clear of the threshold decide; those near it are replaced by exact distinct counts.
     """
-    spread = lines.groupBy("h").agg(F.count("*").alias("rows"), F.hll_sketch_agg("source", LG_K).alias("sketch")).where(F.col("rows") >= min_sites)
-    spread = written(spread.select("h", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") >= min_sites * (1 - NEAR)), "line-spread")
-    near = spread.where(F.col("sites") <= min_sites * (1 + NEAR)).select("h")
-    clear = spread.where(F.col("sites") > min_sites * (1 + NEAR)).select("h")
-    exact = lines.join(near, "h").select("h", "line", "source").distinct().groupBy("h", "line").agg(F.count("source").alias("sites")).where(F.col("sites") >= min_sites)
-    firsts = lines.join(clear.unionByName(exact.select("h")).distinct(), "h").groupBy("h", "line").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
-    firsts = firsts.where(F.col("n") >= min_sites).select("h", "line", "first_id")
-    return firsts
+    often = lines.groupBy("h", "g").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where(F.col("n") >= min_sites)
+    often = written(often, "often")
+    found = lines.join(often.select("h", "g"), ["h", "g"]).select("h", "g", "source")
+    spread = found.groupBy("h", "g").agg(F.hll_sketch_estimate(F.hll_sketch_agg("source", LG_K)).alias("sites"))
+    spread = written(spread.where(F.col("sites") >= min_sites * (1 - NEAR)), "spread")
+    clear = spread.where(F.col("sites") > min_sites * (1 + NEAR)).select("h", "g")
+    near = spread.where(F.col("sites") <= min_sites * (1 + NEAR)).select("h", "g")
+    exact = found.join(near, ["h", "g"]).distinct().groupBy("h", "g").agg(F.count("source").alias("sites")).where(F.col("sites") >= min_sites)
+    return often.select("h", "g", "first_id").join(clear.union(exact.select("h", "g")), ["h", "g"])
 
 
 def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """``docs`` with n_lines, n_removed and clean_text: text without the boilerplate lines of other sites.
 
-    Lines are parted by newline. A line counts as boilerplate when its trimmed form stands in documents of at least ``min_sites`` sources; the
+    Lines are parted by newline. A line is boilerplate when its trimmed form stands in documents of at least ``min_sites`` sources; the
     document with the smallest doc_id that has it keeps it (in every place there), all others lose it. Blank
     lines are never boilerplate. A null source is no site; a null or empty text has no lines and a null or empty
-    clean_text; a null doc_id never keeps a line. Repeated rows are treated alike. Other columns pass unchanged; names that clash with the new
-    ones raise an error.
+    clean_text; a null doc_id never keeps a line. Rows that repeat a doc_id lose the same lines. An empty table gives an empty result. Other
+    columns pass unchanged; names that clash with the new ones raise an error.
     """
-    clash = {"n_lines", "n_removed", "clean_text"} & set(docs.columns)
+    clash = {"n_lines", "n_removed", "clean_text", "__id", "__cut", "__kept"} & set(docs.columns)
     if clash:
         raise ValueError(f"columns {sorted(clash)} would be overwritten")
-    at = "doc_id", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), trimmed))).alias("line")
-    lines = docs.select("source", *at).where("line <> ''").select("doc_id", "source", F.xxhash64("line").alias("h"), "line")
+    lines = written(lines_of(docs), "lines")
     marks = written(boilerplate(lines, min_sites), "boilerplate")
-    hits = lines.join(marks, ["h", "line"]).where(~F.col("doc_id").eqNullSafe(F.col("first_id")))
-    # a row's own key: rows alike in doc_id and text lose the same lines
-    hits = hits.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line").alias("__cut"))
+    hits = lines.join(marks, ["h", "g"]).where(~F.col("doc_id").eqNullSafe(F.col("first_id")))
+    hits = hits.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(F.struct("h", "g")).alias("__cut"))  # at most a document's own lines
     out = docs.join(hits, F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")
     parts = F.split("text", "\n")
-    keep = F.when(F.col("__cut").isNull(), parts).otherwise(F.filter(parts, lambda x: ~F.array_contains("__cut", trimmed(x))))
+    keep = F.when(F.col("__cut").isNull(), parts).otherwise(F.filter(parts, lambda x: ~F.array_contains("__cut", identity(trimmed(x)))))
     out = out.withColumn("__kept", keep)
-    n = F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, 0).otherwise(F.size(parts)).cast("long")
-    left = F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, 0).otherwise(F.size("__kept")).cast("long")
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], n.alias("n_lines"), (n - left).alias("n_removed"), F.array_join("__kept", "\n").alias("clean_text"))
+    some = F.coalesce(F.length("text"), F.lit(0)) > 0
+    n = F.when(some, F.size(parts)).otherwise(0).cast("long")
+    left = F.when(some, F.size("__kept")).otherwise(0).cast("long")
+    clean = F.when(F.col("__cut").isNull(), F.col("text")).otherwise(F.array_join("__kept", "\n"))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], n.alias("n_lines"), (n - left).alias("n_removed"), clean.alias("clean_text"))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup(documents(spark, sf_dir))
+    out = line_dedup(documents(spark, sf_dir).select("doc_id", "source", "text"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("clean_text", F.lit("")), 256).alias("kept_sha256"))
 
 
