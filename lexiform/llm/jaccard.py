@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiform.llm.common import components, documents, drop_written, written
@@ -15,13 +15,15 @@ from lexiform.llm.words import mixed, shingles, word_hashes
 #: Words of a shingle; similarity from which two sets link, in hundredths.
 SHINGLE, PERCENT = 5, 75
 #: Keys by which a set finds a set like it before the index is built.
-KEYS = 4
+KEYS = 16
+#: Keys of KEYS that two sets have in common before they're compared ahead of the index; sets of a random cell, and neighbours that each meets in it.
+ALIKE, CELL, STEPS = 8, 64, 3
 #: Most frequent shingles that go last in the order of a set's shingles; the bound of what is broadcast (16 bytes each).
 FREQUENT = 1 << 17
 #: A block of an index list holds the sets of sizes [1.15^b, 1.15^(b+1)).
 BLOCK = 1.15
 
-_KEY_SALT = np.random.default_rng(141421).integers(1, 1 << 63, KEYS, dtype=np.uint64)
+_CUTS = np.arange(KEYS, dtype=np.uint64) * np.uint64((1 << 64) // KEYS)
 
 
 def lower_ascii(text: str | None) -> bytes:
@@ -42,7 +44,11 @@ def _sets(batch_texts: pa.Array) -> Iterator[np.ndarray]:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), k (set key, null for an empty set) and KEYS smallest-shingle keys, one row for each row."""
+    """doc_id, n (set size), k (set key, null for an empty set) and m, one row for each row.
+
+    m are KEYS shingles of the set: the first hash from each of KEYS equal cuts of the range of hashes on, around its end. Two sets have
+    one of them in common about as often as their similarity says.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -50,7 +56,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             for s in _sets(b.column(1)):
                 n.append(len(s))
                 k.append(set_key(s) if len(s) else None)
-                m.append([int(mixed(s ^ c).min().view(np.int64)) for c in _KEY_SALT] if len(s) else [])
+                m.append(s[np.searchsorted(s, _CUTS) % len(s)].view(np.int64) if len(s) else [])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(m, pa.list_(pa.int64()))], ["doc_id", "n", "k", "m"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, k long, m array<long>")
@@ -161,13 +167,9 @@ def candidates(index: DataFrame, relation: DataFrame) -> DataFrame:
     link with: with n - p shingles left the overlap can't reach 0.75 / 1.75 of both sizes beyond ``reach``. It is sent only to the blocks
     within that; all others are skipped. A list whose sets already have one component is skipped whole: what one of them links with, they all reach.
     """
-    cold = index.where("not hot").select("t", "k", "n", "p")
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("t")
-    cold = cold.withColumns({"lo": F.min("k").over(w), "hi": F.max("k").over(w)}).where("lo < hi").drop("lo", "hi")
-    hot = index.where("hot").select("t", "k", "n", "p").distinct()
-    lists = cold.distinct().union(hot)
+    # a frequent shingle is in several sets for certain: its entries are spread by set, and only rare ones are gathered to see whether two sets have them
+    w = Window.partitionBy("t", F.when(F.col("hot"), F.col("k")))
+    lists = index.withColumns({"lo": F.min("k").over(w), "hi": F.max("k").over(w)}).where("hot or lo < hi").select("t", "k", "n", "p").distinct()
     lists = written(lists.join(relation, "k").select("t", "k", "n", "p", "component"), "index")
     mixed_ = lists.groupBy("t").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("t")
     lists = lists.join(mixed_, "t")
@@ -189,7 +191,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     component_id is the smallest doc_id reachable by links. Texts without words link with nothing. Rows without doc_id have no
     component (null) and take part in no link; rows that repeat a doc_id are one node, so their texts' links join. An empty table gives an empty result.
 
-    Equal sets are one node from the start. Sets that share one of four smallest-hash keys are tested against the key's smallest set;
+    Equal sets are one node from the start. Sets that share one of KEYS shingle keys are tested against the key's most central set;
     the links found are relations, whose components answer for all their members. The exact index join then finds every link between components.
     Sets are compared by 64-bit hashes of their shingles.
     """
@@ -213,10 +215,28 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
         return found.select("k", "text").mapInArrow(run, "k long, text string").dropDuplicates(["k"])
 
-    keys = known.select("k", F.posexplode("m").alias("i", "m")).distinct()
-    first = keys.groupBy("i", "m").agg(F.min("k").alias("pivot"), F.max("k").alias("last")).where("pivot < last").drop("last")
-    stars = written(keys.join(first, ["i", "m"]).where("k <> pivot").select(F.col("pivot").alias("a"), F.col("k").alias("b")).distinct(), "stars")
+    sets = known.groupBy("k").agg(F.first("m").alias("m"))
+    keys = sets.select("k", F.posexplode("m").alias("i", "v"), "m")
+    size = keys.groupBy("i", "v").agg(F.count("*").alias("c")).where("c > 1")
+    keys = keys.join(size, ["i", "v"])
+    central = keys.groupBy("k").agg(F.sum("c").alias("score"))  # the set that most others are like has the most common keys
+    keys = written(keys.join(central, "k"), "keys")
+    first = keys.groupBy("i", "v").agg(F.max_by(F.struct("k", "m"), F.struct("score", "k")).alias("pivot"))
+    alike = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: (u == v).cast("int")), F.lit(0), lambda r, z: r + z) >= ALIKE
+    stars = keys.join(first, ["i", "v"]).where((F.col("k") != F.col("pivot.k")) & alike(F.col("m"), F.col("pivot.m")))
+    stars = written(stars.select(F.col("pivot.k").alias("a"), F.col("k").alias("b")).distinct(), "stars")
     near = written(linked(stars, chosen(stars)), "near")
+    # sets that aren't linked with the central one meet a few others of theirs: neighbours in small random cells of a key's sets
+    part = written(components(near), "relation")
+    lab = keys.join(part, keys.k == part.node, "left").select("k", "i", "v", "m", "c", F.coalesce("component", "k").alias("component"))
+    w = Window.partitionBy("i", "v", F.expr(f"pmod(xxhash64(k, i), cast(ceil(c / {CELL}) as int))")).orderBy(F.xxhash64("i", "k"), "k")
+    met = None
+    for step in range(1, STEPS + 1):
+        other = lab.select("k", "m", "component", F.lag(F.struct("k", "m", "component"), step).over(w).alias("o")).where("o.component <> component")
+        other = other.where(alike(F.col("m"), F.col("o.m"))).select(F.least("k", "o.k").alias("a"), F.greatest("k", "o.k").alias("b"))
+        met = other if met is None else met.union(other)
+    met = written(met.distinct(), "neighbours")
+    near = written(near.union(linked(met, chosen(met))), "near")
     twice = known.select("doc_id", "k").distinct()
     same = twice.groupBy("doc_id").agg(F.min("k").alias("a"), F.max("k").alias("z")).where("a < z").select("doc_id", "a")
     same = twice.join(same, "doc_id").where("k <> a").select("a", F.col("k").alias("b"))  # texts of one doc_id

@@ -110,7 +110,7 @@ def shingles(words: np.ndarray, size: int = 5) -> np.ndarray:
     """Sorted distinct hashes of a text's ``size``-word shingles; a shorter text is one shingle, no words give none."""
     if 0 < len(words) < size:
         own = np.zeros(1, np.uint64)
-        for k, w in enumerate(words):
-            own += w * _SLOT[k + 32]
+        for k in range(len(words)):
+            own += words[k : k + 1] * _SLOT[k + 32]
         return mixed(own + np.uint64(len(words)))
     return np.unique(window_hashes(words, size))
