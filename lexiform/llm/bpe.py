@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from lexiform.llm.common import documents
+from lexiform.llm.common import documents, slices
 
 #: Texts longer than this many characters are cut at safe boundaries before they are encoded.
 LONG = 1 << 16
@@ -74,7 +74,7 @@ def encoded(docs: DataFrame, ranks: bytes, pattern: str, ids: bool = False, text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, names = encoder(*shared.value)
-        for b in batches:
+        for b in slices(batches):
             n, a, d, all_ids = [], [], [], []
             for t in b.column(b.num_columns - 1):
                 got = encode(t.as_py() or "", enc)
@@ -99,7 +99,7 @@ def decoded(tokens: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, _ = encoder(*shared.value)
-        for b in batches:
+        for b in slices(batches):
             raw = [None if x.as_py() is None else enc.decode_bytes(x.as_py()) for x in b.column(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(raw, pa.binary())], [*keep, "bytes"])
 

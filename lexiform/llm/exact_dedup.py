@@ -19,7 +19,7 @@ def named(pieces: DataFrame, keys: list[str]) -> DataFrame:
     The names follow the sort order and are unique whatever the hash values; they're written because a
     recomputed sort may cut its ranges elsewhere.
     """
-    ordered = pieces.distinct().orderBy(*keys)
+    ordered = pieces.distinct().repartitionByRange(keys[0]).sortWithinPartitions(*keys)  # ranges of the first key alone: the driver sees no blocks
     return ordered.withColumn("name", F.monotonically_increasing_id())
 
 

@@ -9,6 +9,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from lexiform.llm.common import slices
+
 #: Elements whose content is never text.
 DROPPED = frozenset("script style noscript template svg math iframe object canvas audio video head select textarea button datalist".split())
 #: Elements that hold what surrounds an article.
@@ -195,7 +197,7 @@ def extracted(pages: DataFrame, column: str = "html") -> DataFrame:
         raise ValueError("columns text and n_chars would be overwritten")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts = [main_text(x.as_py() or "") for x in b.column(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [*keep, "text", "n_chars"])
 

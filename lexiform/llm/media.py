@@ -18,14 +18,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from lexiform.llm.common import documents, new_path, written
+from lexiform.llm.common import documents, new_path, slices, written
 
 #: Samples in a row of the image; payloads are padded to a multiple of it.
 WIDTH = 64
 #: An archive is closed once it holds this many bytes; a read task covers this many.
-ARCHIVE_BYTES, RANGE_BYTES = 32 << 20, 8 << 20
+ARCHIVE_BYTES, RANGE_BYTES = 16 << 20, 4 << 20
 #: Reads of one member before it is given up, and members in an Arrow batch's bytes.
-TRIES, BATCH_BYTES = 4, 4 << 20
+TRIES, BATCH_BYTES = 4, 1 << 20
 MANIFEST = "_MANIFEST.json"
 #: Fixed value: the signature of a PNG file.
 PNG = b"\x89PNG\r\n\x1a\n"
@@ -95,7 +95,7 @@ def write_archives(rows: DataFrame, folder: str) -> None:
                     out.write(buf.getbuffer())
                 made.append((name, buf.tell(), n))
 
-        for b in batches:
+        for b in slices(batches):
             for name, text in zip(b.column(0), b.column(1), strict=True):
                 data = (text.as_py() or "").encode()
                 info = zipfile.ZipInfo(f"{n}/{'' if name.as_py() is None else name.as_py()}")
@@ -244,7 +244,7 @@ def described(media: DataFrame) -> DataFrame:
     kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for name, media, error in zip(*(b.column(i) for i in range(3)), strict=True):
                 data, why = media.as_py(), error.as_py()

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiform.llm.common import documents, drop_written, written
+from lexiform.llm.common import documents, drop_written, slices, written
 from lexiform.llm.quality import held_out
 from lexiform.llm.words import word_hashes
 
@@ -104,7 +104,7 @@ def with_posteriors(docs: DataFrame, model: DomainModel, keep: list[str]) -> Dat
     need = list(dict.fromkeys([*keep, "text"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             n, z = [], []
             for w, _, _ in word_hashes([(t.as_py() or "").encode().lower() for t in b.column(need.index("text"))]):
                 n.append(len(w))

@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiform.llm.common import documents
+from lexiform.llm.common import documents, slices
 
 #: Texts are compressed in pieces of so many bytes, so that the dictionary counts throughout a long text.
 PIECE = 1024
@@ -128,7 +128,7 @@ def scored(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bad, good = model.compressors()
         mean, sd, th = (np.array(model.coef[i : i + 3]) for i in (0, 3, 6))
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(b.schema.get_field_index("text"))
             x = np.array([features((t.as_py() or "").encode(), bad, good) for t in texts]).reshape(-1, 3)
             score = 1 / (1 + np.exp(-np.clip((x - mean) / sd @ th + model.coef[9], -30, 30)))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiform.llm.common import documents, written
+from lexiform.llm.common import documents, give_back, slices, written
 from lexiform.llm.words import window_hashes, word_hashes
 
 #: Words of a window: what repeats over so many consecutive words is removed.
@@ -19,7 +19,7 @@ WINDOW = 50
 #: Words of a gram; each window is represented by its smallest gram.
 GRAM = 8
 #: Words of one reference shard, which bounds an automaton.
-SHARD_WORDS = 60_000
+SHARD_WORDS = 40_000
 
 
 class SuffixAutomaton:
@@ -122,7 +122,7 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
     """(h, doc_id): the distinct anchors of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             found = [np.unique(anchors(w)[0]) for w, _, _ in word_hashes([(t.as_py() or "").encode() for t in b.column(1)])]
             size = np.array([len(f) for f in found])
             if size.sum():
@@ -144,7 +144,7 @@ def parts(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("th", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string()), ("text", pa.string()), *((c, pa.int64()) for c in ("h", "c1", "c2")), ("first", pa.int32()), ("windows", pa.int32()), ("context", pa.string())])
-        for b in batches:
+        for b in slices(batches):
             raw = [(t.as_py() or "").encode() for t in b.column(1)]
             out: list[tuple] = []
             held = 0
@@ -162,7 +162,7 @@ def parts(rows: DataFrame) -> DataFrame:
                     d = hashlib.blake2b(context, digest_size=16).digest()
                     out.append(("context", doc, th, None, None, None, int(g[k : k + 1].view(np.int64)[0]), int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), a, z - WINDOW - a + 1, context.decode()))
                     held += len(context)
-                if held > 8_000_000:
+                if held > 2_000_000:
                     yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], f.type) for j, f in enumerate(schema)], schema=schema)
                     out, held = [], 0
             if out:
@@ -207,7 +207,7 @@ def lowest(contexts: DataFrame) -> DataFrame:
         shard: list[tuple] = []
         own: list[tuple] = []
         size = 0
-        for b in batches:
+        for b in slices(batches):
             for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if own and own[0][0] != r[0]:
                     if len(own) == 1:
@@ -219,6 +219,7 @@ def lowest(contexts: DataFrame) -> DataFrame:
                     if size >= SHARD_WORDS:
                         solve(shard)
                         shard, size = [], 0
+                        give_back()
                     if len(done) > 5000:
                         yield flush()
                 own.append(r)
@@ -234,11 +235,11 @@ def lowest(contexts: DataFrame) -> DataFrame:
     return contexts.select("h", "c1", "c2", "context", "doc").mapInArrow(run, "c1 long, c2 long, low array<long>")
 
 
-def finished(rows: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, kept_text from (doc_id, n_words, text, starts): windows at ``starts`` go."""
+def finished(rows: DataFrame, with_text: bool) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 (and kept_text where asked for) from (doc_id, n_words, text, starts): windows at ``starts`` go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             n, sha, kept = [], [], []
             for text, starts in zip(b.column(2), b.column(3), strict=True):
                 words = text.as_py().encode().split()
@@ -250,14 +251,15 @@ def finished(rows: DataFrame) -> DataFrame:
                 left = [w for w, x in zip(words, gone.tolist(), strict=True) if not x]
                 n.append(int(gone.sum()))
                 sha.append(kept_digest(left))
-                kept.append(b" ".join(left).decode())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+                if with_text:
+                    kept.append(b" ".join(left).decode())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(sha, pa.string()), *([pa.array(kept, pa.string())] if with_text else [])], ["doc_id", "n_words", "n_removed", "kept_sha256", *(["kept_text"] if with_text else [])])
 
-    return rows.select("doc_id", "n_words", "text", "starts").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return rows.select("doc_id", "n_words", "text", "starts").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
 
 
-def substring_dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, kept_text (null for documents that keep every word) for every row of ``docs`` (doc_id, text).
+def substring_dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 and, unless ``with_text`` is off, kept_text (null for documents that keep every word) for every row of ``docs`` (doc_id, text).
 
     A word goes when some window of 50 consecutive words over it also starts in a document with a smaller doc_id; windows are those of the
     input. A null text has no words. Repeats within a document stay. Rows without a doc_id are no reference and lose nothing. Rows that repeat a
@@ -281,13 +283,13 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     hits = places.join(low, ["c1", "c2"]).select("doc_id", "th", F.expr("filter(transform(low, (x, i) -> if(x < doc_id, first + i, -1)), x -> x >= 0)").alias("at")).where("size(at) > 0")
     hits = hits.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("at")).alias("starts"))  # at most a text's own windows
     texts = table.where("kind = 'text'").select("doc_id", "th", "n_words", "text")
-    changed = finished(texts.join(hits.hint("merge"), ["doc_id", "th"], "left"))
-    same = table.where("kind = 'done'").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"), F.lit(None).cast("string").alias("kept_text"))
+    changed = finished(texts.join(hits.hint("merge"), ["doc_id", "th"], "left"), with_text)
+    same = table.where("kind = 'done'").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"), *([F.lit(None).cast("string").alias("kept_text")] if with_text else []))
     return changed.union(same)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(documents(spark, sf_dir)).drop("kept_text")
+    return substring_dedup(documents(spark, sf_dir), with_text=False)
 
 
 OP3_SQL = r"""
