@@ -30,8 +30,9 @@ STOP = frozenset(
     "der die das und ist ein eine den dem mit von zu für auf im nicht als auch sich es des oder aus bei wird "
     "el los las y del se su para al con por lo más como una".split()
 )
-#: Characters that make a block long, and words of it that must be common for running text.
+#: Characters that make a block long or of medium length, and the share of its words that must be common for running text in either.
 LONG_CHARS, STOP_SHARE = 140, 0.2
+MEDIUM_CHARS, HIGH_SHARE = 70, 0.3
 #: Share of a block's characters in links from which it is a list of links.
 LINK_SHARE = 0.5
 
@@ -151,6 +152,8 @@ def first_pass(text: str, linked: int, around: bool, inside: bool, heading: bool
     common = sum(w.strip(".,;:!?\"'()") in STOP for w in words) / len(words)
     if len(text) >= LONG_CHARS and (common >= STOP_SHARE or inside):
         return GOOD
+    if len(text) >= MEDIUM_CHARS and common >= HIGH_SHARE:
+        return GOOD
     if inside and common >= STOP_SHARE:
         return GOOD
     return NEAR
