@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexiform.config import CAP_TEMPLATE, Options
 from lexiform.functions import text as T
 from lexiform.operators import decide, evaluate, grammar, index, merge, rehydrate, retrieve, route, score
+from lexiform.shipping import ship
 from lexiform.streaming.refresh import Generations, SingleFlight, drain
 
 
@@ -27,15 +28,16 @@ def rank(queries: DataFrame, docs: DataFrame, options: Options | None = None, fi
     ``queries`` is from ``prepared_queries``, ``docs`` from ``index.candidates`` or ``index.build``. ``fill`` also ranks the first candidates without any evidence.
     """
     o = options or Options()
+    queries, docs = queries.persist(), docs.persist()  # each is read by every branch below; a lost part is computed again from its lineage
     hits = retrieve.exact(queries, docs, o.max_candidates)
     folded = retrieve.exact_folded(queries.join(hits.select("qid").distinct(), "qid", "left_anti"), docs)
-    whole = hits.select("qid", "cid").union(folded)
+    whole = hits.select("qid", "cid").union(folded).persist()
     rest = queries.join(whole.select("qid").distinct(), "qid", "left_anti")
-    found = retrieve.prefilter(rest, index.postings(docs), index.gram_postings(docs))
+    found = retrieve.prefilter(rest, index.postings(docs), index.gram_postings(docs)).persist()
     if fill:
         found = retrieve.filled(found, rest, docs)
     slots = index.slot_index(docs)
-    matched = retrieve.slot_tokens_of_queries(rest, slots, index.literal_vocabulary(docs))
+    matched = retrieve.slot_tokens_of_queries(rest, slots, index.literal_vocabulary(docs)).persist()
     extra = retrieve.slot_rescue(rest, docs, matched, found)
     wild = retrieve.wildcard_rescue(retrieve.wildcard_pass(docs.where(F.size("wildcard_slots") > 0), rest), found.unionByName(extra, allowMissingColumns=True))
     none = F.lit(0.0)
@@ -60,6 +62,7 @@ class Engine:
     """Holds candidates by language and serves ranking, matching, diagnostics and evaluation."""
 
     def __init__(self, spark: SparkSession, options: Options | None = None):
+        ship(spark)
         self.spark, self.options = spark, options or Options()
         self.generations = Generations()
         self._flight = SingleFlight(self.generations)

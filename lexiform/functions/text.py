@@ -76,7 +76,7 @@ def normalize_any(text: Column) -> Column:
     return F.when(plain, normalize(text)).otherwise(_normalize_arrow(F.when(~plain, text)))
 
 
-_ACCENTED = "".join(c for c in map(chr, range(0xC0, 0x250)) if len(d := unicodedata.normalize("NFD", c)) > 1 and d[0].isascii() and c.islower())
+_ACCENTED = "".join(c for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if len(d := unicodedata.normalize("NFD", c)) > 1 and d[0].isascii() and c.islower())
 _BARE = "".join(unicodedata.normalize("NFD", c)[0] for c in _ACCENTED)
 
 

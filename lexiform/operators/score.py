@@ -28,26 +28,25 @@ def intent_score(variants: Column, query: Column, own: Column, query_numberless:
     return F.when(F.size(variants) == 0, S.query_coverage(query, own)).when(share >= 1, F.lit(1.0)).otherwise(S.positional_intent(variants, query, own))
 
 
-def slot_conflict(score: Column, slot_tokens: Column, query_slot_tokens: Column, own: Column, query: Column, min_confidence: float = C.MIN_CONFIDENCE) -> Column:
-    """Scores fall where the query's slot tokens aren't the candidate's, by the share of either side's tokens that meet."""
-    allowed = F.array_union(slot_tokens, own)
-    q_hit = F.size(F.filter(query_slot_tokens, lambda t: near_any(t, allowed)))
-    c_hit = F.size(F.filter(slot_tokens, lambda t: near_any(t, query)))
+def slot_conflict(slot_tokens: Column, query_slot_tokens: Column, q_near: Column, c_near: Column, min_confidence: float = C.MIN_CONFIDENCE) -> Column:
+    """The factor where not all of a query's slot tokens are the candidate's: by the share of either side's tokens that meet."""
+    q_hit = F.size(F.array_intersect(query_slot_tokens, q_near))
+    c_hit = F.size(F.array_intersect(slot_tokens, c_near))
     p = c_hit / F.size(slot_tokens) * (0.8 + 0.2 * q_hit / F.size(query_slot_tokens))
     floor = min(1.0, max(0.1, min_confidence - 0.05))
     both = (F.size(slot_tokens) > 0) & (F.size(query_slot_tokens) > 0) & (q_hit < F.size(query_slot_tokens))
-    return score * F.when(both, floor + (1 - floor) * p).otherwise(1.0)
+    return F.when(both, floor + (1 - floor) * p).otherwise(1.0)
 
 
 def adjusted(rows: DataFrame, min_confidence: float = C.MIN_CONFIDENCE) -> DataFrame:
     """``rows`` with ``final`` from ``weighted``: slot conflict, absorbed slot words, numbers, anchors, coverage, context, wildcard length, in this order.
 
     Needs weighted, tokens, q_tokens, slots, slots_raw, static_slots, context_slots, wildcard_slots, slot_tokens, q_slot_tokens, context
-    (map of slot to tokens), replacement_words (long, 0 without a wildcard) and literal_variants.
+    (map of slot to tokens), replacement_words (long, 0 without a wildcard), literal_variants, and the tokens of ``near_tokens``.
     """
     q, own, slots = F.col("q_tokens"), F.col("tokens"), F.col("slots")
     # what is used more than once is a column of its own, so that it's computed once
-    rows = rows.withColumn("__slot", slot_conflict(F.lit(1.0), F.col("slot_tokens"), F.col("q_slot_tokens"), own, q, min_confidence))
+    rows = rows.withColumn("__slot", slot_conflict(F.col("slot_tokens"), F.col("q_slot_tokens"), F.col("q_near"), F.col("c_near"), min_confidence))
     rows = rows.withColumns({"__q_num": numbers(q), "__own_num": numbers(own), "__rest": F.array_except(q, own), "__dynamic": F.map_filter(slots, lambda k, v: ~F.array_contains("static_slots", k))})
     q_num, own_num, rest, dynamic, slot_factor = (F.col(f"__{c}") for c in ("q_num", "own_num", "rest", "dynamic", "slot"))
     rows = rows.withColumn("__slot_nums", F.filter(F.transform(F.map_values(dynamic), T.parse_float), lambda x: x.isNotNull()))
@@ -62,15 +61,15 @@ def adjusted(rows: DataFrame, min_confidence: float = C.MIN_CONFIDENCE) -> DataF
     s = s * F.when(lone, C.NUMERIC_WITHOUT_QUERY * F.when(F.size(own_num) > 0, C.NUMERIC_LITERAL).otherwise(1.0)).otherwise(1.0)
     differ = (F.size(slot_nums) > 0) & (F.size(q_num) > 0) & ~F.exists(spoken, lambda v: F.exists(q_num, lambda n: F.abs(F.abs(n) - F.abs(v)) <= C.NUMERIC_TOLERANCE))
     s = s * F.when(differ, C.NUMERIC_MISMATCH).otherwise(1.0)
-    anchored = lambda v: F.exists(T.slot_value_tokens(v), lambda t: near_any(t, q))
+    anchored = lambda v: F.arrays_overlap(T.slot_value_tokens(v), "c_near")
     loose = lambda names, inside: F.size(F.map_filter(dynamic, lambda k, v: (k.isin(*names) if inside else ~k.isin(*names)) & ~F.array_contains("context_slots", k) & ~F.array_contains("wildcard_slots", k) & T.parse_float(v).isNull() & ~anchored(v))) > 0
     s = s * F.when(loose(ENTITIES, True), C.UNANCHORED_ENTITY).otherwise(1.0)
     s = s * F.when(loose(TARGETS, False), C.UNANCHORED_SEMANTIC).otherwise(1.0)
     only_entity = (F.size(slots) > 0) & F.forall(F.map_keys(slots), lambda k: k.isin(*ENTITIES)) & (F.size("literal_variants") == 0)
     s = s * F.when(only_entity & (F.size(rest) > 0), C.ENTITY_UNCOVERED).otherwise(1.0)
     static_entity = F.exists(F.col("static_slots"), lambda k: k.isin(*ENTITIES))
-    s = s * F.when(static_entity & F.exists(rest, lambda t: ~near_any(t, own)), C.STATIC_UNCOVERED).otherwise(1.0)
-    static_clash = (F.size("static_slots") > 0) & F.exists(F.col("q_slot_tokens"), lambda t: ~near_any(t, own))
+    s = s * F.when(static_entity & (F.size(F.array_except(rest, "q_near_text")) > 0), C.STATIC_UNCOVERED).otherwise(1.0)
+    static_clash = (F.size("static_slots") > 0) & (F.size(F.array_except("q_slot_tokens", "q_near_text")) > 0)
     s = s * F.when(static_clash, C.STATIC_CONFLICT).otherwise(1.0)
     agree = F.size(F.map_filter("context", lambda k, v: F.arrays_overlap(v, T.slot_value_tokens(F.element_at(slots, k)))))
     against = F.size(F.map_filter("context", lambda k, v: F.map_contains_key(slots, k) & ~F.arrays_overlap(v, T.slot_value_tokens(F.element_at(slots, k)))))
@@ -91,8 +90,10 @@ def scored(pairs: DataFrame, queries: DataFrame, docs: DataFrame, min_confidence
         rows = rows.withColumn("context", F.create_map().cast("map<string,array<string>>"))
     if "replacement_words" not in rows.columns:
         rows = rows.withColumn("replacement_words", F.lit(0).cast("long"))
-    # the alignments are computed once for each distinct pair of texts
-    texts = rows.select("q_norm", "norm").distinct().withColumn("fuzzy", S.fuzzy(F.col("q_norm"), F.col("norm")))
-    rows = rows.join(texts, ["q_norm", "norm"]).withColumn("intent_score", intent_score(F.col("literal_variants"), F.col("q_tokens"), F.col("tokens")))
+    # alignments are computed once for each distinct pair of texts and slots
+    key = ["q_norm", "norm", "q_tokens", "tokens", "slot_tokens", "q_slot_tokens", "literal_variants"]
+    texts = rows.select(*key).distinct()
+    texts = texts.withColumns({"fuzzy": S.fuzzy(F.col("q_norm"), F.col("norm")), "__near": S.near_tokens(F.array_union("q_tokens", "q_slot_tokens"), "tokens", "slot_tokens"), "intent_score": intent_score(F.col("literal_variants"), F.col("q_tokens"), F.col("tokens"))})
+    rows = rows.join(texts.select(*key, "fuzzy", "intent_score", "__near.*"), key)
     rows = rows.withColumn("weighted", S.weighted_score(F.col("fuzzy"), F.col("char"), F.col("bm25"), F.col("intent_score")))
     return adjusted(rows, min_confidence)
