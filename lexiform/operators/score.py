@@ -92,7 +92,8 @@ def scored(pairs: DataFrame, queries: DataFrame, docs: DataFrame, min_confidence
         rows = rows.withColumn("replacement_words", F.lit(0).cast("long"))
     # alignments are computed once for each distinct pair of texts and slots
     key = ["q_norm", "norm", "q_tokens", "tokens", "slot_tokens", "q_slot_tokens", "literal_variants"]
-    texts = rows.select(*key).distinct()
+    # small as they are, the pairs are spread over all cores: an alignment costs far more than its row
+    texts = rows.select(*key).distinct().repartition(max(pairs.sparkSession.sparkContext.defaultParallelism, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "q_norm", "norm")
     texts = texts.withColumns({"fuzzy": S.fuzzy(F.col("q_norm"), F.col("norm")), "__near": S.near_tokens(F.array_union("q_tokens", "q_slot_tokens"), "tokens", "slot_tokens"), "intent_score": intent_score(F.col("literal_variants"), F.col("q_tokens"), F.col("tokens"))})
     rows = rows.join(texts.select(*key, "fuzzy", "intent_score", "__near.*"), key)
     rows = rows.withColumn("weighted", S.weighted_score(F.col("fuzzy"), F.col("char"), F.col("bm25"), F.col("intent_score")))
