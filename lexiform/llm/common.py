@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -51,6 +52,12 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def settle(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of frames that are no longer referenced, which it otherwise keeps until the driver next collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def give_back() -> None:
     """Returns freed memory of this Python worker to the system: reused workers would otherwise keep their peak."""
     pa.default_memory_pool().release_unused()

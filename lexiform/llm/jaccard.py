@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexiform.llm.common import components, documents, drop_written, written
+from lexiform.llm.common import components, documents, settle, slices, written
 from lexiform.llm.words import mixed, shingles, word_hashes
 
 #: Words of a shingle; similarity from which two sets link, in hundredths.
@@ -18,6 +18,8 @@ SHINGLE, PERCENT = 5, 75
 KEYS = 16
 #: Keys of KEYS that two sets have in common before they're compared ahead of the index; sets of a random cell, and neighbours that each meets in it.
 ALIKE, CELL, STEPS = 8, 64, 3
+#: Ids that are broadcast to the texts at most (16 bytes each).
+SMALL = 1 << 20
 #: Most frequent shingles that go last in the order of a set's shingles; the bound of what is broadcast (16 bytes each).
 FREQUENT = 1 << 17
 #: A block of an index list holds the sets of sizes [1.15^b, 1.15^(b+1)).
@@ -43,55 +45,54 @@ def _sets(batch_texts: pa.Array) -> Iterator[np.ndarray]:
         yield shingles(words, SHINGLE)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), k (set key, null for an empty set) and m, one row for each row.
+def survey(docs: DataFrame) -> DataFrame:
+    """One pass over the texts: a row (doc_id, n, k, m) for each document, and rows (t, c) of shingles that a task met in several sets.
 
-    m are KEYS shingles of the set: the first hash from each of KEYS equal cuts of the range of hashes on, around its end. Two sets have
-    one of them in common about as often as their similarity says.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n, k, m = [], [], []
-            for s in _sets(b.column(1)):
-                n.append(len(s))
-                k.append(set_key(s) if len(s) else None)
-                m.append(s[np.searchsorted(s, _CUTS) % len(s)].view(np.int64) if len(s) else [])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(m, pa.list_(pa.int64()))], ["doc_id", "n", "k", "m"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, k long, m array<long>")
-
-
-def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The FREQUENT most frequent shingles among those that some partition holds in two different sets, and their counts.
-
-    Each partition counts its own; what stands in one set of every partition at most isn't frequent anywhere. The order of a set's
-    shingles only steers how many candidates there are, never which links are found.
+    n is the set's size, k its key (null for an empty set), m KEYS shingles of it: the first hash from each of KEYS equal cuts of the
+    range of hashes on, around its end. Two sets have one of them in common about as often as their similarity says. A shingle
+    that stands in one set of every partition at most isn't frequent anywhere, so it's not counted.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "n", "k", "m", "t", "c"]
+        many = pa.list_(pa.int64())
         seen: set[int] = set()
         held: list[np.ndarray] = []
         size = 0
 
-        def counted(least: int) -> pa.RecordBatch:
+        def counted() -> pa.RecordBatch:
             x, c = np.unique(np.concatenate(held), return_counts=True)
-            some = c >= least
-            return pa.RecordBatch.from_arrays([pa.array(x[some].view(np.int64)), pa.array(c[some].astype(np.int64))], ["t", "c"])
+            x, c = x[c > 1], c[c > 1]
+            none = pa.nulls(len(x), pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(x), many), pa.array(x.view(np.int64)), pa.array(c.astype(np.int64))], names)
 
-        for b in batches:
-            for s in _sets(b.column(0)):
-                if len(s) and (k := set_key(s)) not in seen:
-                    seen.add(k)
+        for b in slices(batches):
+            n, k, m = [], [], []
+            for s in _sets(b.column(1)):
+                n.append(len(s))
+                k.append(set_key(s) if len(s) else None)
+                m.append(s[np.searchsorted(s, _CUTS) % len(s)].view(np.int64) if len(s) else [])
+                if len(s) and k[-1] not in seen:
+                    seen.add(k[-1])
                     held.append(s)
                     size += len(s)
-                if size >= 8_000_000:
-                    yield counted(2)
+                if size >= 4_000_000:
+                    yield counted()
                     held, size = [], 0
+            none = pa.nulls(len(n), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(m, many), none, none], names)
         if held:
-            yield counted(2)
+            yield counted()
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, k long, m array<long>, t long, c long")
+
 
-    found = docs.select("text").mapInArrow(run, "t long, c long").groupBy("t").agg(F.sum("c").alias("c")).where("c >= 3").orderBy(F.desc("c"), "t").limit(FREQUENT)
+def frequent_shingles(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The FREQUENT most frequent shingles of the tasks' counts (t, c), and their sums, sorted by shingle.
+
+    The order of a set's shingles only steers how many candidates there are, never which links are found.
+    """
+    found = counts.groupBy("t").agg(F.sum("c").alias("c")).where("c >= 3").orderBy(F.desc("c"), "t").limit(FREQUENT)
     table = found.toArrow()  # at most FREQUENT rows of two numbers
     t, c = table.column("t").to_numpy().view(np.uint64), table.column("c").to_numpy()
     at = np.argsort(t)
@@ -108,7 +109,7 @@ def prefix_index(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ft, fc = shared.value
         seen: set[int] = set()
-        for b in batches:
+        for b in slices(batches):
             out: list[tuple] = []
             for s in _sets(b.column(0)):
                 n = len(s)
@@ -143,7 +144,7 @@ def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     both = with_a.join(texts.select(F.col("k").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             a, b, good = batch.column(0), batch.column(1), []
             made: dict[int, np.ndarray] = {}
             for side, col in ((a, 2), (b, 3)):
@@ -161,7 +162,9 @@ def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def candidates(index: DataFrame, relation: DataFrame) -> DataFrame:
-    """(a, b): pairs of sets of different components that may link, from the prefix index and (k, component).
+    """(a, b, ca, cb, shared): pairs of sets of different components ca, cb that may link, from the prefix index and (k, component).
+
+    ``shared`` counts the index lists in which the two meet.
 
     An index list is cut into blocks of set sizes. From its size and position an entry knows the sizes it could still
     link with: with n - p shingles left the overlap can't reach 0.75 / 1.75 of both sizes beyond ``reach``. It is sent only to the blocks
@@ -181,7 +184,11 @@ def candidates(index: DataFrame, relation: DataFrame) -> DataFrame:
     answers = lists.select("t", F.col("k").alias("y"), F.col("n").alias("ny"), F.col("p").alias("py"), F.col("component").alias("cy"), F.col("reach").alias("ry"), size_block(F.col("n")).alias("block"))
     pairs = asks.join(answers, ["t", "block"]).where("cx <> cy and (ny < nx or ny = nx and y < x) and 4 * ny >= 3 * nx and ny <= rx and nx <= ry")
     pairs = pairs.where("7 * (1 + least(nx - px - 1, ny - py - 1)) >= 3 * (nx + ny)")
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    # told in the order of the components, so that those of one pair of components stand alike
+    swap = F.col("cx") > F.col("cy")
+    pick = lambda u, v: F.when(swap, F.col(v)).otherwise(F.col(u))
+    pairs = pairs.select(pick("x", "y").alias("a"), pick("y", "x").alias("b"), pick("cx", "cy").alias("ca"), pick("cy", "cx").alias("cb"))
+    return pairs.groupBy("a", "b", "ca", "cb").agg(F.count("*").alias("shared"))
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -195,7 +202,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     the links found are relations, whose components answer for all their members. The exact index join then finds every link between components.
     Sets are compared by 64-bit hashes of their shingles.
     """
-    sig = written(signatures(docs), "signatures")
+    seen = written(survey(docs), "survey")
+    sig = seen.where("n IS NOT NULL").select("doc_id", "n", "k", "m")
     known = sig.where("doc_id IS NOT NULL AND k IS NOT NULL")
     nodes = written(known.groupBy("k").agg(F.min("doc_id").alias("rep")), "nodes")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
@@ -203,13 +211,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     def chosen(pairs: DataFrame) -> DataFrame:
         """(k, text) of the sets in ``pairs``: only their documents' texts are moved; a repeated doc_id is told by its set."""
         need = pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct()
-        rep = nodes.join(need, "k").select("k", F.col("rep").alias("doc_id"))
-        found = texts.join(rep, "doc_id")
+        rep = written(nodes.join(need, "k").select("k", F.col("rep").alias("doc_id")), "wanted")
+        # up to a checked size the wanted ids go to the texts; beyond, both are shuffled
+        found = texts.join(F.broadcast(rep) if rep.count() <= SMALL else rep, "doc_id")
         return written(with_key(found), "pair-texts")
 
     def with_key(found: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in slices(batches):
                 same = [len(s) > 0 and set_key(s) == k.as_py() for s, k in zip(_sets(b.column(1)), b.column(0), strict=True)]
                 yield b.filter(pa.array(same, pa.bool_()))
 
@@ -225,18 +234,19 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     alike = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: (u == v).cast("int")), F.lit(0), lambda r, z: r + z) >= ALIKE
     stars = keys.join(first, ["i", "v"]).where((F.col("k") != F.col("pivot.k")) & alike(F.col("m"), F.col("pivot.m")))
     stars = written(stars.select(F.col("pivot.k").alias("a"), F.col("k").alias("b")).distinct(), "stars")
-    near = written(linked(stars, chosen(stars)), "near")
     # sets that aren't linked with the central one meet a few others of theirs: neighbours in small random cells of a key's sets
-    part = written(components(near), "relation")
-    lab = keys.join(part, keys.k == part.node, "left").select("k", "i", "v", "m", "c", F.coalesce("component", "k").alias("component"))
     w = Window.partitionBy("i", "v", F.expr(f"pmod(xxhash64(k, i), cast(ceil(c / {CELL}) as int))")).orderBy(F.xxhash64("i", "k"), "k")
-    met = None
-    for step in range(1, STEPS + 1):
-        other = lab.select("k", "m", "component", F.lag(F.struct("k", "m", "component"), step).over(w).alias("o")).where("o.component <> component")
-        other = other.where(alike(F.col("m"), F.col("o.m"))).select(F.least("k", "o.k").alias("a"), F.greatest("k", "o.k").alias("b"))
-        met = other if met is None else met.union(other)
-    met = written(met.distinct(), "neighbours")
-    near = written(near.union(linked(met, chosen(met))), "near")
+    others = F.array(*[F.lag(F.struct("k", "m"), step).over(w) for step in range(1, STEPS + 1)])
+    met = keys.select("k", "m", others.alias("o")).select("k", "m", F.explode("o").alias("o")).where(F.col("o").isNotNull() & alike(F.col("m"), F.col("o.m")))
+    met = written(met.select(F.least("k", "o.k").alias("a"), F.greatest("k", "o.k").alias("b")).distinct(), "neighbours")
+    pool = chosen(stars.union(met))
+    near = written(linked(stars, pool), "near")
+    settle(docs.sparkSession)
+    part = written(components(near), "relation")
+    other = lambda c, name: part.select(F.col("node").alias(c), F.col("component").alias(name))
+    apart = met.join(other("a", "ca"), "a", "left").join(other("b", "cb"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+    near = written(near.union(linked(apart, pool)), "near")
+    settle(docs.sparkSession)
     twice = known.select("doc_id", "k").distinct()
     same = twice.groupBy("doc_id").agg(F.min("k").alias("a"), F.max("k").alias("z")).where("a < z").select("doc_id", "a")
     same = twice.join(same, "doc_id").where("k <> a").select("a", F.col("k").alias("b"))  # texts of one doc_id
@@ -244,9 +254,17 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     part = written(components(near), "relation")
     relation = nodes.join(part, nodes.k == part.node, "left").select("k", F.coalesce("component", "k").alias("component"))
 
-    index = prefix_index(docs.select("text"), frequent_shingles(docs.select("text")))
+    index = prefix_index(docs.select("text"), frequent_shingles(seen.where("c IS NOT NULL").select("t", "c")))
     pairs = written(candidates(index, relation), "candidates")
-    exact = linked(pairs, chosen(pairs))
+    settle(docs.sparkSession)
+    # first the likeliest pair of each two components: where it links, the answer holds for both and their other pairs are settled
+    best = pairs.groupBy("ca", "cb").agg(F.max_by(F.struct("a", "b"), F.struct("shared", "a", "b")).alias("p")).select("p.a", "p.b")
+    best = written(best, "likeliest")
+    near = written(near.union(linked(best, chosen(best))), "near")
+    part = written(components(near), "relation")
+    left = pairs.join(best, ["a", "b"], "left_anti").join(other("a", "pa"), "a", "left").join(other("b", "pb"), "b", "left").where("coalesce(pa, a) <> coalesce(pb, b)").select("a", "b")
+    left = written(left, "left")
+    exact = linked(left, chosen(left))
     part = written(components(near.union(exact)), "relation")
     label = nodes.join(part, nodes.k == part.node, "left").select("k", "rep", F.coalesce("component", "k").alias("component"))
     low = label.groupBy("component").agg(F.min("rep").alias("component_id"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiform.llm.common import documents, drop_written, slices, written
+from lexiform.llm.common import documents, drop_written, give_back, slices, written
 from lexiform.llm.quality import held_out
 from lexiform.llm.words import word_hashes
 
@@ -19,7 +19,7 @@ DOMAINS = ("clean", "toxic", "low")
 #: Production weights of the domains' tokens, and tokens of the first domain asked for as a share of those expected.
 WEIGHTS, TOTAL = (0.95, 0.015, 0.035), 1.05
 #: Bounds of the labelled sample: rows a domain, characters of a row; words of the classifier.
-SAMPLE_ROWS, SAMPLE_CHARS, FEATURES = 3000, 32_768, 1500
+SAMPLE_ROWS, SAMPLE_CHARS, FEATURES = 3000, 8192, 1500
 BUCKET_BITS = 18
 #: Posteriors are rounded to multiples of 1/GRID, so that documents fall into a bounded number of cells.
 GRID = 256
@@ -96,7 +96,9 @@ def fit_domains(docs: DataFrame, labels: DataFrame) -> DomainModel:
     if not rows:
         return DomainModel(np.zeros(0, np.int64), np.zeros((0, len(DOMAINS))), np.zeros(len(DOMAINS)))
     share = np.array([counts.get(d, 0) for d in range(len(DOMAINS))], float)
-    return train([t for _, _, t in rows], np.array([y for _, y, _ in rows]), share / share.sum())
+    model = train([t for _, _, t in rows], np.array([y for _, y, _ in rows]), share / share.sum())
+    give_back()
+    return model
 
 
 def with_posteriors(docs: DataFrame, model: DomainModel, keep: list[str]) -> DataFrame:

@@ -11,12 +11,12 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiform.llm.common import documents, slices
+from lexiform.llm.common import documents, give_back, slices
 
 #: Texts are compressed in pieces of so many bytes, so that the dictionary counts throughout a long text.
 PIECE = 1024
 #: Bound of the labelled sample: rows a class, and characters of a row (longer rows aren't chosen).
-SAMPLE_ROWS, SAMPLE_CHARS = 4000, 32_768
+SAMPLE_ROWS, SAMPLE_CHARS = 4000, 8192
 #: Pieces a class from which a dictionary is trained, taken in turn from all of a class's rows; bytes of a dictionary.
 DICT_PIECES, DICT_BYTES = 8000, 65_536
 LEVEL = 3
@@ -112,6 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     n = {q: (y == q).sum() for q in (0, 1)}
     weight = np.array([share[q] / total / n[q] * len(y) for q in y.astype(int)])
     model.coef = calibrated(np.array([features(t, *pair) for _, t in fresh]), y, weight)
+    give_back()
     return model
 
 
