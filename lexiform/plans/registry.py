@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiform import api
@@ -394,6 +394,8 @@ o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY final DESC, n_slots
 a AS (SELECT qid, cid AS top, intent, final, n_slots, s FROM o WHERE rank = 1), b AS (SELECT o.qid, o.cid AS rival, o.intent AS ri, o.final AS rf, o.n_slots AS rn, o.s AS rs FROM o JOIN a USING (qid) WHERE o.intent <> a.intent QUALIFY row_number() OVER (PARTITION BY o.qid ORDER BY rank) = 1),
 e AS (SELECT *, final - rf AS margin FROM a LEFT JOIN b USING (qid))"""
 
+ORDERED = FIRST.partition(",\na AS (")[0]
+
 
 @query(f"{FIRST} SELECT qid, top, rival, round(margin, 6) AS margin FROM e")
 def first_competitor(spark, d):
@@ -538,6 +540,123 @@ def cache_misses(spark, d):
     return refresh.cache_misses(t, memo, 3).select("text")
 
 
+# --- more of ranking, routing and evaluation --------------------------------
+
+
+@query(f"""{PRE}, f AS (SELECT qid, cid, row_number() OVER (PARTITION BY qid ORDER BY key DESC, cid) AS rn FROM k QUALIFY rn <= 700),
+z AS (SELECT cid FROM c QUALIFY row_number() OVER (ORDER BY cid) <= 700), a AS (SELECT qid, cid, key FROM k QUALIFY row_number() OVER (PARTITION BY qid ORDER BY key DESC, cid) <= 700
+UNION ALL SELECT q.qid, z.cid, 0 FROM q CROSS JOIN z WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.qid = q.qid AND f.cid = z.cid))
+SELECT qid, cid, round(key, 6) AS key, row_number() OVER (PARTITION BY qid ORDER BY key DESC, cid)::INT AS rank FROM a QUALIFY rank <= 700""")
+def prefilter_filled(spark, d):
+    docs, q = parts(spark, d), spoken(spark, d)
+    found = retrieve.prefilter(q, index.postings(docs), index.gram_postings(docs), 700)
+    return retrieve.filled(found, q, docs, 700).select("qid", "cid", F.round("key", 6).alias("key"), "rank")
+
+
+@query(f"""WITH {C}, {QT}, h AS (SELECT q.qid, c.cid, c.norm FROM q JOIN c ON len(list_intersect(q.tokens, c.tokens)) >= 2)
+SELECT qid, cid FROM h WHERE cid % 2 = 1 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY cid) <= 64""")
+def wildcard_rescue(spark, d):
+    passed = retrieve.wildcard_pass(parts(spark, d), spoken(spark, d))
+    return retrieve.wildcard_rescue(passed, passed.where("cid % 2 = 0"))
+
+
+@query(f"""{ORDERED}, t1 AS (SELECT qid, intent AS i, s AS s1, final AS f1 FROM o WHERE rank = 1), r1 AS (SELECT o.qid, min(rank) AS r FROM o JOIN t1 USING (qid) WHERE intent <> i GROUP BY o.qid),
+w AS (SELECT o.qid, r FROM o JOIN r1 ON o.qid = r1.qid AND o.rank = r JOIN t1 ON t1.qid = o.qid WHERE final = f1 AND s > s1)
+SELECT o.qid, o.cid, CASE WHEN o.rank = w.r THEN 1 WHEN o.rank = 1 AND w.r IS NOT NULL THEN w.r ELSE o.rank END::INT AS rank FROM o LEFT JOIN w USING (qid)""")
+def disambiguation(spark, d):
+    return decide.disambiguated(decide.ordered(orders_ranked(spark, d))).select("qid", "cid", "rank")
+
+
+@query(f"""{ORDERED}, t1 AS (SELECT qid, intent AS i FROM o WHERE rank = 1), c1 AS (SELECT o.qid, min(rank) AS c FROM o JOIN t1 USING (qid) WHERE intent <> i GROUP BY o.qid)
+SELECT o.qid, o.cid, least(o.rank, 3)::INT AS rank FROM o LEFT JOIN c1 USING (qid) WHERE CASE WHEN c > 3 THEN rank < 3 OR rank = c ELSE rank <= 3 END""")
+def limit_with_competitor(spark, d):
+    return decide.limited(decide.with_competition(gate_rows(spark, d)), 3).select("qid", "cid", "rank")
+
+
+@query("SELECT o_custkey AS qid FROM orders GROUP BY 1 HAVING count_if(o_orderkey % 5 = 0) > 0 AND min(o_orderkey) % 5 = 0 AND count(DISTINCT CASE WHEN o_orderkey % 5 = 0 THEN o_orderpriority END) = 1")
+def perfect_queries(spark, d):
+    one = (F.col("o_orderkey") % 5 == 0).cast("double")
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("qid"), F.col("o_orderpriority").alias("intent"), *[one.alias(c) for c in ("fuzzy", "char", "bm25", "intent_score", "final")], "o_orderkey")
+    rows = rows.withColumn("rank", (F.col("o_orderkey") == F.min("o_orderkey").over(Window.partitionBy("qid"))).cast("int"))
+    return merge.perfect(rows)
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'none' WHEN o_orderkey % 2 = 0 THEN 'literal' ELSE 'wildcard' END AS kind FROM orders")
+def rescue_kinds(spark, d):
+    text = F.when(F.col("o_orderkey") % 2 == 0, F.lit("set to 5")).otherwise("set it")
+    return table(spark, d, "orders").select("o_orderkey", merge.rescue_kind(F.col("o_orderstatus") == "F", text).alias("kind"))
+
+
+@query("SELECT p_partkey, p_type = split_part(p_name, ' ', 1) AS same, TRUE AS list_alike, FALSE AS others FROM part")
+def intent_equivalence(spark, d):
+    eq = evaluate.equivalent
+    return table(spark, d, "part").select("p_partkey", eq(F.col("p_type"), F.split_part("p_name", F.lit(" "), F.lit(1))).alias("same"), eq(F.lit("HassListAddItem"), F.lit("HassShoppingListAddItem")).alias("list_alike"), eq(F.lit("HassListAddItem"), F.lit("HassListCompleteItem")).alias("others"))
+
+
+@query("SELECT p_partkey, TRUE AS by_alias, p_size % 2 = 0 AS by_number, len(p_name) > 0 AS joined FROM part")
+def slot_equality(spark, d):
+    p = table(spark, d, "part")
+    m = F.create_map
+    by_number = evaluate.slots_equal(m(F.lit("n"), F.col("p_size").cast("string")), m(F.lit("n"), F.when(F.col("p_size") % 2 == 0, F.format_string("%d.0", "p_size")).otherwise("-1")))
+    joined = evaluate.slots_equal(m(F.lit("name"), F.col("p_name")), m(F.lit("area"), F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit("name"), F.split_part("p_name", F.lit(" "), F.lit(2))))
+    return p.select("p_partkey", evaluate.slots_equal(m(F.lit("name"), F.upper("p_name")), m(F.lit("entity"), F.col("p_name"))).alias("by_alias"), by_number.alias("by_number"), joined.alias("joined"))
+
+
+@query("""WITH a AS (SELECT DISTINCT p_type AS intent FROM part), b AS (SELECT DISTINCT p_type AS intent FROM part WHERE p_size > 60), c AS (SELECT DISTINCT o_orderpriority AS intent FROM orders)
+SELECT intent, 'candidates' AS missing_from FROM a WHERE intent NOT IN (SELECT intent FROM b) UNION ALL SELECT intent, 'dataset' FROM a WHERE intent NOT IN (SELECT intent FROM c) UNION ALL SELECT intent, 'grammar' FROM c WHERE intent NOT IN (SELECT intent FROM a)""")
+def intent_coverage(spark, d):
+    p = table(spark, d, "part").withColumnRenamed("p_type", "intent")
+    return evaluate.coverage(p, p.where("p_size > 60"), table(spark, d, "orders").withColumnRenamed("o_orderpriority", "intent"))
+
+
+@query("SELECT user_id AS conversation_id, event_type AS agent_id, arg_max(value, event_id) FILTER (event_id % 3 = 0) AS last_tool, count_if(event_id % 2 = 0) AS attempts FROM events GROUP BY 1, 2")
+def correlated_traces(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("conversation_id"), F.col("event_type").alias("agent_id"), F.when(F.col("event_id") % 3 == 0, F.col("value")).alias("tool"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 2 == 0, "attempt").alias("kind"))
+    return evaluate.correlated(e)
+
+
+@query("SELECT p_type AS language, p_brand AS target, min(p_size) AS mentions, arg_min(p_partkey, p_size * 1000000 + p_partkey) AS sentence_pos FROM part GROUP BY 1, 2")
+def smoke_samples(spark, d):
+    rows = table(spark, d, "part").select(F.col("p_type").alias("language"), F.col("p_brand").alias("target"), F.col("p_size").alias("mentions"), F.col("p_partkey").alias("sentence_pos"))
+    return evaluate.smoke_samples(rows)
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'intent_and_slots' WHEN 1 THEN 'intent' WHEN 2 THEN 'slots' END AS divergence FROM orders")
+def metadata_divergence(spark, d):
+    k = F.col("o_orderkey") % 4
+    m = lambda v: F.create_map(F.lit("name"), v)
+    out = route.divergence(F.when(k.isin(0, 1), "B").otherwise("A"), m(F.when(k.isin(0, 2), "lamp").otherwise("Kitchen, Lamp")), F.lit("A"), m(F.lit("kitchen lamp")))
+    return table(spark, d, "orders").select("o_orderkey", out.alias("divergence"))
+
+
+@query("SELECT c_custkey, 'order ' || c_name AS stripped, CASE WHEN c_custkey % 2 = 0 THEN 'canon' ELSE 'raw' END AS delegated, sha256(c_name) AS delegated_sha256 FROM customer")
+def strip_and_delegate(spark, d):
+    c = table(spark, d, "customer")
+    even = F.col("c_custkey") % 2 == 0
+    return c.select("c_custkey", route.strip_hotword(F.concat(F.lit("hey you,  order "), "c_name"), F.lit(2)).alias("stripped"), route.delegated(F.lit("raw"), F.lit("canon"), F.when(even, "execute").otherwise("fallback")).alias("delegated"), F.sha2("c_name", 256).alias("delegated_sha256"))
+
+
+@query("SELECT DISTINCT p_name, TRUE AS fixed, FALSE AS template, p_name AS span, 'own' AS winner FROM part")
+def template_tests(spark, d):
+    p = table(spark, d, "part").select("p_name").distinct()
+    lists = grammar.effective_lists(F.create_map(F.lit("l"), F.array(F.lit("source"))), F.create_map(F.lit("l"), F.array(F.lit("intent"))), F.create_map(F.lit("l"), F.array(F.lit("own"))))
+    window = grammar.anchored_window(F.concat(F.lit("turn on "), "p_name", F.lit(" now")), F.lit("turn on "), F.lit(" now"))
+    return p.select("p_name", grammar.is_fixed_sentence(F.col("p_name")).alias("fixed"), grammar.is_fixed_sentence(F.concat("p_name", F.lit(" [x]"))).alias("template"), window.alias("span"), F.element_at(F.element_at(lists, "l"), 1).alias("winner"))
+
+
+@query("SELECT event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) = 1")
+def latest_sources(spark, d):
+    e = table(spark, d, "events").select("event_type", "event_id", "value")
+    return refresh.upserted(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), "event_type", version="event_id")
+
+
+@query("SELECT p_type AS language, count(*) AS n FROM part GROUP BY 1 HAVING count(*) % 2 = 1 OR p_type = 'PROMO'")
+def changed_languages(spark, d):
+    now = table(spark, d, "part").groupBy(F.col("p_type").alias("language")).agg(F.count("*").alias("n"), F.sha2(F.count("*").cast("string"), 256).alias("fingerprint"))
+    old = now.where("language <> 'PROMO'").withColumn("fingerprint", F.when(F.col("n") % 2 == 1, "x").otherwise(F.col("fingerprint")))
+    return refresh.changed(now, old, "language").select("language", "n")
+
+
 # --- rows only ------------------------------------------------------------
 
 
