@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexiform.llm.common import components, documents, settle, slices, written
+from lexiform.llm.common import components, documents, drop_written, settle, slices, written
 from lexiform.llm.words import mixed, shingles, word_hashes
 
 #: Words of a shingle; similarity from which two sets link, in hundredths.
@@ -18,12 +18,14 @@ SHINGLE, PERCENT = 5, 75
 KEYS = 16
 #: Keys of KEYS that two sets have in common before they're compared ahead of the index; sets of a random cell, and neighbours that each meets in it.
 ALIKE, CELL, STEPS = 8, 64, 3
+#: Positions by which later common shingles of a pair may lie deeper than its first one may.
+SLACK = 3
 #: Ids that are broadcast to the texts at most (16 bytes each).
 SMALL = 1 << 20
 #: Most frequent shingles that go last in the order of a set's shingles; the bound of what is broadcast (16 bytes each).
 FREQUENT = 1 << 17
-#: A block of an index list holds the sets of sizes [1.15^b, 1.15^(b+1)).
-BLOCK = 1.15
+#: A block of an index list holds the sets of sizes [BLOCK^b, BLOCK^(b+1)): sizes that can link with one size stand in two blocks.
+BLOCK = 4 / 3
 
 _CUTS = np.arange(KEYS, dtype=np.uint64) * np.uint64((1 << 64) // KEYS)
 
@@ -164,31 +166,38 @@ def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def candidates(index: DataFrame, relation: DataFrame) -> DataFrame:
     """(a, b, ca, cb, shared): pairs of sets of different components ca, cb that may link, from the prefix index and (k, component).
 
-    ``shared`` counts the index lists in which the two meet.
+    An index list is cut into blocks of set sizes; an entry is sent to the blocks of sizes that it can link with and no others.
+    Within a block, entries whose positions leave too few shingles after both for an overlap of 0.75 / 1.75 of both sizes, less SLACK, are
+    skipped. A list whose sets already have one component is skipped whole: what one of them links with, they all reach.
 
-    An index list is cut into blocks of set sizes. From its size and position an entry knows the sizes it could still
-    link with: with n - p shingles left the overlap can't reach 0.75 / 1.75 of both sizes beyond ``reach``. It is sent only to the blocks
-    within that; all others are skipped. A list whose sets already have one component is skipped whole: what one of them links with, they all reach.
+    ``shared`` counts the shingles in which a pair meets. A pair that links meets in its first common shingle without any slack, and in its
+    first SLACK + 1 with it, or in all of its common prefix shingles if they are fewer. Those are as many as its least overlap is
+    over the rest of the set whose prefix ends last. Pairs that meet in less go.
     """
     # a frequent shingle is in several sets for certain: its entries are spread by set, and only rare ones are gathered to see whether two sets have them
-    w = Window.partitionBy("t", F.when(F.col("hot"), F.col("k")))
-    lists = index.withColumns({"lo": F.min("k").over(w), "hi": F.max("k").over(w)}).where("hot or lo < hi").select("t", "k", "n", "p").distinct()
-    lists = written(lists.join(relation, "k").select("t", "k", "n", "p", "component"), "index")
-    mixed_ = lists.groupBy("t").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("t")
-    lists = lists.join(mixed_, "t")
+    lists = index.withColumn("u", F.when(F.col("hot"), F.col("k")))
+    w = Window.partitionBy("t", "u")
+    lists = lists.withColumns({"lo": F.min("k").over(w), "hi": F.max("k").over(w)}).where("hot or lo < hi").select("t", "u", "k", "n", "p").distinct()
+    lists = held = written(lists.join(relation, "k").select("t", "k", "n", "p", "component"), "index")
+    several = lists.groupBy("t").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("t")
+    lists = lists.join(several, "t")
     size_block = lambda x: F.floor(F.log(x.cast("double")) / F.log(F.lit(BLOCK)) + 1e-9).cast("int")
-    reach = F.floor((F.col("n") - F.col("p")) * 7 / F.lit(3)) - F.col("n")
-    lists = lists.withColumn("reach", reach.cast("long"))
-    # a pair's larger set asks, its smaller set answers; equal sizes ask both ways and the keys decide
-    asks = lists.select("t", F.col("k").alias("x"), F.col("n").alias("nx"), F.col("p").alias("px"), F.col("component").alias("cx"), F.col("reach").alias("rx"), F.explode(F.sequence(size_block(F.ceil(F.col("n") * F.lit(0.75))), size_block(F.col("n")))).alias("block"))
-    answers = lists.select("t", F.col("k").alias("y"), F.col("n").alias("ny"), F.col("p").alias("py"), F.col("component").alias("cy"), F.col("reach").alias("ry"), size_block(F.col("n")).alias("block"))
-    pairs = asks.join(answers, ["t", "block"]).where("cx <> cy and (ny < nx or ny = nx and y < x) and 4 * ny >= 3 * nx and ny <= rx and nx <= ry")
-    pairs = pairs.where("7 * (1 + least(nx - px - 1, ny - py - 1)) >= 3 * (nx + ny)")
+    # a pair's larger set asks, its smaller set answers; of equal sizes the larger key asks
+    asks = lists.select("t", F.col("k").alias("x"), F.col("n").alias("nx"), F.col("p").alias("px"), F.col("component").alias("cx"), F.explode(F.sequence(size_block(F.ceil(F.col("n") * F.lit(0.75))), size_block(F.col("n")))).alias("block"))
+    answers = lists.select("t", F.col("k").alias("y"), F.col("n").alias("ny"), F.col("p").alias("py"), F.col("component").alias("cy"), size_block(F.col("n")).alias("block"))
+    pairs = asks.join(answers, ["t", "block"]).where(f"cx <> cy and (ny < nx or ny = nx and y < x) and 4 * ny >= 3 * nx and 7 * (least(nx - px, ny - py) + {SLACK}) >= 3 * (nx + ny)")
+    need = f"cast(least({SLACK} + 1, ceil(3 * (nx + ny) / 7D - 1e-9) - greatest(ceil(0.75D * nx), ceil(0.75D * ny)) + 1) as int)"
+    starts = "cast(7 * least(nx - px, ny - py) >= 3 * (nx + ny) as int)"  # the pair's first common shingle passes this
+    pairs = pairs.selectExpr("x as a", "y as b", f"2 * {need} + {starts} as m").groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("m").alias("m"))
+    pairs = written(pairs.where("m % 2 <> 0 and shared >= floor(m / 2D)").select("a", "b", "shared"), "candidates")
+    drop_written(held)
+    settle(index.sparkSession)
+    of = lambda c, name: relation.select(F.col("k").alias(c), F.col("component").alias(name))
+    pairs = pairs.join(of("a", "ca"), "a").join(of("b", "cb"), "b")
     # told in the order of the components, so that those of one pair of components stand alike
-    swap = F.col("cx") > F.col("cy")
+    swap = F.col("ca") > F.col("cb")
     pick = lambda u, v: F.when(swap, F.col(v)).otherwise(F.col(u))
-    pairs = pairs.select(pick("x", "y").alias("a"), pick("y", "x").alias("b"), pick("cx", "cy").alias("ca"), pick("cy", "cx").alias("cb"))
-    return pairs.groupBy("a", "b", "ca", "cb").agg(F.count("*").alias("shared"))
+    return pairs.select(pick("a", "b").alias("a"), pick("b", "a").alias("b"), pick("ca", "cb").alias("ca"), pick("cb", "ca").alias("cb"), "shared")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -225,11 +234,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         return found.select("k", "text").mapInArrow(run, "k long, text string").dropDuplicates(["k"])
 
     sets = known.groupBy("k").agg(F.first("m").alias("m"))
-    keys = sets.select("k", F.posexplode("m").alias("i", "v"), "m")
+    keys = sets.select("k", F.posexplode("m").alias("i", "v"))
     size = keys.groupBy("i", "v").agg(F.count("*").alias("c")).where("c > 1")
     keys = keys.join(size, ["i", "v"])
     central = keys.groupBy("k").agg(F.sum("c").alias("score"))  # the set that most others are like has the most common keys
-    keys = written(keys.join(central, "k"), "keys")
+    keys = written(keys.join(central.join(sets, "k"), "k"), "keys")
     first = keys.groupBy("i", "v").agg(F.max_by(F.struct("k", "m"), F.struct("score", "k")).alias("pivot"))
     alike = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: (u == v).cast("int")), F.lit(0), lambda r, z: r + z) >= ALIKE
     stars = keys.join(first, ["i", "v"]).where((F.col("k") != F.col("pivot.k")) & alike(F.col("m"), F.col("pivot.m")))
@@ -246,6 +255,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     other = lambda c, name: part.select(F.col("node").alias(c), F.col("component").alias(name))
     apart = met.join(other("a", "ca"), "a", "left").join(other("b", "cb"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
     near = written(near.union(linked(apart, pool)), "near")
+    for done in (keys, stars, met, pool):
+        drop_written(done)
     settle(docs.sparkSession)
     twice = known.select("doc_id", "k").distinct()
     same = twice.groupBy("doc_id").agg(F.min("k").alias("a"), F.max("k").alias("z")).where("a < z").select("doc_id", "a")
@@ -256,7 +267,6 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     index = prefix_index(docs.select("text"), frequent_shingles(seen.where("c IS NOT NULL").select("t", "c")))
     pairs = written(candidates(index, relation), "candidates")
-    settle(docs.sparkSession)
     # first the likeliest pair of each two components: where it links, the answer holds for both and their other pairs are settled
     best = pairs.groupBy("ca", "cb").agg(F.max_by(F.struct("a", "b"), F.struct("shared", "a", "b")).alias("p")).select("p.a", "p.b")
     best = written(best, "likeliest")
