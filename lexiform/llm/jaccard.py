@@ -17,9 +17,9 @@ SHINGLE, PERCENT = 5, 75
 #: Keys by which a set finds a set like it before the index is built.
 KEYS = 16
 #: Keys of KEYS that two sets have in common before they're compared ahead of the index; sets of a random cell, and neighbours that each meets in it.
-ALIKE, CELL, STEPS = 8, 64, 3
+ALIKE, CELL, STEPS = 8, 64, 6
 #: Positions by which later common shingles of a pair may lie deeper than its first one may.
-SLACK = 3
+SLACK = 2
 #: Ids that are broadcast to the texts at most (16 bytes each).
 SMALL = 1 << 20
 #: Most frequent shingles that go last in the order of a set's shingles; the bound of what is broadcast (16 bytes each).
