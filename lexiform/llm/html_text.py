@@ -165,10 +165,10 @@ def main_text(page: str) -> str:
     First each block is decided by where it stands, its length, its share of common words and its share of linked
     characters; short or unclear ones stay ambiguous. Then an ambiguous block takes the label of the nearest decided
     block before and after it where they agree; where they differ it follows the one inside the same article, or else the nearer one. A page
-    without any decided block keeps its ambiguous ones. If a page has an article element, blocks outside are surroundings.
+    without any decided block keeps its ambiguous ones. If a page has an article element outside surroundings, blocks outside articles are surroundings.
     """
     found = blocks(page)
-    has = any(b[3] for b in found)
+    has = any(b[3] and not b[2] for b in found)  # articles in surroundings are comments or teasers
     label = [BAD if has and not b[3] else first_pass(*b) for b in found]
     before, after = [(NEAR, 0)] * len(found), [(NEAR, 0)] * len(found)
     for seq, into in ((range(len(found)), before), (range(len(found) - 1, -1, -1), after)):

@@ -92,6 +92,14 @@ def test_html_rules(page, want):
     assert html_text.main_text(page) == want
 
 
+@pytest.mark.parametrize("around", ['<ol class="comment-list"><li><article><p>{0}</p></article></li></ol>', "<aside><article><h3>More</h3><p>{0}</p></article></aside>"])
+def test_html_articles_in_surroundings(around):
+    body = "The body of the page is in a plain div and it is as long as the text of an article that the reader came for on this page of the site. " * 2
+    other = "This is what one of the readers has to say of it and it is as long as the body is, so that it can not be told by its length or words. " * 2
+    page = f"<html><body><div><p>{body}</p></div>{around.format(other)}</body></html>"
+    assert html_text.main_text(page) == body.strip()
+
+
 def test_html_odd_rows(spark):
     rows = spark.createDataFrame([(1, None), (2, "<p>" * 3000 + "x"), (3, "<" * 1000), (4, "<a href='" + "x" * 50_000), (None, "<p>y")], "page_id long, html string")
     got = {r.page_id: (r.text, r.n_chars) for r in html_text.extracted(rows).collect()}
