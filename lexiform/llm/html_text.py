@@ -13,6 +13,10 @@ from lexiform.llm.common import slices
 
 #: Elements whose content is never text.
 DROPPED = frozenset("script style noscript template svg math iframe object canvas audio video head select textarea button datalist".split())
+#: Those whose content is raw text, which runs to the end of the page if they aren't closed.
+RAW = frozenset("script style textarea".split())
+#: Those that can stand in one of their own kind.
+NESTED = frozenset("template svg math object".split())
 #: Elements that hold what surrounds an article.
 AROUND = frozenset("nav header footer aside form menu dialog".split())
 #: Elements that hold the article.
@@ -57,6 +61,26 @@ def surrounds(tag: str, attrs: str) -> bool:
     return False
 
 
+def dropped_end(page: str, at: int, tag: str, parents: set[str]) -> int:
+    """Where the content of a dropped element that begins at ``at`` ends.
+
+    That is behind its end tag. Without one, or with another element of its kind before it where those don't nest, raw text runs to the end of the
+    page, and others end before the next block or the end tag of one of their ``parents``; head is only its tag, since it holds the body then.
+    """
+    end = re.compile(rf"</{re.escape(tag)}\s*(?:>|\Z)", re.I).search(page, at)
+    if tag in RAW or tag == "head":
+        return end.end() if end else at if tag == "head" else len(page)
+    if end and (tag in NESTED or not re.compile(rf"<{re.escape(tag)}[\s/>]", re.I).search(page, at, end.start())):
+        return end.end()
+    while m := TOKEN.search(page, at):
+        at, name = m.end(), (m[2] or "").lower()
+        if name in (parents if m[1] else BLOCKS):
+            return m.start()
+        if name in RAW and not m[1] and not m[3].rstrip().endswith("/"):
+            at = dropped_end(page, at, name, parents)
+    return len(page)
+
+
 def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
     """(text, characters in links, stands in surroundings, stands in an article, is a heading) of a page's blocks, in order.
 
@@ -112,11 +136,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
             continue
         if tag in DROPPED:
             if not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*(?:>|\Z)", re.I).search(page, at)
-                if end:
-                    at = end.end()
-                elif tag != "head":  # an unclosed head holds the body too
-                    at = n
+                at = dropped_end(page, at, tag, {t for t, _ in open_})
             continue
         if tag == "br":
             put(" ")

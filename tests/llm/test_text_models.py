@@ -100,6 +100,19 @@ def test_html_articles_in_surroundings(around):
     assert html_text.main_text(page) == body.strip()
 
 
+@pytest.mark.parametrize("tag", ["noscript", "button", "select", "object", "svg", "audio", "video", "iframe", "canvas"])
+def test_html_unclosed_dropped_elements(tag):
+    for page in (f"<{tag}>Menu<article><p>{LONG}</p></article>", f"<body><span><{tag}>Menu</span><article><p>{LONG}</p></article></body>", f"<{tag}><script>'<p>'</script>Menu<article><p>{LONG}</p></article><p>"):
+        assert html_text.main_text(page) == LONG.strip()
+    assert html_text.main_text(f"<p>{LONG}</p><{tag}>Menu</{tag}>") == LONG.strip()
+
+
+def test_html_unclosed_elements_before_closed_ones():
+    assert html_text.main_text(f"<button>Menu<article><p>{LONG}</p></article><button>Up</button>") == LONG.strip()
+    assert html_text.main_text(f"<p>{LONG}</p><script>a<p>b") == LONG.strip()
+    assert html_text.main_text(f"<noscript><p>{LONG}</p></noscript><p>{LONG}</p>") == LONG.strip()
+
+
 def test_html_odd_rows(spark):
     rows = spark.createDataFrame([(1, None), (2, "<p>" * 3000 + "x"), (3, "<" * 1000), (4, "<a href='" + "x" * 50_000), (None, "<p>y")], "page_id long, html string")
     got = {r.page_id: (r.text, r.n_chars) for r in html_text.extracted(rows).collect()}
