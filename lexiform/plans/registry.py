@@ -699,7 +699,7 @@ def query_registry_candidates(spark, d):
 def adjusted_scores(spark, d):
     docs = parts(spark, d)
     q = spoken(spark, d)
-    found = retrieve.prefilter(q, index.postings(docs), index.gram_postings(docs), 50)
+    found = retrieve.prefilter(q, index.postings(docs), index.gram_postings(docs))
     return score.scored(found.select("qid", "cid", "bm25", "char"), q, docs).select("qid", "cid", F.round("weighted", 6).alias("weighted"), F.round("final", 6).alias("final"))
 
 

@@ -15,6 +15,10 @@ def test_query_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+def test_adjusted_scores_of_the_whole_window(spark):
+    assert QUERIES["adjusted_scores"](spark, SF).groupBy("qid").count().where("count > 50").count() > 0
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
