@@ -33,15 +33,15 @@ def rank(queries: DataFrame, docs: DataFrame, options: Options | None = None, fi
     folded = retrieve.exact_folded(queries.join(hits.select("qid").distinct(), "qid", "left_anti"), docs)
     whole = hits.select("qid", "cid").union(folded).persist()
     rest = queries.join(whole.select("qid").distinct(), "qid", "left_anti")
-    found = retrieve.prefilter(rest, index.postings(docs), index.gram_postings(docs)).persist()
+    scores = retrieve.touched(rest, index.postings(docs), index.gram_postings(docs)).persist()  # the rescues need those beyond the window too
+    found = retrieve.first(scores).persist()
     if fill:
         found = retrieve.filled(found, rest, docs)
     slots = index.slot_index(docs)
     matched = retrieve.slot_tokens_of_queries(rest, slots, index.literal_vocabulary(docs)).persist()
-    extra = retrieve.slot_rescue(rest, docs, matched, found)
-    wild = retrieve.wildcard_rescue(retrieve.wildcard_pass(docs.where(F.size("wildcard_slots") > 0), rest), found.unionByName(extra, allowMissingColumns=True))
-    none = F.lit(0.0)
-    more = extra.union(wild).distinct().select("qid", "cid", none.alias("bm25"), none.alias("char"))
+    extra = retrieve.slot_rescue(rest, docs, matched, found, scores=scores)
+    wild = retrieve.wildcard_rescue(retrieve.wildcard_pass(docs.where(F.size("wildcard_slots") > 0), rest), found.unionByName(extra, allowMissingColumns=True), scores=scores)
+    more = retrieve.with_evidence(extra.union(wild).distinct(), scores).select("qid", "cid", "bm25", "char")
     pairs = found.select("qid", "cid", "bm25", "char").union(more)
     spoken = matched.groupBy("qid").agg(F.collect_set("token").alias("q_slot_tokens"))  # at most a query's own words and their variations
     rest = rest.join(spoken, "qid", "left").withColumn("q_slot_tokens", F.coalesce("q_slot_tokens", F.array().cast("array<string>")))

@@ -82,12 +82,27 @@ def exact_folded(queries: DataFrame, docs: DataFrame) -> DataFrame:
     return hits.join(sure, "qid", "left_semi").select("qid", "cid")
 
 
-def prefilter(queries: DataFrame, posts: DataFrame, grams: DataFrame, k: int = PREFILTER) -> DataFrame:
-    """(qid, cid, bm25, char, key, rank): the k best by weighted n-gram and BM25 evidence, ties by cid; two sparse joins meet in a full outer one."""
+def touched(queries: DataFrame, posts: DataFrame, grams: DataFrame) -> DataFrame:
+    """(qid, cid, bm25, char, key) of every pair with a term or gram in common; two sparse joins meet in a full outer one."""
     both = bm25_sparse(queries, posts).join(ngram_jaccard(queries, grams), ["qid", "cid"], "full").fillna(0.0, ["bm25", "char"])
-    key = F.round(W_CHAR * F.col("char") + W_BM25 * F.col("bm25"), 12)
-    both = both.withColumn("key", key)
-    return both.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("key"), "cid"))).where(F.col("rank") <= k)
+    return both.withColumn("key", F.round(W_CHAR * F.col("char") + W_BM25 * F.col("bm25"), 12))
+
+
+def first(pairs: DataFrame, k: int = PREFILTER) -> DataFrame:
+    """``pairs`` with rank, the k best of each query by key, ties by cid."""
+    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("key"), "cid"))).where(F.col("rank") <= k)
+
+
+def prefilter(queries: DataFrame, posts: DataFrame, grams: DataFrame, k: int = PREFILTER) -> DataFrame:
+    """(qid, cid, bm25, char, key, rank): the k best by weighted n-gram and BM25 evidence, ties by cid."""
+    return first(touched(queries, posts, grams), k)
+
+
+def with_evidence(pairs: DataFrame, scores: DataFrame | None) -> DataFrame:
+    """``pairs`` (qid, cid, …) with bm25, char and key from ``scores`` (see ``touched``), 0 for pairs without any."""
+    if scores is None:
+        return pairs.withColumns({c: F.lit(0.0) for c in ("bm25", "char", "key")})
+    return pairs.join(scores.select("qid", "cid", "bm25", "char", "key"), ["qid", "cid"], "left").fillna(0.0, ["bm25", "char", "key"])
 
 
 def filled(found: DataFrame, queries: DataFrame, docs: DataFrame, k: int = PREFILTER) -> DataFrame:
@@ -116,12 +131,13 @@ def slot_tokens_of_queries(queries: DataFrame, slots: DataFrame, literals: DataF
     return same.union(near).groupBy("qid", "token").agg(F.max("how").alias("how"))
 
 
-def slot_rescue(queries: DataFrame, docs: DataFrame, matched: DataFrame, found: DataFrame, k: int = SLOT_RESCUE) -> DataFrame:
-    """(qid, cid): up to k more candidates whose every slot token is matched, most tokens first, then best evidence, then cid."""
+def slot_rescue(queries: DataFrame, docs: DataFrame, matched: DataFrame, found: DataFrame, k: int = SLOT_RESCUE, scores: DataFrame | None = None) -> DataFrame:
+    """(qid, cid): up to k more candidates whose every slot token is matched, most tokens first, then best evidence in ``scores``, then cid."""
     need = docs.select("cid", F.size("slot_tokens").alias("n"), F.explode("slot_tokens").alias("token"))
     full = need.join(matched.select("qid", "token"), "token").groupBy("qid", "cid", "n").agg(F.count("*").alias("have")).where("have = n")
     full = full.join(found.select("qid", "cid"), ["qid", "cid"], "left_anti")
-    return full.withColumn("rn", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("n"), "cid"))).where(F.col("rn") <= k).select("qid", "cid")
+    full = with_evidence(full, scores)
+    return full.withColumn("rn", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("n"), F.desc("key"), "cid"))).where(F.col("rn") <= k).select("qid", "cid")
 
 
 def wildcard_pass(docs: DataFrame, queries: DataFrame, share: float = WILDCARD_COVERAGE) -> DataFrame:
@@ -136,9 +152,10 @@ def wildcard_pass(docs: DataFrame, queries: DataFrame, share: float = WILDCARD_C
     return hit.union(free).groupBy("qid", "cid").agg(F.max("coverage").alias("coverage"), F.max("matched").alias("matched"))
 
 
-def wildcard_rescue(passed: DataFrame, found: DataFrame, k: int = WILDCARD_RESCUE) -> DataFrame:
-    rest = passed.join(found.select("qid", "cid"), ["qid", "cid"], "left_anti")
-    order = Window.partitionBy("qid").orderBy(F.desc("coverage"), F.desc("matched"), "cid")
+def wildcard_rescue(passed: DataFrame, found: DataFrame, k: int = WILDCARD_RESCUE, scores: DataFrame | None = None) -> DataFrame:
+    """(qid, cid): up to k more candidates that passed, by coverage, matched words, then best evidence in ``scores``, then cid."""
+    rest = with_evidence(passed.join(found.select("qid", "cid"), ["qid", "cid"], "left_anti"), scores)
+    order = Window.partitionBy("qid").orderBy(F.desc("coverage"), F.desc("matched"), F.desc("key"), "cid")
     return rest.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k).select("qid", "cid")
 
 

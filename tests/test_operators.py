@@ -53,6 +53,25 @@ def test_rank_and_bounds(spark):
     assert filled.count() == 4
 
 
+def test_rescued_candidates_keep_their_evidence(spark):
+    many = [(i, f"bright kitchen lamp on the northern side x{i}", "A", None) for i in range(510)]
+    poor = [(1000 + i, f"a quite other thing {i} glow", "A", {"name": "glow"}) for i in range(40)]
+    rows = spark.createDataFrame([*many, *poor, (2000, "other glow", "A", {"name": "glow"})], "cid long, text string, intent string, slots map<string,string>")
+    docs, q = index.candidates(rows), queries_of(spark, "bright kitchen lamp on the northern side glow")
+    got = {r.cid: r for r in api.rank(q, docs, Options(max_candidates=1000)).collect()}
+    want = {r.cid: r for r in retrieve.prefilter(q, index.postings(docs), index.gram_postings(docs), 1000).collect()}
+    saved = {c for c in got if c >= 1000}
+    assert len(saved) == 32 and min(want[c]["rank"] for c in saved) > 500
+    assert 2000 in saved and all(got[c].bm25 == pytest.approx(want[c].bm25) and got[c].char == pytest.approx(want[c].char) for c in saved)
+    assert min(got[c].bm25 for c in saved) > 0
+
+
+def test_wildcard_rescue_prefers_evidence(spark):
+    passed = spark.createDataFrame([(0, 1, 1.0, 1), (0, 2, 1.0, 1)], "qid long, cid long, coverage double, matched long")
+    scores = spark.createDataFrame([(0, 2, 0.5, 0.5, 0.26)], "qid long, cid long, bm25 double, char double, key double")
+    assert [r.cid for r in retrieve.wildcard_rescue(passed, passed.limit(0), 1, scores=scores).collect()] == [2]
+
+
 def test_batch_equals_single(spark):
     docs = index.candidates(rows_of(spark, ["red ring", "blue ring", "hot gear", "cold rod"]))
     texts = ["the red rng", "blue rings", "hot ger"]
