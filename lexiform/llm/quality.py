@@ -23,6 +23,8 @@ LEVEL = 3
 #: Bytes below which a text says little; sets how fast the prior takes over.
 SHORT = 200
 GOOD_FROM = 0.7
+#: Lengths in bytes of the heads by which the calibration also sees short texts, the empty one among them.
+HEADS = (0, 16, 64, 160)
 
 
 def pieces(data: bytes) -> list[bytes]:
@@ -86,7 +88,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from labelled rows that aren't held out: at most SAMPLE_ROWS a class, those of smallest hash.
 
     Rows without an id or a quality are not used; a doc_id with several labels has its lowest. Two of three rows make the
-    dictionaries, the third calibrates; class weights restore the classes' shares in all labels. Without both classes, or
+    dictionaries, the third calibrates, each row as a whole and by a head of one of HEADS; class weights restore the classes' shares in
+    all labels. So an empty text, which says nothing, has about the share of good labels. Without both classes, or
     with a class of under three rows, the model gives everything the share of good labels (0.5 with no labels at all).
     """
     known = labels.select("doc_id", "quality").where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality")).where(~held_out(F.col("doc_id")))
@@ -108,6 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     model = Model(made[0], made[1], ())
     pair = model.compressors()
     fresh = [(q, t) for q in (0, 1) for i, t in enumerate(by[q]) if i % 3 == 2]
+    fresh += [(q, t[: HEADS[i % len(HEADS)]]) for q in (0, 1) for i, t in enumerate(t for j, t in enumerate(by[q]) if j % 3 == 2)]
     y = np.array([q for q, _ in fresh], float)
     n = {q: (y == q).sum() for q in (0, 1)}
     weight = np.array([share[q] / total / n[q] * len(y) for q in y.astype(int)])
