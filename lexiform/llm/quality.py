@@ -56,6 +56,7 @@ def features(data: bytes, bad, good) -> list[float]:
 
 
 def dictionary(texts: list[bytes]) -> bytes:
+    """A dictionary of pieces taken in turn from all texts; without any, a space."""
     turns = [pieces(t) for t in texts]
     took: list[bytes] = []
     for k in range(max(map(len, turns), default=0)):
@@ -81,6 +82,7 @@ def calibrated(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
 
 
 def held_out(doc_id: Column) -> Column:
+    """Whether crc32 of the id as text leaves 2 modulo 4; a null id counts as the empty text, which leaves 0."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
@@ -123,7 +125,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 def scored(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (all by default) of ``docs`` with score and predicted, from column ``text`` alone.
 
-    A null text is scored as an empty one. Whole texts are read; every row gives one row.
+    A null text is scored as an empty one. Whole texts are read; every row gives one row, equal texts equal scores. An empty table gives an
+    empty result; columns that clash with the new ones raise an error.
     """
     keep = docs.columns if keep is None else keep
     if {"score", "predicted"} & set(keep):
@@ -144,6 +147,7 @@ def scored(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Data
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document. A null doc_id isn't held out; odd rows as in ``fit`` and ``scored``."""
     docs = documents(spark, sf_dir)
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     out = scored(docs.select("doc_id", "text"), model, ["doc_id"])

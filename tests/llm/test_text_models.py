@@ -2,6 +2,7 @@ import hashlib
 import html
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -50,6 +51,9 @@ def test_quality_on_held_out_rows(spark):
     m = got.merge(labels, on="doc_id")
     m = m[m.held_out]
     assert (m.predicted == m.quality).mean() > 0.93
+    model = quality.fit(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "a")], "doc_id long, text string")
+    assert all(abs(r.score - labels.quality.mean()) < 0.1 for r in quality.scored(odd, model).collect())
 
 
 def test_quality_odd_rows(spark):
@@ -62,6 +66,8 @@ def test_quality_odd_rows(spark):
     assert again == {(r.doc_id, r.text): r.score for r in got}
     nothing = quality.fit(docs, labels.limit(0))
     assert {r.score for r in quality.scored(docs, nothing).collect()} == {0.5}
+    with pytest.raises(ValueError):
+        quality.scored(docs.withColumn("score", F.lit(1)), nothing)
     assert quality.scored(docs.limit(0), model).count() == 0
 
 
@@ -113,9 +119,41 @@ def test_html_unclosed_elements_before_closed_ones():
     assert html_text.main_text(f"<noscript><p>{LONG}</p></noscript><p>{LONG}</p>") == LONG.strip()
 
 
+def test_html_without_the_article_element(spark):
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        assert html_text.main_text(re.sub(r"<(/?)article\b", r"<\1div", r.html)) == article(r.html)
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<p title=Bob's>{LONG}<p>{LONG}it's", f"{LONG.strip()}\n{LONG}it's"),
+        (f"<article><form><p>{LONG}</form></article>", LONG.strip()),
+        (f"<form><p>Your name</form><p>{LONG}", LONG.strip()),
+        (f"<div><p>{LONG}<p>{LONG}</div><article class=teaser><p>{LONG}</article>", f"{LONG.strip()}\n{LONG.strip()}"),
+        (f"<title>Title</title><p>{LONG}", LONG.strip()),
+        (f"<article><header><h1>Title</h1></header><p>{LONG}</article>", LONG.strip()),
+        (f"<nav>Home</nav><div><h1>Title</h1><p>{LONG}<p>And.</div><footer>Legal</footer>", f"Title\n{LONG.strip()}\nAnd."),
+        (f"<article><p>{LONG}<p>{LONG}<p>And.</article><div><p>{LONG}</div>", f"{LONG.strip()}\n{LONG.strip()}\nAnd."),
+        ("<nav>Home</nav><p>short<footer>Legal</footer>", "short"),
+        (f"<p>{LONG * 3000}</p>", (LONG * 3000).strip()),
+    ],
+)
+def test_html_faults(page, want):
+    assert html_text.main_text(page) == want
+
+
+@pytest.mark.parametrize("page", ["<div>" * 20_000 + "</p>" * 20_000, "<p><div>" + "<b>" * 20_000 + "<p></p>" * 20_000, "<button>x" * 20_000, "<a href='" * 20_000, "<button><b>" * 20_000 + "</button>"])
+def test_html_time_grows_with_length(page):
+    began = time.perf_counter()
+    html_text.main_text(page)
+    assert time.perf_counter() - began < 5
+
+
 def test_html_odd_rows(spark):
     rows = spark.createDataFrame([(1, None), (2, "<p>" * 3000 + "x"), (3, "<" * 1000), (4, "<a href='" + "x" * 50_000), (None, "<p>y")], "page_id long, html string")
     got = {r.page_id: (r.text, r.n_chars) for r in html_text.extracted(rows).collect()}
+    assert html_text.extracted(rows.limit(0)).count() == 0 and html_text.extracted(rows.union(rows)).count() == 10
     assert got[1] == ("", 0) and got[2] == ("x", 1) and got[None] == ("y", 1) and len(got) == 5
     with pytest.raises(ValueError):
         html_text.extracted(rows.withColumn("text", F.lit(1)))
