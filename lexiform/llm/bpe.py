@@ -7,13 +7,17 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexiform.llm.common import documents, slices
+from lexiform.llm.common import documents, shielded, slices
 
 #: Texts longer than this many characters are cut at safe boundaries before they are encoded.
 LONG = 1 << 16
+#: White space between two characters that aren't.
+LONE = regex.compile(r"(?<=\S)\s(?=\S)")
 
 _ENCODERS: dict = {}
 
@@ -35,15 +39,16 @@ def safe_parts(text: str, long: int = LONG) -> Iterator[str]:
 
     With the pattern of the public rank files a match always starts at a single white-space character between two
     others that aren't white space: what stands before it can't reach over it, and it opens the next match or is one
-    of its own. Parts are cut before such a character only; a stretch without one stays whole.
+    of its own. Parts are cut before such a character only; a stretch without one stays whole. White space is what the pattern's ``\\s`` takes,
+    which U+001C to U+001F aren't.
     """
     start, n = 0, len(text)
     while n - start > long:
         at = start + long
-        while at < n - 1 and not (text[at].isspace() and not text[at - 1].isspace() and not text[at + 1].isspace()):
-            at += 1
-        if at >= n - 1:
+        lone = LONE.search(text, at)
+        if lone is None:
             break
+        at = lone.start()
         yield text[start:at]
         start = at
     yield text[start:]
@@ -64,12 +69,12 @@ def encoded(docs: DataFrame, ranks: bytes, pattern: str, ids: bool = False, text
     """``docs`` without ``text``, with n_tokens, ids_sha256 and decoded_sha256 (and ids where asked for).
 
     A null text is encoded as an empty one (no tokens). Whole texts are encoded; the ids are decoded to raw bytes,
-    which for any text are its UTF-8. Every row gives one row. The rank file's bytes are broadcast (under 1 MB).
+    which for any text are its UTF-8. Every row gives one row, equal texts equal values; an empty table gives an empty result. The rank file's bytes are
+    broadcast (under 1 MB). Columns of ``docs`` named like the new ones are replaced.
     """
+    new = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if ids else [])]
+    docs, back = shielded(docs, (text,), new)
     keep = [c for c in docs.columns if c != text]
-    clash = {"n_tokens", "ids_sha256", "decoded_sha256", "ids"} & set(keep)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} would be overwritten")
     shared = docs.sparkSession.sparkContext.broadcast((ranks, pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +94,7 @@ def encoded(docs: DataFrame, ranks: bytes, pattern: str, ids: bool = False, text
     out = docs.select(*keep).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if ids:
         out = out.add("ids", T.ArrayType(T.IntegerType()))
-    return docs.select(*keep, text).mapInArrow(run, out)
+    return back(docs.select(*keep, text).mapInArrow(run, out).withColumn(text, F.lit(None))).drop(text)
 
 
 def decoded(tokens: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
@@ -113,4 +118,5 @@ def public_ranks() -> tuple[bytes, str]:
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document; nulls and odd rows as in ``encoded``."""
     return encoded(documents(spark, sf_dir).select("doc_id", "text"), *public_ranks())

@@ -6,7 +6,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,9 +21,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor reaches: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests on one machine) a folder of our own is set.
+    Only where the session names none and driver and executors are one process (tests) a folder of our own is set; a cluster must name one.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that every executor reaches")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="lexiform-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
@@ -34,24 +36,55 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_WRITTEN: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, reread: lineage ends here and lost executors lose nothing."""
     spark = df.sparkSession
     path = new_path(spark, name)
     schema = df.schema
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(schema).parquet(path)
 
 
-def drop_written(df: DataFrame) -> None:
-    """Deletes the table behind a frame from ``written``; the caller holds no frame that still needs it."""
-    spark = df.sparkSession
+def drop_paths(spark: SparkSession, paths: Iterable[str]) -> None:
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(conf).delete(path, True)
 
 
+def drop_written(df: DataFrame) -> None:
+    """Deletes the table behind a frame from ``written``; the caller holds no frame that still needs it."""
+    drop_paths(df.sparkSession, {f.rpartition("/")[0] for f in df.inputFiles()})
+
+
+def written_alone(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """``written`` of what ``make`` returns; every other table written meanwhile is deleted, since nothing needs it any more."""
+    before = len(_WRITTEN)
+    out = written(df := make(), name)
+    drop_paths(df.sparkSession, _WRITTEN[before:-1])
+    del _WRITTEN[before:-1]
+    return out
+
+
+def shielded(docs: DataFrame, own: Iterable[str], new: Iterable[str] = ()) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with every column but ``own`` under a name that clashes with nothing, and a function that names a result's columns as they were.
+
+    That function appends the columns ``new``; columns of ``docs`` with one of their names are replaced by them.
+    """
+    own, new = set(own), list(new)
+    names = {c: c if c in own else f"__x{i}" for i, c in enumerate(docs.columns)}
+    taken = {c.lower() for c in new}
+
+    def back(out: DataFrame) -> DataFrame:
+        return out.select(*[F.col(f"`{n}`").alias(c) for c, n in names.items() if c.lower() not in taken], *new)
+
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), back
+
+
 def settle(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of frames that are no longer referenced, which it otherwise keeps until the driver next collects garbage."""
     gc.collect()

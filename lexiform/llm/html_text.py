@@ -10,8 +10,9 @@ from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexiform.llm.common import slices
+from lexiform.llm.common import shielded, slices
 
 #: Elements whose content is never text.
 DROPPED = frozenset("script style noscript template svg math iframe object canvas audio video head title select textarea button datalist".split())
@@ -285,18 +286,18 @@ def extracted(pages: DataFrame, column: str = "html") -> DataFrame:
     """``pages`` without ``column``, with text and n_chars (its code points).
 
     Null or empty HTML gives an empty text and 0. Every row gives one row, repeated ones too; whole pages are read. An empty table gives an empty result.
-    Columns that clash with the new ones raise an error; others pass unchanged.
+    Columns of ``pages`` named like the new ones are replaced; others pass unchanged.
     """
-    keep = [c for c in pages.columns if c != column]
-    if {"text", "n_chars"} & set(keep):
-        raise ValueError("columns text and n_chars would be overwritten")
+    inner, back = shielded(pages.withColumnRenamed(column, "__html").select(*[F.col(f"`{c}`") for c in pages.columns if c != column], "__html"), ("__html",), ("text", "n_chars"))
+    keep = inner.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             texts = [main_text(x.as_py() or "") for x in b.column(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [*keep, "text", "n_chars"])
 
-    return pages.select(*keep, column).mapInArrow(run, pages.select(*keep).schema.add("text", "string").add("n_chars", "long"))
+    out = inner.mapInArrow(run, inner.drop("__html").schema.add("text", "string").add("n_chars", "long"))
+    return back(out.withColumn("__html", F.lit(None))).drop("__html")
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiform.llm.common import SPACE, documents, written
+from lexiform.llm.common import SPACE, documents, shielded, written
 
 #: Sites from which on a line is boilerplate.
 MIN_SITES = 8
@@ -26,9 +26,15 @@ def identity(line: Column) -> Column:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, h, g) for each line of ``docs`` that isn't blank."""
-    lines = docs.select("doc_id", "source", F.explode(F.transform(F.split("text", "\n"), trimmed)).alias("line")).where("line <> ''")
-    return lines.select("doc_id", "source", identity(F.col("line")).alias("i")).select("doc_id", "source", "i.h", "i.g")
+    """(doc_id, th, source, pos, h, g) for each line of ``docs`` that isn't blank; th is a hash of the whole text, pos counts from 0."""
+    lines = docs.select("doc_id", F.xxhash64("text").alias("th"), "source", F.posexplode(F.transform(F.split("text", "\n"), trimmed)).alias("pos", "line")).where("line <> ''")
+    return lines.select("doc_id", "th", "source", "pos", identity(F.col("line")).alias("i")).select("doc_id", "th", "source", "pos", "i.h", "i.g")
+
+
+def without(parts: Column, cuts: Column) -> Column:
+    """``parts`` without those at the sorted places ``cuts``: the slices between neighbouring places."""
+    ends = F.concat(F.array(F.lit(-1)), cuts, F.array(F.size(parts)))
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(cuts)), lambda i: F.slice(parts, F.get(ends, i) + 2, F.get(ends, i + 1) - F.get(ends, i) - 1)))
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
@@ -54,28 +60,24 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     Lines are parted by newline. A line is boilerplate when its trimmed form stands in documents of at least ``min_sites`` sources; the
     document with the smallest doc_id that has it keeps it (in every place there), all others lose it. Blank
     lines are never boilerplate. A null source is no site; a null or empty text has no lines and a null or empty
-    clean_text; a null doc_id never keeps a line. Rows that repeat a doc_id lose the same lines. An empty table gives an empty result. Other
-    columns pass unchanged; names that clash with the new ones raise an error.
+    clean_text; a row with a null doc_id never keeps a line. Rows that repeat a doc_id keep or lose a line alike. An empty table gives an empty result. Other
+    columns pass unchanged; those named like the new ones are replaced.
     """
-    clash = {"n_lines", "n_removed", "clean_text", "__id", "__cut", "__kept"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} would be overwritten")
-    lines = written(lines_of(docs), "lines")
+    inner, back = shielded(docs, ("doc_id", "source", "text"), ("n_lines", "n_removed", "clean_text"))
+    lines = written(lines_of(inner), "lines")
     marks = written(boilerplate(lines, min_sites), "boilerplate")
-    hits = lines.join(marks, ["h", "g"]).where(~F.col("doc_id").eqNullSafe(F.col("first_id")))
-    hits = hits.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(F.struct("h", "g")).alias("__cut"))  # at most a document's own lines
-    out = docs.join(hits, F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")
+    hits = lines.join(marks, ["h", "g"]).where(F.col("doc_id").isNull() | F.col("first_id").isNull() | (F.col("doc_id") != F.col("first_id")))
+    hits = hits.groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).agg(F.sort_array(F.collect_set("pos")).alias("__cut"))  # at most the lines of one text
+    out = inner.join(hits, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__th")), "left")
     parts = F.split("text", "\n")
-    keep = F.when(F.col("__cut").isNull(), parts).otherwise(F.filter(parts, lambda x: ~F.array_contains("__cut", identity(trimmed(x)))))
-    out = out.withColumn("__kept", keep)
     some = F.coalesce(F.length("text"), F.lit(0)) > 0
     n = F.when(some, F.size(parts)).otherwise(0).cast("long")
-    left = F.when(some, F.size("__kept")).otherwise(0).cast("long")
-    clean = F.when(F.col("__cut").isNull(), F.col("text")).otherwise(F.array_join("__kept", "\n"))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], n.alias("n_lines"), (n - left).alias("n_removed"), clean.alias("clean_text"))
+    clean = F.when(F.col("__cut").isNull(), F.col("text")).otherwise(F.array_join(without(parts, F.col("__cut")), "\n"))
+    return back(out.withColumns({"n_lines": n, "n_removed": F.when(F.col("__cut").isNull(), 0).otherwise(F.size("__cut")).cast("long"), "clean_text": clean}))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_removed and the digest of what is left of every document; nulls and odd rows as in ``line_dedup``."""
     out = line_dedup(documents(spark, sf_dir).select("doc_id", "source", "text"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("clean_text", F.lit("")), 256).alias("kept_sha256"))
 

@@ -1,4 +1,4 @@
-"""Mixing to target weights: domain posteriors from labelled rows, and nonnegative document rates by projected gradient."""
+"""Mixing to target weights: domain posteriors from labelled rows, and document rates between 0 and 1 by projected gradient."""
 
 from __future__ import annotations
 
@@ -10,20 +10,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiform.llm.common import documents, drop_written, give_back, slices, written
+from lexiform.llm.common import documents, drop_written, give_back, shielded, slices, written
 from lexiform.llm.quality import held_out
 from lexiform.llm.words import word_hashes
 
 #: The domains, as the labelled table tells them apart.
 DOMAINS = ("clean", "toxic", "low")
-#: Production weights of the domains' tokens, and tokens of the first domain asked for as a share of those expected.
-WEIGHTS, TOTAL = (0.95, 0.015, 0.035), 1.05
+#: Production weights of the domains' tokens.
+WEIGHTS = (0.95, 0.015, 0.035)
 #: Bounds of the labelled sample: rows a domain, characters of a row; words of the classifier.
 SAMPLE_ROWS, SAMPLE_CHARS, FEATURES = 3000, 8192, 1500
 BUCKET_BITS = 18
 #: Posteriors are rounded to multiples of 1/GRID, so that documents fall into a bounded number of cells.
 GRID = 256
-STEPS, ENOUGH = 120, 1e-4
+#: Steps at most; the share of all tokens that a domain's may be off its target by when they end; times that targets are scaled down at most.
+STEPS, ENOUGH, SCALINGS = 120, 1e-4, 20
+#: The same for the tokens of the documents drawn, and steps towards it.
+DRAWN_ENOUGH, DRAWN_STEPS = 2e-3, 8
 
 
 def domain(quality: Column, toxic: Column) -> Column:
@@ -129,56 +132,115 @@ def with_posteriors(docs: DataFrame, model: DomainModel, keep: list[str]) -> Dat
 
 
 def rate(p: Column, moves: list[list[float]]) -> Column:
-    """The rate of a document with posteriors ``p`` after the gradient steps ``moves``: from 1, each step projected to 0 and above."""
+    """The rate of a document with posteriors ``p`` after the gradient steps ``moves``: from 1, each step projected onto [0, 1]."""
     if not moves:
         return F.lit(1.0)
     steps = F.array(*[F.array(*[F.lit(float(x)) for x in m]) for m in moves])
     dot = lambda m: sum((p[d] * m[d] for d in range(1, len(moves[0]))), p[0] * m[0])
-    return F.aggregate(steps, F.lit(1.0), lambda r, m: F.greatest(F.lit(0.0), r - dot(m)))
+    return F.aggregate(steps, F.lit(1.0), lambda r, m: F.least(F.lit(1.0), F.greatest(F.lit(0.0), r - dot(m))))
 
 
-def fit_rates(rows: DataFrame, weights: tuple[float, ...], total: float = 1.0) -> tuple[list[list[float]], dict]:
-    """The gradient steps whose replay by ``rate`` gives each row of (n_tokens, p) its rate; and a report.
+@dataclass
+class Fit:
+    """The gradient steps whose replay by ``rate`` gives each document its rate, and what they come to in tokens by domain.
+
+    ``wanted`` are the targets as asked for, ``target`` those scaled down to what thinning can reach, ``off`` the largest difference from ``target`` as a share of its sum.
+    """
+
+    moves: list[list[float]]
+    expected: list[float]
+    wanted: list[float]
+    target: list[float]
+    reached: list[float]
+    off: float
+    inverse: np.ndarray
+
+
+def targets(expected: np.ndarray, weights: tuple[float, ...]) -> np.ndarray:
+    """Tokens wanted of each domain: the first domain whole and the others in proportion to it by ``weights``; a domain that has less is taken whole."""
+    return np.minimum(np.array(weights) / weights[0] * expected[0], expected)
+
+
+def fit_rates(rows: DataFrame, weights: tuple[float, ...]) -> Fit:
+    """Rates in [0, 1] at which the expected tokens of rows (n_tokens, p) come to ``targets`` by domain.
 
-    Minimises sum over domains of (expected tokens at these rates - target)^2, each scaled by the domain's size, over
-    nonnegative rates, by projected gradient from rates of 1. The targets share ``total`` times what makes the first domain's target its own
-    expected tokens by ``weights``. The step from a document's rate depends on its posteriors only, so documents of one
-    cell of posteriors have one rate for ever: the corpus is summed into cells once, and each iteration is an
-    aggregation over the cells. Stops when no target is off by more than ENOUGH of the whole, or after STEPS.
+    Minimises the squared distance of the expected tokens from the targets by projected gradient from rates of 1. The distance is measured by the inverse of the
+    domains' Gram matrix, so that a step of 1 is the right length whatever the corpus: without the bounds one step would do. The step from a document's
+    rate depends on its posteriors only, so documents of one cell of posteriors have one rate for ever: the corpus is summed into cells once, and each iteration is an
+    aggregation over the cells. It ends when no target is off by more than ENOUGH of the whole. As a document belongs to several domains in part, thinning one
+    domain also takes from others: where the steps end short of the targets, the target of a domain taken whole becomes what is left of it, and the others are scaled
+    down alike to what was reached of the first, SCALINGS times at most.
+    A row without tokens or posteriors' weight changes nothing; without any tokens every rate is 1.
     """
     k = len(weights)
     cells = written(rows.groupBy("p").agg(F.sum("n_tokens").cast("double").alias("n")).coalesce(8), "cells")
     grams = cells.agg(*[F.coalesce(F.sum(F.col("n") * F.col("p")[i] * F.col("p")[j]), F.lit(0.0)).alias(f"g{i}_{j}") for i in range(k) for j in range(k)], *[F.coalesce(F.sum(F.col("n") * F.col("p")[i]), F.lit(0.0)).alias(f"e{i}") for i in range(k)]).first()
     gram = np.array([[grams[f"g{i}_{j}"] for j in range(k)] for i in range(k)])
     expected = np.array([grams[f"e{i}"] for i in range(k)])
-    target = np.array(weights) / weights[0] * expected[0] * total
-    scale = 1 / np.maximum(np.diag(gram), 1e-9)
-    top = np.linalg.eigvalsh(np.sqrt(np.outer(scale, scale)) * gram).max()
-    moves: list[list[float]] = []
-    now, whole = expected, max(target.sum(), 1.0)
-    while len(moves) < STEPS and expected.sum() > 0 and np.abs(now - target).max() > ENOUGH * whole:
-        moves.append((scale * (now - target) / max(top, 1e-9)).tolist())
-        r = rate(F.col("p"), moves)
-        got = cells.select("n", "p", r.alias("r")).agg(*[F.sum(F.col("n") * F.col("r") * F.col("p")[d]).alias(f"s{d}") for d in range(k)]).first()
-        now = np.array(got, float)
+    inverse = np.linalg.pinv(gram, rcond=1e-9, hermitian=True)
+    wanted = targets(expected, weights)
+    target, now, moves = wanted, expected, []
+    off = lambda: float(np.abs(now - target).max() / max(target.sum(), 1.0))
+    for _ in range(SCALINGS + 1):
+        before = np.inf
+        while len(moves) < STEPS and off() > ENOUGH and off() < 0.97 * before:
+            before = off()
+            moves.append((inverse @ (now - target)).tolist())
+            got = cells.select("n", "p", rate(F.col("p"), moves).alias("r")).agg(*[F.sum(F.col("n") * F.col("r") * F.col("p")[d]).alias(f"s{d}") for d in range(k)]).first()
+            now = np.array(got, float)
+        if off() <= ENOUGH or len(moves) >= STEPS:
+            break
+        short = wanted >= expected  # what is taken whole yields what thinning the others leaves of it
+        short[0] = False
+        target = np.where(short, np.minimum(target, now), target * min(1.0, now[0] / max(target[0], 1e-9)) * (1 - ENOUGH))
     drop_written(cells)
-    return moves, {"expected": expected.tolist(), "target": target.tolist(), "reached": now.tolist(), "steps": len(moves)}
+    return Fit(moves, expected.tolist(), wanted.tolist(), target.tolist(), now.tolist(), off(), inverse)
 
 
-def mixed_rates(docs: DataFrame, labels: DataFrame, keep: list[str], weights: tuple[float, ...] = WEIGHTS, total: float = TOTAL) -> DataFrame:
-    """The columns ``keep`` of ``docs`` with n_tokens, one posterior column ``p_<domain>`` for each domain, and rate (rounded to 9 digits).
+def mixed_rates(docs: DataFrame, labels: DataFrame, keep: list[str], weights: tuple[float, ...] = WEIGHTS, labelled: DataFrame | None = None) -> DataFrame:
+    """The columns ``keep`` of ``docs`` with n_tokens, one posterior column ``p_<domain>`` for each domain, rate (rounded to 9 digits) and off (``Fit.off``, one value for all rows).
 
     Every row gives one row. A null or empty text has 0 tokens, the domains' prior as posteriors, and the rate that follows from them. Rows
-    that repeat count each. An empty table gives an empty result.
+    that repeat count each. An empty table gives an empty result. Columns named like the new ones are replaced; columns of ``docs`` beyond ``keep`` are ignored.
+    ``labelled`` has the texts of the labels' rows (``docs`` by default): where ``docs`` has been filtered, the table before the filter.
+    """
+    model = fit_domains(docs if labelled is None else labelled, labels)
+    new = {"n_tokens": F.col("n_tokens"), **{f"p_{d}": F.col("p")[i] for i, d in enumerate(DOMAINS)}}
+    inner, back = shielded(docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, "text"])]), ("text",), (*new, "rate", "off"))
+    rows = written(with_posteriors(inner, model, [c for c in inner.columns if c != "text" or "text" in keep]), "posteriors")
+    fit = fit_rates(rows, weights)
+    out = back(rows.withColumns({**({} if "text" in keep else {"text": F.lit(None)}), **new, "rate": F.round(rate(F.col("p"), fit.moves), 9), "off": F.lit(round(fit.off, 9))}))
+    return out if "text" in keep else out.drop("text")
+
+
+def draw_of(rows: DataFrame, columns: list[str]) -> Column:
+    """A number in [0, 1) from the values of ``columns``: a run repeats exactly, and rows that agree in them share it."""
+    return F.pmod(F.xxhash64(F.lit("mix"), *columns), F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+
+def mixed(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = WEIGHTS, labelled: DataFrame | None = None) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, …) that are left when each stays with its rate as probability.
+
+    A row's draw is a hash of its doc_id and text, so equal rows stay or go together and none is repeated. After the fit, further
+    steps move the rates until the tokens of the rows drawn, and not only those expected, are within DRAWN_ENOUGH of the targets, DRAWN_STEPS at most;
+    the best of them counts. Nulls, empty texts and empty tables as in ``mixed_rates``: a text without tokens stays by the domains' prior.
     """
-    clash = {"n_tokens", "p", "rate", *(f"p_{d}" for d in DOMAINS)} & set(keep)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} would be overwritten")
-    rows = with_posteriors(docs, fit_domains(docs, labels), keep)
-    rows = written(rows, "posteriors")
-    moves, _ = fit_rates(rows, weights, total)
-    return rows.select(*keep, "n_tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)], F.round(rate(F.col("p"), moves), 9).alias("rate"))
+    model = fit_domains(docs if labelled is None else labelled, labels)
+    inner, back = shielded(docs, ("doc_id", "text"))
+    rows = written(with_posteriors(inner.withColumn("__u", draw_of(inner, ["doc_id", "text"])), model, [*inner.columns, "__u"]), "posteriors")
+    fit = fit_rates(rows, weights)
+    k, target = len(weights), np.array(fit.target)
+    moves, best = fit.moves, (np.inf, fit.moves)
+    for _ in range(DRAWN_STEPS + 1):
+        got = rows.where(F.col("__u") < rate(F.col("p"), moves)).agg(*[F.coalesce(F.sum(F.col("n_tokens") * F.col("p")[d]), F.lit(0.0)).alias(f"s{d}") for d in range(k)]).first()
+        now = np.array(got, float)
+        best = min(best, (float(np.abs(now - target).max() / max(target.sum(), 1.0)), moves), key=lambda x: x[0])
+        if best[0] <= DRAWN_ENOUGH:
+            break
+        moves = [*moves, (fit.inverse @ (now - target)).tolist()]
+    return back(rows.where(F.col("__u") < rate(F.col("p"), best[1])))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed_rates(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), ["doc_id"])
+    """doc_id, n_tokens, posteriors and rate of every document; nulls and odd rows as in ``mixed_rates``."""
+    return mixed_rates(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), ["doc_id"]).drop("off")

@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiform.llm.common import documents, give_back, slices
+from lexiform.llm.common import documents, give_back, shielded, slices
 
 #: Texts are compressed in pieces of so many bytes, so that the dictionary counts throughout a long text.
 PIECE = 1024
@@ -126,12 +126,11 @@ def scored(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Data
     """The columns ``keep`` (all by default) of ``docs`` with score and predicted, from column ``text`` alone.
 
     A null text is scored as an empty one. Whole texts are read; every row gives one row, equal texts equal scores. An empty table gives an
-    empty result; columns that clash with the new ones raise an error.
+    empty result; columns of ``docs`` named like the new ones are replaced.
     """
     keep = docs.columns if keep is None else keep
-    if {"score", "predicted"} & set(keep):
-        raise ValueError("columns score and predicted would be overwritten")
-    need = list(dict.fromkeys([*keep, "text"]))
+    inner, back = shielded(docs.select(*[F.col(f"`{c}`") for c in keep]) if "text" in keep else docs.select(*[F.col(f"`{c}`") for c in keep], "text"), ("text",), ("score", "predicted"))
+    need = inner.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bad, good = model.compressors()
@@ -140,10 +139,10 @@ def scored(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Data
             texts = b.column(b.schema.get_field_index("text"))
             x = np.array([features((t.as_py() or "").encode(), bad, good) for t in texts]).reshape(-1, 3)
             score = 1 / (1 + np.exp(-np.clip((x - mean) / sd @ th + model.coef[9], -30, 30)))
-            yield pa.RecordBatch.from_arrays([*(b.column(need.index(c)) for c in keep), pa.array(score), pa.array((score >= GOOD_FROM).astype(np.int32))], [*keep, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(need))), pa.array(score), pa.array((score >= GOOD_FROM).astype(np.int32))], [*need, "score", "predicted"])
 
-    out = docs.select(*keep).schema.add("score", "double").add("predicted", "integer")
-    return docs.select(*need).mapInArrow(run, out)
+    out = back(inner.mapInArrow(run, inner.select("*").schema.add("score", "double").add("predicted", "integer")))
+    return out if "text" in keep else out.drop("text")
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiform.llm.common import documents, written
+from lexiform.llm.common import documents, shielded, written
 
 #: Bits of the hash; it's the head of an MD5, so other engines can compute it too.
 HASH_BITS = 60
@@ -72,11 +72,11 @@ def shard(docs: DataFrame, limit_bytes: int = 1 << 26, key: str = "doc_id", text
 
 
 def write_shards(docs: DataFrame, path: str, limit_bytes: int = 1 << 26, key: str = "doc_id", text: str = "text") -> None:
-    """Writes all columns of ``docs`` as Parquet, one folder ``__shard=…`` for each shard."""
-    rows = docs.withColumns({"h": key_hash(F.col(key)), "n_bytes": F.coalesce(F.octet_length(text), F.lit(0)).cast("long")}) if not {"h", "n_bytes"} & set(docs.columns) else None
-    if rows is None:
-        raise ValueError("columns h and n_bytes are used by write_shards; rename them")
-    out = assign(rows, limit_bytes).withColumn("__shard", F.concat(F.lit("b"), "shard")).drop("h", "n_bytes", "depth", "bucket", "shard_bytes", "shard")
+    """Writes all columns of ``docs`` as Parquet, one folder ``__shard=…`` for each shard; a column of that name is replaced."""
+    inner, back = shielded(docs, (), ("__shard",))
+    names = dict(zip(docs.columns, inner.columns, strict=True))
+    rows = inner.withColumns({"h": key_hash(F.col(names[key])), "n_bytes": F.coalesce(F.octet_length(names[text]), F.lit(0)).cast("long")})
+    out = back(assign(rows, limit_bytes).withColumn("__shard", F.concat(F.lit("b"), "shard")))
     out.repartition("__shard").write.partitionBy("__shard").parquet(path)
 
 
@@ -85,6 +85,7 @@ LIMIT_BYTES = 1 << 20
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, depth, shard, shard_bytes of every document; nulls and odd rows as in ``shard``."""
     return shard(documents(spark, sf_dir), LIMIT_BYTES)
 
 

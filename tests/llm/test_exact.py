@@ -59,8 +59,18 @@ def test_line_dedup_cases(spark):
     assert (by[10, None].clean_text, by[11, ""].clean_text, by[None, "Menu here"].clean_text) == (None, "", "")
     assert by[12, "Menu here"].clean_text == "" and by[3, rows[3][1]].h == 1
     assert all(r.n_removed == 0 for r in line_dedup.line_dedup(docs, 11).collect())
-    with pytest.raises(ValueError):
-        line_dedup.line_dedup(docs.withColumnRenamed("h", "n_lines"))
+    clash = line_dedup.line_dedup(docs.withColumnRenamed("h", "N_lines").withColumnRenamed("line", "__x0"))
+    assert clash.columns == ["doc_id", "text", "source", "__x0", "n_lines", "n_removed", "clean_text"] and sum(r.n_lines for r in clash.collect()) == sum(r.n_lines for r in got)
+    assert line_dedup.line_dedup(docs.limit(0)).count() == 0
+
+
+def test_rows_without_ids_lose_boilerplate(spark):
+    rows = [(None, f"Menu here\nown {i}\nMenu  here", f"s{i}") for i in range(10)] + [(5, "Menu\n" + "a line of its own\n" * 20_000 + "Menu here", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = line_dedup.line_dedup(docs, 8).collect()
+    assert sorted(r.clean_text for r in got if r.doc_id is None) == sorted(f"own {i}" for i in range(10))
+    assert [(r.n_lines, r.n_removed) for r in got if r.doc_id] == [(20_002, 0)]
+    assert {r.n_removed for r in line_dedup.line_dedup(docs.where("doc_id IS NULL"), 8).collect()} == {2}
 
 
 def test_exact_counts_near_the_threshold(spark):
