@@ -24,7 +24,12 @@ SLACK = 2
 SMALL = 1 << 20
 #: Most frequent shingles that go last in the order of a set's shingles; the bound of what is broadcast (16 bytes each).
 FREQUENT = 1 << 17
-#: A block of an index list holds the sets of sizes [BLOCK^b, BLOCK^(b+1)): sizes that can link with one size stand in two blocks.
+#: Sets from which on a shingle's list is long: such shingles go last too, whatever the tasks' own counts say.
+LONG_LIST = 5000
+#: Pairs of one set that are compared in one place.
+SALT = 512
+#: A block of an index list holds sets of sizes [BLOCK^b, BLOCK^(b+1)), sizes that can link with one size stand in two, at like positions:
+#: the share of its shingles that a set has before the entry is 0, up to 1/14, or up to 1/7. Beyond 1/7 an entry can't be the smaller set's.
 BLOCK = 4 / 3
 
 _CUTS = np.arange(KEYS, dtype=np.uint64) * np.uint64((1 << 64) // KEYS)
@@ -51,8 +56,8 @@ def survey(docs: DataFrame) -> DataFrame:
     """One pass over the texts: a row (doc_id, n, k, m) for each document, and rows (t, c) of shingles that a task met in several sets.
 
     n is the set's size, k its key (null for an empty set), m KEYS shingles of it: the first hash from each of KEYS equal cuts of the
-    range of hashes on, around its end. Two sets have one of them in common about as often as their similarity says. A shingle
-    that stands in one set of every partition at most isn't frequent anywhere, so it's not counted.
+    range of hashes on, around its end. Two sets have one of them in common about as often as their similarity says. Shingles that a task
+    meets once aren't told, so one that is rare in every task but not in all is only found out by its index list (see ``index_lists``).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,52 +145,81 @@ def prefix_index(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> Da
     return docs.select("text").mapInArrow(run, "t long, k long, n int, p int, hot boolean")
 
 
-def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those (a, b) of ``pairs`` of set keys whose sets link, from ``texts`` (k, text) with one text for each key."""
-    with_a = pairs.join(texts.select(F.col("k").alias("a"), F.col("text").alias("ta")), "a")
-    both = with_a.join(texts.select(F.col("k").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those (a, b) of ``pairs`` of set keys whose sets link, from ``sets`` (k, s) with each key's sorted shingles.
+
+    The pairs of one ``a`` meet in places of about SALT pairs each; there ``a``'s shingles come once, before those of every ``b``.
+    """
+    many = pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > SALT)
+    salted = pairs.join(many, "a", "left").select("a", "b", F.when(F.col("n").isNull(), 0).otherwise(F.expr(f"pmod(xxhash64(b), cast(ceil(n / {SALT}) as int))")).cast("int").alias("salt"))
+    heads = salted.select("a", "salt").distinct().join(sets, F.col("a") == F.col("k")).select("a", "salt", F.lit(None).cast("long").alias("b"), "s")
+    tails = salted.join(sets, F.col("b") == F.col("k")).select("a", "salt", "b", "s")
+    both = heads.union(tails).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = np.zeros(0, np.int64)
         for batch in slices(batches):
-            a, b, good = batch.column(0), batch.column(1), []
-            made: dict[int, np.ndarray] = {}
-            for side, col in ((a, 2), (b, 3)):
-                keys = side.to_numpy()
-                fresh = [i for i in np.unique(keys, return_index=True)[1] if int(keys[i]) not in made]
-                for i, s in zip(fresh, _sets(batch.column(col).take(pa.array(fresh, pa.int64()))), strict=True):
-                    made[int(keys[i])] = s
-            for x, y in zip(a.to_numpy(), b.to_numpy(), strict=True):
-                s, u = made[int(x)], made[int(y)]
+            at, flat = batch.column(3).offsets.to_numpy(), batch.column(3).values.to_numpy()
+            good = []
+            for i, b in enumerate(batch.column(2).is_valid().to_pylist()):
+                u = flat[at[i] : at[i + 1]]
+                if not b:
+                    s = u.copy()
+                    good.append(False)
+                    continue
                 both = len(np.intersect1d(s, u, assume_unique=True))
                 good.append(100 * both >= PERCENT * (len(s) + len(u) - both))
-            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return both.mapInArrow(run, "a long, b long").distinct()
 
-    return both.mapInArrow(run, "a long, b long")
+
+def index_lists(docs: DataFrame, counts: DataFrame) -> DataFrame:
+    """(t, k, n, p, hot): the prefix index's lists of shingles that two sets have, written.
+
+    Shingles go by their counts, the tasks' own to begin with. Where lists of LONG_LIST sets and more turn up of shingles that weren't counted as frequent,
+    those take their places among the frequent ones with their lengths as counts, and the index is made again.
+    """
+    frequent = frequent_shingles(counts)
+    while True:
+        index = prefix_index(docs, frequent)
+        # a frequent shingle is in several sets for certain: its entries are spread by set, and only rare ones are gathered to see whether two sets have them
+        lists = index.withColumn("u", F.when(F.col("hot"), F.col("k")))
+        w = Window.partitionBy("t", "u")
+        lists = lists.withColumns({"lo": F.min("k").over(w), "hi": F.max("k").over(w), "c": F.count("*").over(w)}).where("hot or lo < hi")
+        held = written(lists.select("t", "k", "n", "p", "hot", "c"), "lists")
+        long = held.where(f"not hot and c >= {LONG_LIST}").groupBy("t").agg(F.count_distinct("k").alias("c")).where(f"c >= {LONG_LIST}").orderBy(F.desc("c"), "t").limit(max(0, FREQUENT - len(frequent[0]))).toArrow()  # at most FREQUENT rows of two numbers
+        if not long.num_rows:
+            return held.drop("c")
+        drop_written(held)
+        t, c = np.append(frequent[0], long.column("t").to_numpy().view(np.uint64)), np.append(frequent[1], long.column("c").to_numpy())
+        at = np.argsort(t)
+        frequent = t[at], c[at]
 
 
 def candidates(index: DataFrame, relation: DataFrame) -> DataFrame:
-    """(a, b, ca, cb, shared): pairs of sets of different components ca, cb that may link, from the prefix index and (k, component).
+    """(a, b, ca, cb, shared): pairs of sets of different components ca, cb that may link, from ``index_lists`` and (k, component).
 
-    An index list is cut into blocks of set sizes; an entry is sent to the blocks of sizes that it can link with and no others.
-    Within a block, entries whose positions leave too few shingles after both for an overlap of 0.75 / 1.75 of both sizes, less SLACK, are
-    skipped. A list whose sets already have one component is skipped whole: what one of them links with, they all reach.
+    An index list is cut into blocks by size and by position. As two sets that link have 0.75 / 1.75 of both sizes in common, an entry asks only the blocks in
+    which sizes and positions leave that much after both entries, less SLACK; the others are skipped unread. Within a block single entries are skipped by the same rule.
+    A list whose sets already have one component is skipped whole: what one of them links with, they all reach.
 
     ``shared`` counts the shingles in which a pair meets. A pair that links meets in its first common shingle without any slack, and in its
     first SLACK + 1 with it, or in all of its common prefix shingles if they are fewer. Those are as many as its least overlap is
     over the rest of the set whose prefix ends last. Pairs that meet in less go.
     """
-    # a frequent shingle is in several sets for certain: its entries are spread by set, and only rare ones are gathered to see whether two sets have them
-    lists = index.withColumn("u", F.when(F.col("hot"), F.col("k")))
-    w = Window.partitionBy("t", "u")
-    lists = lists.withColumns({"lo": F.min("k").over(w), "hi": F.max("k").over(w)}).where("hot or lo < hi").select("t", "u", "k", "n", "p").distinct()
-    lists = held = written(lists.join(relation, "k").select("t", "k", "n", "p", "component"), "index")
+    lists = held = written(index.select("t", "k", "n", "p").distinct().join(relation, "k").select("t", "k", "n", "p", "component"), "index")
     several = lists.groupBy("t").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("t")
     lists = lists.join(several, "t")
     size_block = lambda x: F.floor(F.log(x.cast("double")) / F.log(F.lit(BLOCK)) + 1e-9).cast("int")
+    place = f"case when p <= {SLACK} then 0 when 14 * (p - {SLACK}) <= n then 1 when 7 * (p - {SLACK}) <= n then 2 end"
+    low, high = f"greatest(0.75D * n, pow({BLOCK}D, size) * 0.999999D)", f"least(cast(n as double), pow({BLOCK}D, size + 1) * 1.000001D)"
+    reach = f"least(case when 7 * (n - p + {SLACK}) < 3 * (n + {low}) then -1 when 7 * {high} > 6 * n then 2 when 4 * {high} > 3 * n then 1 else 0 end, 2)"  # the last place of a block of sizes that may link
     # a pair's larger set asks, its smaller set answers; of equal sizes the larger key asks
-    asks = lists.select("t", F.col("k").alias("x"), F.col("n").alias("nx"), F.col("p").alias("px"), F.col("component").alias("cx"), F.explode(F.sequence(size_block(F.ceil(F.col("n") * F.lit(0.75))), size_block(F.col("n")))).alias("block"))
-    answers = lists.select("t", F.col("k").alias("y"), F.col("n").alias("ny"), F.col("p").alias("py"), F.col("component").alias("cy"), size_block(F.col("n")).alias("block"))
-    pairs = asks.join(answers, ["t", "block"]).where(f"cx <> cy and (ny < nx or ny = nx and y < x) and 4 * ny >= 3 * nx and 7 * (least(nx - px, ny - py) + {SLACK}) >= 3 * (nx + ny)")
+    asks = lists.select("t", "k", "n", "p", "component", F.explode(F.sequence(size_block(F.ceil(F.col("n") * F.lit(0.75))), size_block(F.col("n")))).alias("size")).withColumn("reach", F.expr(reach)).where("reach >= 0")
+    asks = asks.select("t", F.col("k").alias("x"), F.col("n").alias("nx"), F.col("p").alias("px"), F.col("component").alias("cx"), "size", F.explode(F.sequence(F.lit(0), F.col("reach"))).alias("place"))
+    answers = lists.select("t", F.col("k").alias("y"), F.col("n").alias("ny"), F.col("p").alias("py"), F.col("component").alias("cy"), size_block(F.col("n")).alias("size"), F.expr(place).alias("place")).where("place is not null")
+    pairs = asks.join(answers, ["t", "size", "place"]).where(f"cx <> cy and (ny < nx or ny = nx and y < x) and 4 * ny >= 3 * nx and 7 * (least(nx - px, ny - py) + {SLACK}) >= 3 * (nx + ny)")
     need = f"cast(least({SLACK} + 1, ceil(3 * (nx + ny) / 7D - 1e-9) - greatest(ceil(0.75D * nx), ceil(0.75D * ny)) + 1) as int)"
     starts = "cast(7 * least(nx - px, ny - py) >= 3 * (nx + ny) as int)"  # the pair's first common shingle passes this
     pairs = pairs.selectExpr("x as a", "y as b", f"2 * {need} + {starts} as m").groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("m").alias("m"))
@@ -209,29 +243,38 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     Equal sets are one node from the start. Sets that share one of KEYS shingle keys are tested against the key's most central set;
     the links found are relations, whose components answer for all their members. The exact index join then finds every link between components.
-    Sets are compared by 64-bit hashes of their shingles.
+    Sets are compared by 64-bit hashes of their shingles. Columns other than the two are ignored.
     """
     seen = written(survey(docs), "survey")
     sig = seen.where("n IS NOT NULL").select("doc_id", "n", "k", "m")
     known = sig.where("doc_id IS NOT NULL AND k IS NOT NULL")
     nodes = written(known.groupBy("k").agg(F.min("doc_id").alias("rep")), "nodes")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
+    repeated = not known.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").isEmpty()
 
     def chosen(pairs: DataFrame) -> DataFrame:
-        """(k, text) of the sets in ``pairs``: only their documents' texts are moved; a repeated doc_id is told by its set."""
+        """(k, s) of the sets in ``pairs``: only their documents' texts are read again; a repeated doc_id is told by its set."""
         need = pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct()
         rep = written(nodes.join(need, "k").select("k", F.col("rep").alias("doc_id")), "wanted")
         # up to a checked size the wanted ids go to the texts; beyond, both are shuffled
-        found = texts.join(F.broadcast(rep) if rep.count() <= SMALL else rep, "doc_id")
-        return written(with_key(found), "pair-texts")
+        found = with_key(texts.join(F.broadcast(rep) if rep.count() <= SMALL else rep, "doc_id").select("k", "text"))
+        out = written(found.dropDuplicates(["k"]) if repeated else found, "pair-sets")
+        drop_written(rep)
+        return out
 
     def with_key(found: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in slices(batches):
-                same = [len(s) > 0 and set_key(s) == k.as_py() for s, k in zip(_sets(b.column(1)), b.column(0), strict=True)]
-                yield b.filter(pa.array(same, pa.bool_()))
+                same, out = [], []
+                for s, k in zip(_sets(b.column(1)), b.column(0), strict=True):
+                    same.append(len(s) > 0 and set_key(s) == k.as_py())
+                    if same[-1]:
+                        out.append(s.view(np.int64))
+                at = np.cumsum([0] + [len(x) for x in out]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(out) if out else np.zeros(0, np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(same, pa.bool_())), lists], ["k", "s"])
 
-        return found.select("k", "text").mapInArrow(run, "k long, text string").dropDuplicates(["k"])
+        return found.mapInArrow(run, "k long, s array<long>")
 
     sets = known.groupBy("k").agg(F.first("m").alias("m"))
     keys = sets.select("k", F.posexplode("m").alias("i", "v"))
@@ -265,8 +308,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     part = written(components(near), "relation")
     relation = nodes.join(part, nodes.k == part.node, "left").select("k", F.coalesce("component", "k").alias("component"))
 
-    index = prefix_index(docs.select("text"), frequent_shingles(seen.where("c IS NOT NULL").select("t", "c")))
+    index = index_lists(docs.select("text"), seen.where("c IS NOT NULL").select("t", "c"))
     pairs = written(candidates(index, relation), "candidates")
+    drop_written(index)
     # first the likeliest pair of each two components: where it links, the answer holds for both and their other pairs are settled
     best = pairs.groupBy("ca", "cb").agg(F.max_by(F.struct("a", "b"), F.struct("shared", "a", "b")).alias("p")).select("p.a", "p.b")
     best = written(best, "likeliest")
@@ -285,4 +329,5 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document; nulls and odd rows as in ``jaccard_components``."""
     return jaccard_components(documents(spark, sf_dir))

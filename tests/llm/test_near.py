@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexiform.llm import jaccard, substring_dedup, words
 
@@ -65,6 +66,36 @@ def test_index_alone_finds_every_link(spark, monkeypatch):
     assert sorted(map(tuple, got), key=str) == brute_components(rows)
 
 
+def test_lists_that_no_task_knew_to_be_long(spark, monkeypatch):
+    """Shingles that are rare in every task and not in all go last once their lists turn out long; no link is lost by it, nor by salted comparisons."""
+    monkeypatch.setattr(jaccard, "LONG_LIST", 6)
+    monkeypatch.setattr(jaccard, "SALT", 2)
+    made = []
+    index = jaccard.prefix_index
+    monkeypatch.setattr(jaccard, "prefix_index", lambda docs, frequent: made.append(len(frequent[0])) or index(docs, frequent))
+    rows = corpus(4, 120)
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, DOCS).repartition(40)).collect()
+    assert sorted(map(tuple, got), key=str) == brute_components(rows) and len(made) > 1 and made[1] > made[0]
+
+
+@pytest.mark.parametrize("words_", [5, 8, 12, 40])
+def test_small_sets_of_all_sizes(spark, monkeypatch, words_):
+    """Sets whose sizes and first common places lie on every border of the index's blocks."""
+    monkeypatch.setattr(jaccard, "ALIKE", 99)
+    r = random.Random(words_)
+    base = [f"w{i}" for i in range(words_ * 2)]
+    rows = [(i, " ".join(base[r.randrange(3) : r.randrange(words_, 2 * words_)] + [f"x{r.randrange(9)}"] * r.randrange(2))) for i in range(90)]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted(map(tuple, got), key=str) == brute_components(rows)
+
+
+def test_very_long_text_and_other_columns(spark):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(1, long, "x"), (2, long.replace("w7 ", "v "), "x"), (3, long[: len(long) // 2], "x")]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, DOCS + ", k string").withColumn("component_id", F.col("k"))).collect()
+    assert [(r.doc_id, r.n_shingles, r.component_id) for r in sorted(got)] == [(1, 59_996, 1), (2, 59_996, 1), (3, jaccard.shingles(next(words.word_hashes([rows[2][1].encode()]))[0]).size, 3)]
+
+
 def test_link_at_exactly_three_quarters(spark):
     a = [f"a{i}" for i in range(11)]  # 7 shingles; six kept and one new of each gives 6 / 8
     rows = [(1, " ".join(a)), (2, " ".join([*a[:10], "z"])), (3, " ".join([*a[:9], "y", "z"]))]
