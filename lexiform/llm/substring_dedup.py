@@ -1,4 +1,8 @@
-"""Substring deduplication: suffix automata of reference shards give each window the smallest document that has it."""
+"""Substring deduplication: suffix automata of reference shards give each window the smallest document that has it.
+
+``without_reference`` broadcasts the shards of a reference corpus round by round and streams every document through them. ``substring_dedup`` has the
+corpus itself as reference; there a window is sent to the one shard that can hold it.
+"""
 
 from __future__ import annotations
 
@@ -18,8 +22,12 @@ from lexiform.llm.words import window_hashes, word_hashes
 WINDOW = 50
 #: Words of a gram; each window is represented by its smallest gram.
 GRAM = 8
-#: Words of one reference shard, which bounds an automaton.
-SHARD_WORDS = 40_000
+#: Words of one reference shard, which bounds an automaton, and of the shards that are broadcast at once.
+SHARD_WORDS, ROUND_WORDS = 40_000, 1_000_000
+#: Contexts of one anchor from which on its windows are told apart one by one; ids of such anchors that are broadcast at most.
+HOT, SMALL = 1000, 1 << 20
+#: What a window has that stands in no reference document.
+NONE = 1 << 62
 
 
 class SuffixAutomaton:
@@ -27,13 +35,13 @@ class SuffixAutomaton:
 
     def __init__(self) -> None:
         self.next: list[dict[int, int]] = [{}]
-        self.link, self.length, self.low = array("i", [-1]), array("i", [0]), array("q", [1 << 62])
+        self.link, self.length, self.low = array("i", [-1]), array("i", [0]), array("q", [NONE])
 
     def _state(self, length: int, moves: dict[int, int]) -> int:
         self.next.append(moves)
         self.link.append(-1)
         self.length.append(length)
-        self.low.append(1 << 62)
+        self.low.append(NONE)
         return len(self.next) - 1
 
     def _split(self, p: int, c: int, q: int) -> int:
@@ -76,7 +84,7 @@ class SuffixAutomaton:
                 self.low[up] = self.low[v]
 
     def matches(self, words: list[int], window: int) -> Iterator[int]:
-        """For each window of ``words``, in order: the smallest document that has it, or 1 << 62.
+        """For each window of ``words``, in order: the smallest document that has it, or NONE.
 
         Streams the words once, keeping the longest suffix that the automaton has, cut to ``window`` words (matching statistics).
         """
@@ -94,7 +102,7 @@ class SuffixAutomaton:
             while v and length[link[v]] >= size:
                 v = link[v]
             if i >= window - 1:
-                yield low[v] if size == window else 1 << 62
+                yield low[v] if size == window else NONE
 
 
 def anchors(words: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,6 +156,14 @@ def parts(rows: DataFrame) -> DataFrame:
             raw = [(t.as_py() or "").encode() for t in b.column(1)]
             out: list[tuple] = []
             held = 0
+
+            def flush() -> pa.RecordBatch:
+                nonlocal held
+                made = pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], f.type) for j, f in enumerate(schema)], schema=schema)
+                out.clear()
+                held = 0
+                return made
+
             for i, (w, s, e) in enumerate(word_hashes(raw)):
                 doc, text, shared, th = b.column(0)[i].as_py(), raw[i], b.column(2)[i].as_py(), b.column(3)[i].as_py()
                 if not shared:
@@ -162,11 +178,12 @@ def parts(rows: DataFrame) -> DataFrame:
                     d = hashlib.blake2b(context, digest_size=16).digest()
                     out.append(("context", doc, th, None, None, None, int(g[k : k + 1].view(np.int64)[0]), int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), a, z - WINDOW - a + 1, context.decode()))
                     held += len(context)
+                    if held > 2_000_000:  # a repetitive text has a context for nearly each of its words
+                        yield flush()
                 if held > 2_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], f.type) for j, f in enumerate(schema)], schema=schema)
-                    out, held = [], 0
+                    yield flush()
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], f.type) for j, f in enumerate(schema)], schema=schema)
+                yield flush()
 
     return rows.select("doc_id", "text", "shared", "th").mapInArrow(run, PARTS)
 
@@ -235,6 +252,40 @@ def lowest(contexts: DataFrame) -> DataFrame:
     return contexts.select("h", "c1", "c2", "context", "doc").mapInArrow(run, "c1 long, c2 long, low array<long>")
 
 
+def window_rows(contexts: DataFrame) -> DataFrame:
+    """(c1, c2, i, d1, d2, doc) for the i-th window of each context, d1 and d2 being its 128-bit digest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            out: list[tuple] = []
+            for c1, c2, context, doc in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                words = context.split(" ")
+                for i in range(len(words) - WINDOW + 1):
+                    d = hashlib.blake2b(" ".join(words[i : i + WINDOW]).encode(), digest_size=16).digest()
+                    out.append((c1, c2, i, int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), doc))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], k) for j, k in enumerate(kinds)], ["c1", "c2", "i", "d1", "d2", "doc"])
+
+    return contexts.select("c1", "c2", "context", "doc").mapInArrow(run, "c1 long, c2 long, i int, d1 long, d2 long, doc long")
+
+
+def lowest_of_all(distinct: DataFrame) -> DataFrame:
+    """``lowest``, where no anchor's contexts meet in one task beyond HOT of them.
+
+    The contexts of an anchor with more are cut into their windows; equal ones meet by their digests, with map-side combine.
+    """
+    hot = written(distinct.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("h"), "hot")
+    few = F.broadcast(hot) if hot.count() <= SMALL else hot  # broadcast: a checked number of ids
+    rest = distinct.join(few, "h", "left_anti")
+    low = written(lowest(rest.repartition("h").sortWithinPartitions("h", "c1", "c2")), "lowest")
+    if hot.isEmpty():
+        return low
+    rows = written(window_rows(distinct.join(few, "h", "left_semi")), "windows")
+    best = rows.groupBy("d1", "d2").agg(F.min("doc").alias("x"))
+    per = rows.select("c1", "c2", "i", "d1", "d2").join(best, ["d1", "d2"]).groupBy("c1", "c2").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("w"))  # at most a context's own windows
+    return low.union(per.select("c1", "c2", F.col("w.x").alias("low")))
+
+
 def finished(rows: DataFrame, with_text: bool) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept_text where asked for) from (doc_id, n_words, text, starts): windows at ``starts`` go."""
 
@@ -278,7 +329,7 @@ def substring_dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
 
     around = table.where("kind = 'context'").select("h", "c1", "c2", "context", F.col("doc_id").alias("doc"))
     distinct = around.groupBy("c1", "c2").agg(F.first("h").alias("h"), F.first("context").alias("context"), F.min("doc").alias("doc"))
-    low = written(lowest(distinct.repartition("h").sortWithinPartitions("h", "c1", "c2")), "lowest")
+    low = lowest_of_all(written(distinct, "contexts"))
     places = table.where("kind = 'context'").select("doc_id", "th", "c1", "c2", "first")
     hits = places.join(low, ["c1", "c2"]).select("doc_id", "th", F.expr("filter(transform(low, (x, i) -> if(x < doc_id, first + i, -1)), x -> x >= 0)").alias("at")).where("size(at) > 0")
     hits = hits.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("at")).alias("starts"))  # at most a text's own windows
@@ -288,7 +339,110 @@ def substring_dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
     return changed.union(same)
 
 
+def reference_pieces(reference: DataFrame) -> DataFrame:
+    """(id, n, piece): the words of the reference texts in pieces of at most SHARD_WORDS words, which overlap by less than a window; short texts go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            out: list[tuple] = []
+            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                words = (t.as_py() or "").encode().split()
+                for at in range(0, max(len(words) - WINDOW + 1, 0), SHARD_WORDS - WINDOW + 1):
+                    part = words[at : at + SHARD_WORDS]
+                    out.append((i, len(part), b" ".join(part).decode()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], k) for j, k in enumerate((pa.int64(), pa.int64(), pa.string()))], ["id", "n", "piece"])
+
+    return reference.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "id long, n long, piece string")
+
+
+def rounds(pieces: DataFrame) -> Iterator[list[list[tuple[int, str]]]]:
+    """The pieces in rounds of at most twice ROUND_WORDS words, each as shards of at most SHARD_WORDS words (or one piece)."""
+    total = pieces.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    count = max(1, -(-total // ROUND_WORDS))
+    turn = lambda m: F.pmod(F.xxhash64("id", "piece"), F.lit(m))
+    while pieces.groupBy(turn(count)).agg(F.sum("n").alias("n")).where(F.col("n") > 2 * ROUND_WORDS).limit(1).count():
+        count *= 2
+    for r in range(count):
+        shards, size = [[]], 0
+        for x in pieces.where(turn(count) == r).collect():  # at most twice ROUND_WORDS words
+            if size and size + x.n > SHARD_WORDS:
+                shards.append([])
+                size = 0
+            shards[-1].append((NONE - 1 if x.id is None else x.id, x.piece))
+            size += x.n
+        if shards[0]:
+            yield shards
+
+
+_BUILT: dict = {}
+
+
+def automata(key: str, shards: list[list[tuple[int, str]]]) -> list[tuple[SuffixAutomaton, dict[str, int]]]:
+    """The automata of a round's shards with their numbers of words; a worker process holds one round's."""
+    if key not in _BUILT:
+        _BUILT.clear()
+        built = []
+        for shard in shards:
+            number: dict[str, int] = {}
+            ref = SuffixAutomaton()
+            for i, piece in shard:
+                ref.add([number.setdefault(w, len(number)) for w in piece.split(" ")], i)
+            ref.finish()
+            built.append((ref, number))
+        _BUILT[key] = built
+    return _BUILT[key]
+
+
+def reference_hits(docs: DataFrame, reference: DataFrame, smaller: bool = False) -> DataFrame:
+    """(doc_id, th, starts): the windows of each document that stand in ``reference`` (doc_id, text), or there in a text with a smaller doc_id; th is a hash of the text.
+
+    The reference goes out in rounds of broadcast shards, whose size is checked, and every document is streamed through each shard's automaton: matching
+    statistics tell the longest match that ends at each word. Cost is documents times shards, so this is for references that don't grow with the documents.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
+    pieces = written(reference_pieces(reference), "pieces")
+    out = None
+    for r, shards in enumerate(rounds(pieces)):
+        shared, key = docs.sparkSession.sparkContext.broadcast(shards), f"{id(pieces)}-{r}-{sum(map(len, shards))}"
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, key=key) -> Iterator[pa.RecordBatch]:
+            built = automata(key, shared.value)
+            for b in slices(batches):
+                starts = []
+                for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                    words = (t.as_py() or "").encode().split()
+                    own = NONE if not smaller else -NONE if i is None else i
+                    found: set[int] = set()
+                    if len(words) >= WINDOW:
+                        text = b" ".join(words).decode().split(" ")
+                        for ref, number in built:
+                            found.update(k for k, x in enumerate(ref.matches([number.get(w, -1) for w in text], WINDOW)) if x < own)
+                    starts.append(sorted(found))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(starts, pa.list_(pa.int64()))], ["doc_id", "th", "starts"]).filter(pa.array([bool(x) for x in starts], pa.bool_()))
+
+        one = written(rows.select("doc_id", "text", "th").mapInArrow(run, "doc_id long, th long, starts array<long>"), "round")
+        shared.unpersist()
+        out = one if out is None else out.union(one)
+    if out is None:
+        return rows.select("doc_id", "th", F.array().cast("array<long>").alias("starts")).limit(0)
+    return out.groupBy("doc_id", "th").agg(F.flatten(F.collect_set("starts")).alias("starts"))  # at most a text's own windows
+
+
+def without_reference(docs: DataFrame, reference: DataFrame, smaller: bool = False) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256, kept_text of every row of ``docs``, without the spans of 50 words and more that stand in ``reference`` (doc_id, text).
+
+    With ``smaller`` only reference texts with a smaller doc_id count; rows without a doc_id then lose nothing and are no reference. Null texts have no words; rows that repeat lose the same;
+    empty tables give an empty result, or nothing removed; other columns are ignored.
+    """
+    hits = reference_hits(docs, reference, smaller)
+    rows = docs.select(F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__th"), F.coalesce("text", F.lit("")).alias("text"))
+    joined = rows.join(hits, F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__th") == F.col("th")), "left")
+    n_words = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long")
+    return finished(joined.select(F.col("__id").alias("doc_id"), n_words.alias("n_words"), "text", "starts"), True)
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of every document; nulls and odd rows as in ``substring_dedup``."""
     return substring_dedup(documents(spark, sf_dir), with_text=False)
 
 

@@ -164,6 +164,38 @@ def test_several_shards_of_one_anchor(spark, monkeypatch):
     assert sorted(map(tuple, got.collect()), key=str) == brute_substrings(rows)
 
 
+def test_contexts_of_a_hot_anchor_meet_by_their_windows(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HOT", 2)
+    rows = passages(7)
+    got = substring_dedup.substring_dedup(spark.createDataFrame(rows, DOCS), with_text=False)
+    assert sorted(map(tuple, got.collect()), key=str) == brute_substrings(rows)
+
+
+def test_broadcast_shards_of_a_reference(spark, monkeypatch):
+    """The corpus as its own reference gives the same as the routed form; another reference loses its spans from every document."""
+    monkeypatch.setattr(substring_dedup, "SHARD_WORDS", 300)
+    monkeypatch.setattr(substring_dedup, "ROUND_WORDS", 900)
+    rows = passages(8) + [(100, None), (101, ""), (None, " ".join(f"v{i}" for i in range(60)))]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("starts", F.lit("x"))
+    got = substring_dedup.without_reference(docs, docs, smaller=True).collect()
+    assert sorted((tuple(r)[:4] for r in got), key=str) == brute_substrings(rows)
+    r = random.Random(9)
+    refs = [(i, " ".join(t for _, t in r.sample(rows[:60], 3))) for i in range(5)] + [(7, "too short"), (None, rows[3][1]), (8, None)]
+    have = {tuple(w[k : k + 50]) for _, t in refs for w in [plain_words(t)] for k in range(len(w) - 49)}
+    for row in substring_dedup.without_reference(docs, spark.createDataFrame(refs, DOCS)).collect():
+        w = next(plain_words(t) for i, t in rows if i == row.doc_id)
+        gone = {j for k in range(len(w) - 49) if tuple(w[k : k + 50]) in have for j in range(k, k + 50)}
+        assert (row.n_words, row.n_removed, row.kept_text) == (len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone))
+    assert substring_dedup.without_reference(docs.limit(0), docs).count() == 0
+    assert {x.n_removed for x in substring_dedup.without_reference(docs, docs.limit(0)).collect()} == {0}
+
+
+def test_long_repetitive_text(spark):
+    rows = [(1, "again and " * 20_000), (2, "again and " * 30_000 + "end"), (3, "x")]
+    got = substring_dedup.substring_dedup(spark.createDataFrame(rows, DOCS).withColumn("shared", F.lit(1)), with_text=False).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed) for r in got} == {1: (40_000, 0), 2: (60_001, 60_000), 3: (1, 0)}
+
+
 def test_automaton_against_search():
     from hypothesis import given, settings
     from hypothesis import strategies as st
