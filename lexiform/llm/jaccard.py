@@ -16,8 +16,8 @@ from lexiform.llm.words import mixed, shingles, word_hashes
 SHINGLE, PERCENT = 5, 75
 #: Keys by which a set finds a set like it before the index is built.
 KEYS = 16
-#: Keys of KEYS that two sets have in common before they're compared ahead of the index; sets of a random cell, and neighbours that each meets in it.
-ALIKE, CELL, STEPS = 8, 64, 6
+#: Keys of KEYS that two sets have in common before they're compared ahead of the index; sets of a random cell, in which each meets its neighbour; rounds of that.
+ALIKE, CELL, ROUNDS = 8, 64, 2
 #: Positions by which later common shingles of a pair may lie deeper than its first one may.
 SLACK = 2
 #: Ids that are broadcast to the texts at most (16 bytes each).
@@ -242,7 +242,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     component (null) and take part in no link; rows that repeat a doc_id are one node, so their texts' links join. An empty table gives an empty result.
 
     Equal sets are one node from the start. Sets that share one of KEYS shingle keys are tested against the key's most central set;
-    the links found are relations, whose components answer for all their members. The exact index join then finds every link between components.
+    the links found are relations, whose components answer for all their members; components that a key still has then meet in rounds. The exact index join then finds every link between components.
     Sets are compared by 64-bit hashes of their shingles. Columns other than the two are ignored.
     """
     seen = written(survey(docs), "survey")
@@ -281,24 +281,37 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     size = keys.groupBy("i", "v").agg(F.count("*").alias("c")).where("c > 1")
     keys = keys.join(size, ["i", "v"])
     central = keys.groupBy("k").agg(F.sum("c").alias("score"))  # the set that most others are like has the most common keys
+    sets = written(sets, "sets")
     keys = written(keys.join(central.join(sets, "k"), "k"), "keys")
     first = keys.groupBy("i", "v").agg(F.max_by(F.struct("k", "m"), F.struct("score", "k")).alias("pivot"))
     alike = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: (u == v).cast("int")), F.lit(0), lambda r, z: r + z) >= ALIKE
     stars = keys.join(first, ["i", "v"]).where((F.col("k") != F.col("pivot.k")) & alike(F.col("m"), F.col("pivot.m")))
     stars = written(stars.select(F.col("pivot.k").alias("a"), F.col("k").alias("b")).distinct(), "stars")
-    # sets that aren't linked with the central one meet a few others of theirs: neighbours in small random cells of a key's sets
-    w = Window.partitionBy("i", "v", F.expr(f"pmod(xxhash64(k, i), cast(ceil(c / {CELL}) as int))")).orderBy(F.xxhash64("i", "k"), "k")
-    others = F.array(*[F.lag(F.struct("k", "m"), step).over(w) for step in range(1, STEPS + 1)])
-    met = keys.select("k", "m", others.alias("o")).select("k", "m", F.explode("o").alias("o")).where(F.col("o").isNotNull() & alike(F.col("m"), F.col("o.m")))
-    met = written(met.select(F.least("k", "o.k").alias("a"), F.greatest("k", "o.k").alias("b")).distinct(), "neighbours")
-    pool = chosen(stars.union(met))
-    near = written(linked(stars, pool), "near")
-    settle(docs.sparkSession)
+    near = written(linked(stars, pool := chosen(stars)), "near")
+    drop_written(pool)
     part = written(components(near), "relation")
     other = lambda c, name: part.select(F.col("node").alias(c), F.col("component").alias(name))
-    apart = met.join(other("a", "ca"), "a", "left").join(other("b", "cb"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-    near = written(near.union(linked(apart, pool)), "near")
-    for done in (keys, stars, met, pool):
+    # of the components that a key has after that, one set each meets another: in turn a neighbour in a small random cell, and a random set of the key's largest component
+    for turn in range(ROUNDS):
+        owned = keys.select("i", "v", "k", "c").join(other("k", "component"), "k", "left").withColumn("component", F.coalesce("component", "k"))
+        one = owned.groupBy("i", "v", "c", "component").agg(F.count("*").alias("n"), F.min_by("k", F.xxhash64(F.lit(turn), "i", "k")).alias("k"))
+        if turn % 2:
+            largest = one.groupBy("i", "v").agg(F.max_by(F.struct("component", "k"), F.struct("n", "component")).alias("p"))
+            met = one.join(largest, ["i", "v"]).where("component <> p.component").select("k", F.col("p.k").alias("o"))
+        else:
+            cell = F.expr(f"pmod(xxhash64(component, i, {turn}), cast(ceil(c / {CELL}) as int))")
+            met = one.select("k", F.lag("k").over(Window.partitionBy("i", "v", cell).orderBy(F.xxhash64(F.lit(turn), "i", "k"), "k")).alias("o")).where("o is not null")
+        met = met.select(F.least("k", "o").alias("a"), F.greatest("k", "o").alias("b")).distinct()
+        m = lambda c, name: sets.select(F.col("k").alias(c), F.col("m").alias(name))
+        met = written(met.join(m("a", "ma"), "a").join(m("b", "mb"), "b").where(alike(F.col("ma"), F.col("mb"))).select("a", "b"), "neighbours")
+        fresh = written(linked(met, pool := chosen(met)), "near")
+        drop_written(pool)
+        drop_written(met)
+        if fresh.isEmpty():
+            break
+        near = written(near.union(fresh), "near")
+        part = written(components(near), "relation")
+    for done in (keys, stars):
         drop_written(done)
     settle(docs.sparkSession)
     twice = known.select("doc_id", "k").distinct()
