@@ -2,60 +2,129 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiform.config import CAP_TEMPLATE, Options
+from lexiform.functions import similarity
 from lexiform.functions import text as T
 from lexiform.operators import decide, evaluate, grammar, index, merge, rehydrate, retrieve, route, score
 from lexiform.shipping import ship
 from lexiform.streaming.refresh import Generations, SingleFlight, drain
+from lexiform.tables import release, result, scratch, settled, written
 
 
 class EngineError(RuntimeError):
     """A request that the engine can't serve."""
 
 
-def prepared_queries(queries: DataFrame) -> DataFrame:
-    """Queries (qid, text, …) with norm, norm_nd, tokens and grams; blank ones go."""
-    q = queries.withColumn("norm", T.normalize(F.col("text"))).where("norm <> ''")
-    return q.withColumns({"norm_nd": T.fold(F.col("norm")), "tokens": T.tokens(F.col("norm")), "grams": T.char_ngrams(F.col("norm"))})
+def prepared_queries(queries: DataFrame, language: str | None = None) -> DataFrame:
+    """Queries (qid, text, …) with norm, norm_nd (folded by ``language``'s rules), tokens and grams; blank ones go."""
+    q = queries.withColumn("norm", T.normalize_any(F.col("text"))).where("norm <> ''")
+    return q.withColumns({"norm_nd": T.fold(F.col("norm"), language), "tokens": T.tokens(F.col("norm")), "grams": T.char_ngrams(F.col("norm"))})
 
 
-def rank(queries: DataFrame, docs: DataFrame, options: Options | None = None, fill: bool = False) -> DataFrame:
-    """Ranked candidates of every query: exact matches with full scores, else prefilter, rescues, scores, order, ties, competition, limit.
+def with_vocabulary(queries: DataFrame, vocabulary: DataFrame, slot_words: DataFrame) -> DataFrame:
+    """``queries`` with q_slot_tokens, q_other (words that no literal has, exactly or by position) and q_short (words of one or two characters that no literal has).
 
-    ``queries`` is from ``prepared_queries``, ``docs`` from ``index.candidates`` or ``index.build``. ``fill`` also ranks the first candidates without any evidence.
+    ``vocabulary`` has the literals' words (token), ``slot_words`` the queries' slot words (qid, token).
     """
-    o = options or Options()
-    queries, docs = queries.persist(), docs.persist()  # each is read by every branch below; a lost part is computed again from its lineage
-    hits = retrieve.exact(queries, docs, o.max_candidates)
-    folded = retrieve.exact_folded(queries.join(hits.select("qid").distinct(), "qid", "left_anti"), docs)
-    whole = hits.select("qid", "cid").union(folded).persist()
-    rest = queries.join(whole.select("qid").distinct(), "qid", "left_anti")
-    scores = retrieve.touched(rest, index.postings(docs), index.gram_postings(docs)).persist()  # the rescues need those beyond the window too
-    found = retrieve.first(scores).persist()
-    if fill:
-        found = retrieve.filled(found, rest, docs)
-    slots = index.slot_index(docs)
-    matched = retrieve.slot_tokens_of_queries(rest, slots, index.literal_vocabulary(docs)).persist()
-    extra = retrieve.slot_rescue(rest, docs, matched, found, scores=scores)
-    wild = retrieve.wildcard_rescue(retrieve.wildcard_pass(docs.where(F.size("wildcard_slots") > 0), rest), found.unionByName(extra, allowMissingColumns=True), scores=scores)
-    more = retrieve.with_evidence(extra.union(wild).distinct(), scores).select("qid", "cid", "bm25", "char")
-    pairs = found.select("qid", "cid", "bm25", "char").union(more)
-    spoken = matched.groupBy("qid").agg(F.collect_set("token").alias("q_slot_tokens"))  # at most a query's own words and their variations
-    rest = rest.join(spoken, "qid", "left").withColumn("q_slot_tokens", F.coalesce("q_slot_tokens", F.array().cast("array<string>")))
-    rows = score.scored(pairs, rest, docs, o.min_confidence)
-    one = F.lit(1.0)
-    sure = whole.join(docs, "cid").join(queries.select("qid", F.col("norm").alias("q_norm"), F.col("tokens").alias("q_tokens")), "qid")
-    sure = sure.withColumns({c: one for c in ("bm25", "char", "fuzzy", "intent_score", "weighted", "final")})
-    rows = rows.unionByName(sure, allowMissingColumns=True)
+    spoken = slot_words.groupBy("qid").agg(F.collect_set("token").alias("q_slot_tokens"))  # at most a query's own words and their variations
+    terms = retrieve.query_terms(queries)
+    unknown = terms.join(vocabulary.select(F.col("token").alias("term")), "term", "left_anti")
+    short = unknown.where("length(term) < 3").groupBy("qid").agg(F.collect_set("term").alias("q_short"))
+    placed = similarity.positional_lookup(vocabulary, unknown).select("qid", "term").distinct()
+    other = unknown.groupBy("qid").agg(F.collect_set("term").alias("__unknown")).join(placed.groupBy("qid").agg(F.collect_set("term").alias("__placed")), "qid", "left")
+    out = queries.join(spoken, "qid", "left").join(short, "qid", "left").join(other, "qid", "left")
+    none = F.array().cast("array<string>")
+    unknown_ = F.coalesce("__unknown", none)
+    return out.withColumns({"q_slot_tokens": F.coalesce("q_slot_tokens", none), "q_short": F.coalesce("q_short", none), "q_other": F.array_except(unknown_, F.coalesce("__placed", none))}).drop("__unknown", "__placed")
+
+
+def ranked(rows: DataFrame, o: Options) -> DataFrame:
+    """Scored rows in order, with ties, competition and limit."""
+    if "preferences" in rows.columns:
+        rows = rows.withColumn("preference", decide.slot_preference(F.coalesce("replacements", F.create_map().cast("map<string,string>")), F.col("preferences")))
     return decide.limited(decide.with_competition(decide.disambiguated(decide.ordered(rows))), o.max_candidates)
 
 
-def decisions(ranked: DataFrame, options: Options | None = None) -> DataFrame:
+def rank(queries: DataFrame, docs: DataFrame, options: Options | None = None, fill: bool = True, reference: DataFrame | None = None) -> DataFrame:
+    """Ranked candidates of every query: exact matches with full scores, else prefilter, rescues, placeholders filled, scores, order, ties, competition, limit.
+
+    ``queries`` is from ``prepared_queries`` (a ``context`` map and ``preferences`` are used where they are), ``docs`` from ``index.candidates`` or ``index.build``. With ``fill`` a window that
+    evidence doesn't fill takes the first candidates without any. ``reference`` is the corpus whose word weights count (``docs`` by default).
+    What several branches read is written once; those tables are deleted again, and the result is a written table itself.
+    """
+    o = options or Options()
+    with scratch(queries.sparkSession):
+        queries, docs = settled(queries, "queries"), settled(docs, "candidates")
+        hits = retrieve.exact(queries, docs, o.max_candidates)
+        folded = retrieve.exact_folded(queries.join(hits.select("qid").distinct(), "qid", "left_anti"), docs)
+        whole = written(hits.select("qid", "cid").union(folded), "exact")
+        rest = written(queries.join(whole.select("qid").distinct(), "qid", "left_anti"), "rest")
+        raw = written(retrieve.bm25_raw(rest, index.postings(docs)), "bm25")
+        scores = written(retrieve.touched(rest, None, index.gram_postings(docs), raw), "touched")  # the rescues need those beyond the window too
+        found = retrieve.first(scores)
+        found = written(retrieve.filled(found, rest, docs) if fill else found, "window")
+        vocabulary = written(index.literal_vocabulary(docs), "vocabulary")
+        matched = written(retrieve.slot_tokens_of_queries(rest, index.slot_index(docs), vocabulary), "slot-words")
+        extra = written(retrieve.slot_rescue(rest, docs, matched, found, scores=scores), "rescued")
+        passed = written(retrieve.wildcard_pass(docs.where(F.size("wildcard_slots") > 0), rest), "passed")
+        wild = retrieve.wildcard_rescue(passed, found.unionByName(extra, allowMissingColumns=True), scores=scores)
+        more = retrieve.with_evidence(extra.union(wild).distinct(), scores).select("qid", "cid", "bm25", "char")
+        pairs = written(found.select("qid", "cid", "bm25", "char").union(more), "pairs")
+        asked = written(with_vocabulary(rest, vocabulary, matched.select("qid", "token")), "asked")
+        rows = score.paired(pairs, asked, docs)
+        open_ = pairs.join(passed.select("qid", "cid"), ["qid", "cid"], "left_semi").join(docs.where(F.size("wildcard_slots") > 0).select("cid"), "cid", "left_semi")
+        if open_.isEmpty():
+            rows = rows.where(F.size("wildcard_slots") == 0)
+        else:
+            corpus = docs if reference is None else reference
+            tops = raw.groupBy("qid").agg(F.max("raw").alias("top"))
+            filled = written(rehydrate.rescored(score.paired(open_, asked, docs), index.term_stats(corpus), index.corpus_stats(corpus), tops), "filled")
+            rows = rows.where(F.size("wildcard_slots") == 0).unionByName(filled, allowMissingColumns=True)
+        rows = score.finished(rows, "context" in queries.columns, o.min_confidence)
+        one = F.lit(1.0)
+        sure = whole.join(docs, "cid").join(queries.select("qid", F.col("text").alias("query"), F.col("norm").alias("q_norm"), F.col("tokens").alias("q_tokens")), "qid")
+        sure = sure.withColumns({c: one for c in ("bm25", "char", "fuzzy", "intent_score", "weighted", "final")}).withColumns({"concrete_tokens": F.col("slot_tokens"), "replacement_words": F.lit(0).cast("long")})
+        return result(ranked(written(rows.unionByName(sure, allowMissingColumns=True), "scored"), o), "ranked")
+
+
+def decisions(rows: DataFrame, options: Options | None = None, queries: DataFrame | None = None) -> DataFrame:
+    """One decision for each query of ranked ``rows``; those of ``queries`` (qid) without a row are rejected for want of a candidate.
+
+    Leaders whose target the query doesn't name go first, where it names that of a lower row.
+    """
+    o = options or Options()
+    rows = written(decide.with_competition(decide.drop_unsupported_leaders(settled(rows, "ranked")).drop("competes")), "leaders")
+    found = decide.evidence(rows)
+    if queries is not None:
+        found = queries.select("qid").distinct().join(found, "qid", "left")
+    return decide.decision(found, o.min_confidence, o.min_margin)
+
+
+def rank_own(queries: DataFrame, candidates: DataFrame, docs: DataFrame, options: Options | None = None, language: str | None = None) -> DataFrame:
+    """Ranked candidates that each belong to one query (qid, cid, text, intent, …); words weigh as in ``docs``, and raw scores are set against the better of both corpora's best."""
     o = options or Options()
-    return decide.decision(decide.evidence(ranked), o.min_confidence, o.min_margin)
+    queries = settled(queries, "queries")
+    own = written(index.candidates(candidates.join(queries.select("qid"), "qid", "left_semi"), language), "own")
+    stats, corpus = index.term_stats(docs), index.corpus_stats(docs)
+    terms = own.select("qid", "cid", "tokens", F.explode(F.array_distinct("tokens")).alias("term")).join(retrieve.query_terms(queries), ["qid", "term"])
+    terms = terms.join(stats.select("term", "idf"), "term", "left").crossJoin(F.broadcast(corpus))  # broadcast: one row
+    weight = index.bm25_weight(F.coalesce("idf", F.log1p((F.col("n") + 0.5) / 0.5)), F.size(F.filter("tokens", lambda t: t == F.col("term"))), F.size("tokens"), F.col("avgdl"))
+    raw = terms.groupBy("qid", "cid").agg(F.sum(weight).alias("raw"))
+    bm25 = retrieve.rescaled(raw, retrieve.bm25_raw(queries, index.postings(docs)))
+    both = own.join(queries.select("qid", F.col("grams").alias("q_grams"), F.col("norm").alias("__q")), "qid").select("qid", "cid", similarity.jaccard(F.col("grams"), F.col("q_grams")).alias("char"), (F.col("norm") == F.col("__q")).alias("whole"))
+    pairs = both.join(bm25, ["qid", "cid"], "left").select("qid", "cid", F.coalesce("bm25", F.lit(0.0)).alias("bm25"), "char", "whole")
+    slots = own.select("qid", F.explode("slot_tokens").alias("token")).join(retrieve.query_terms(queries).withColumnRenamed("term", "token"), ["qid", "token"]).distinct()
+    asked = with_vocabulary(queries, index.literal_vocabulary(docs.select("literal_variants").union(own.select("literal_variants"))), slots)
+    rows = score.finished(score.paired(pairs.drop("whole"), asked, own.drop("qid")), "context" in queries.columns, o.min_confidence)
+    whole = pairs.where("whole").select("qid", "cid", F.lit(True).alias("__whole"))
+    rows = rows.join(whole, ["qid", "cid"], "left")
+    rows = rows.withColumns({c: F.when(F.col("__whole"), 1.0).otherwise(F.col(c)) for c in ("bm25", "char", "fuzzy", "intent_score", "weighted", "final")}).drop("__whole")
+    return result(ranked(written(rows, "scored"), o), "ranked")
 
 
 class Engine:
@@ -78,7 +147,7 @@ class Engine:
             raise EngineError("a language must not be blank")
 
         def build() -> DataFrame:
-            return index.build(rows, code).cache()
+            return result(index.build(rows, code), "index")
 
         self._index[code] = self._flight.run(code, build)
         return self._index[code]
@@ -86,9 +155,12 @@ class Engine:
     def load_grammar(self, templates: DataFrame, language: str) -> DataFrame:
         """Builds an index from grammar rows (see ``sources.stores.grammar_rows``)."""
         sentences = grammar.expanded(templates, CAP_TEMPLATE)
+        value = lambda k, v: F.coalesce(F.element_at(F.element_at(F.col("outputs"), k), v), v)
+        slots = F.map_concat(F.transform_values("bindings", value), F.map_filter("static", lambda k, v: ~F.map_contains_key("bindings", k)))
+        # a candidate is told by its template and its place among that one's sentences, of which there are at most CAP_TEMPLATE
         rows = sentences.select(
-            F.row_number().over(Window.orderBy("pos", "sentence_pos")).cast("long").alias("cid"), F.col("sentence").alias("text"), "intent", "source",
-            F.map_concat("bindings", F.map_filter("static", lambda k, v: ~F.map_contains_key("bindings", k))).alias("slots"), F.map_keys("static").alias("static_slots"), F.map_keys("context").alias("context_slots"),
+            (F.col("pos") * CAP_TEMPLATE + F.col("sentence_pos")).alias("cid"), F.col("sentence").alias("text"), "intent", "source", slots.alias("slots"), F.col("bindings").alias("slots_raw"),
+            F.map_keys("static").alias("static_slots"), F.map_keys("context").alias("context_slots"), F.filter("wildcards", lambda w: F.map_contains_key("bindings", w)).alias("wildcard_slots"), "literal_text", F.concat_ws("/", "source_key", "intent", "item").alias("item"),
         )
         return self.load_candidates(rows, language)
 
@@ -99,30 +171,43 @@ class Engine:
             raise EngineError(f"no index for {language}") from None
 
     def rank(self, queries: DataFrame, language: str) -> DataFrame:
-        return rank(prepared_queries(queries), self.index_of(language), self.options)
+        return rank(prepared_queries(queries, language), self.index_of(language), self.options)
 
     def rank_and_evaluate(self, queries: DataFrame, language: str, dynamic: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-        """(ranked, decisions); ``dynamic`` are query-time candidates, ranked for the queries that the static pass doesn't settle."""
-        q = prepared_queries(queries)
-        rows = rank(q, self.index_of(language), self.options)
+        """(ranked, decisions); ``dynamic`` are query-time candidates (see ``dynamic.query_candidates``), ranked for the queries that the static pass doesn't settle."""
+        q = written(prepared_queries(queries, language), "queries")
+        docs = self.index_of(language)
+        rows = rank(q, docs, self.options)
         if dynamic is not None:
-            more = rank(merge.dynamic_queries(q, rows), index.candidates(dynamic), self.options)
+            more = rank_own(written(merge.dynamic_queries(q, rows), "open"), dynamic, docs, self.options, language)
             both = merge.merged(rows.drop("rank", "competes"), more.drop("rank", "competes"))
-            rows = decide.limited(decide.with_competition(decide.disambiguated(decide.ordered(both))), self.options.max_candidates)
-        return rows, decisions(rows, self.options)
+            rows = ranked(both, self.options)
+        return rows, decisions(rows, self.options, q)
 
     def test_match(self, text: str, language: str) -> DataFrame:
         """The ranked rows of one text, lexical scores only."""
         return self.rank(self.spark.createDataFrame([(0, text)], "qid long, text string"), language).orderBy("rank")
 
-    def route(self, queries: DataFrame, language: str) -> DataFrame:
-        """qid, route, reason, delegated for requests (qid, text)."""
-        q = route.hotword_similarity(prepared_queries(queries), list(self.options.hotwords), self.options.hotword_confidence)
-        ranked, found = self.rank_and_evaluate(queries, language)
-        best = ranked.where("rank = 1").select("qid", F.col("text").alias("canonical"))
-        rows = q.join(found.select("qid", "accepted", "rejection_reason"), "qid", "left").join(best, "qid", "left")
-        where, why = route.route(F.col("matched"), F.lit(False), F.lit(True), F.coalesce("accepted", F.lit(False)), F.col("rejection_reason"), F.lit(True))
-        return rows.select("qid", where.alias("route"), why.alias("reason"), route.delegated(F.col("text"), F.col("canonical"), where).alias("delegated"))
+    def route(self, queries: DataFrame, language: str, recognise: Callable[[str], tuple[str, str | None]] | None = None, shortcut: Callable[[Column], Column] | None = None) -> DataFrame:
+        """qid, route, reason, delegated for requests (qid, text).
+
+        ``recognise`` maps a text to (kind, intent): accepted texts are then validated by it, a few in order of rank. ``shortcut`` tells the texts that the
+        native path takes. A text is handed on with its placeholders filled; where one stays open the original goes.
+        """
+        q = route.hotword_similarity(prepared_queries(queries, language), list(self.options.hotwords), self.options.hotword_confidence)
+        docs = self.index_of(language)
+        rows, found = self.rank_and_evaluate(queries, language)
+        text = F.coalesce("rehydrated", F.when(F.size("wildcard_slots") == 0, F.col("text"))) if "rehydrated" in rows.columns else F.col("text")
+        out = q.join(found.select("qid", "accepted", "accepted_cid", "rejection_reason"), "qid", "left")
+        best = rows.select("qid", F.col("cid").alias("accepted_cid"), text.alias("canonical"))
+        out = out.join(best, ["qid", "accepted_cid"], "left").withColumn("valid", F.lit(True))
+        if recognise is not None:
+            tried = rows.join(found.where("accepted").select("qid"), "qid", "left_semi").select("qid", F.col("rank").cast("int").alias("rank"), text.alias("text"), "intent", F.lit(True).alias("accepted")).where("text is not null")
+            seen = route.preflight(tried, recognise).select("qid", F.col("text").alias("__valid"))
+            out = out.drop("valid").join(seen, "qid", "left").withColumns({"valid": F.col("__valid").isNotNull(), "canonical": F.coalesce("__valid", "canonical")})
+        native = F.lit(False) if shortcut is None else shortcut(F.col("text"))
+        where, why = route.route(F.col("matched"), native, F.lit(not docs.isEmpty()), F.coalesce("accepted", F.lit(False)), F.col("rejection_reason"), F.col("valid"))
+        return out.select("qid", where.alias("route"), why.alias("reason"), route.delegated(F.col("text"), F.col("canonical"), where).alias("delegated"))
 
     def dump_candidates(self, language: str, sample: int = 50) -> tuple[DataFrame, DataFrame]:
         """Counts by source and intent, and a sample of the rows."""
@@ -138,7 +223,7 @@ class Engine:
         """Forgets one language's index, or all; returns how many there were."""
         gone = [k for k in self._index if language is None or k == language.strip().lower().replace("_", "-")]
         for k in gone:
-            self._index.pop(k).unpersist()
+            self._index.pop(k)
         self.generations.bump("index")
         return len(gone)
 
@@ -156,6 +241,7 @@ class Engine:
         """Refuses new work, drops indexes, stops streams."""
         self.closed = True
         self.clear_index()
+        release(self.spark)
         drain(self.spark)
 
 

@@ -28,11 +28,25 @@ SAFE_INTENT_LOW, SAFE_INTENT_HIGH, SAFE_INTENT_ADVANTAGE = 0.57, 0.74, 0.09
 ZERO_INTENT_SCORE, ZERO_INTENT_MARGIN = 0.70, 0.07
 # Candidate sources, best first.
 SOURCES = ("custom_sentence", "built_in", "generated_sample")
+# Keys of grammar sources whose sentences are the user's own.
+CUSTOM_KEYS = ("config", "trigger", "custom_sentence")
 # Letters folded to plain Latin, for every language and for German before that.
 LATIN = {"đ": "d", "ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "ł": "l", "ı": "i", "ð": "d", "þ": "th"}
 BY_LANGUAGE = {"de": {"ä": "ae", "ö": "oe", "ü": "ue"}}
 # The intent preferred of each opposing pair in a tie.
-OPPOSING = (("HassTurnOn", "HassTurnOff"), ("HassMediaUnpause", "HassMediaPause"), ("HassMediaPlayerUnmute", "HassMediaPlayerMute"))
+OPPOSING = (
+    ("HassTurnOn", "HassTurnOff"),
+    ("HassMediaUnpause", "HassMediaPause"),
+    ("HassMediaPlayerUnmute", "HassMediaPlayerMute"),
+    ("HassUnpauseTimer", "HassPauseTimer"),
+    ("HassIncreaseTimer", "HassDecreaseTimer"),
+    ("HassMediaNext", "HassMediaPrevious"),
+)
+# List intents that mean one thing; state-neutral intents that carry an action's prefix.
+EQUIVALENT = (("HassListAddItem", "HassShoppingListAddItem"), ("HassListCompleteItem", "HassShoppingListCompleteItem"), ("HassListRemoveItem", "HassShoppingListCompleteItem"))
+NEUTRAL = ("HassNevermind", "HassRespond", "HassTimerStatus")
+# Slots that name an entity, and slots that name a place.
+ENTITY_SLOTS, LOCATION_SLOTS = ("name", "entity", "entity_name"), ("area", "area_name", "floor", "floor_name")
 STORE_VERSION = 6
 
 

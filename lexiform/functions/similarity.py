@@ -5,9 +5,9 @@ from __future__ import annotations
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from lexiform.config import SLOT_MIN_LENGTH, SLOT_RATIO, W_BM25, W_CHAR, W_FUZZY, W_INTENT
 from lexiform.functions.text import deletions
@@ -92,7 +92,10 @@ def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 @F.pandas_udf(DoubleType())
 def fuzzy(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else combined_fuzzy(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+    seen: dict[tuple, float] = {}
+    for pair in set(zip(a, b, strict=True)):
+        seen[pair] = None if None in pair else combined_fuzzy(*pair)
+    return pd.Series([seen[pair] for pair in zip(a, b, strict=True)], dtype="float64")
 
 
 def may_match(a: Column, b: Column, least: int = SLOT_RATIO) -> Column:
@@ -147,9 +150,32 @@ def _bounded(a: Column, b: Column) -> Column:
     return (F.substring(a, 1, 1) == F.substring(b, 1, 1)) & (F.least(F.length(a), F.length(b)) >= SLOT_MIN_LENGTH) & (a != b)
 
 
+def _mark_codes() -> tuple[str, str, str, str]:
+    """The precomposed Latin letters, their bases, and a letter for the first and for the second of their marks ("" has "0")."""
+    import unicodedata
+
+    letters = [c for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if 2 <= len(unicodedata.normalize("NFD", c)) <= 3 and c.islower()]
+    parts = [unicodedata.normalize("NFD", c) for c in letters]
+    marks = sorted({m for p in parts for m in p[1:]})
+    code = lambda p, k: chr(0x4E00 + marks.index(p[k])) if len(p) > k else "0"
+    return "".join(letters), "".join(p[0] for p in parts), "".join(code(p, 1) for p in parts), "".join(code(p, 2) for p in parts)
+
+
+_MARKED, _BASES, _FIRST, _SECOND = _mark_codes()
+
+
+def mark_conflict(x: Column, y: Column) -> Column:
+    """Whether two letters have one base and marks, and no mark in common: different words and no slip."""
+    first, second = (lambda c: F.translate(c, _MARKED, _FIRST)), (lambda c: F.translate(c, _MARKED, _SECOND))
+    marked = lambda c: F.translate(c, _MARKED, _BASES) != c
+    shared = (first(x) == first(y)) | (first(x) == second(y)) | (second(x) == first(y)) | ((second(x) == second(y)) & (second(x) != "0"))
+    return marked(x) & marked(y) & (F.translate(x, _MARKED, _BASES) == F.translate(y, _MARKED, _BASES)) & ~shared
+
+
 def one_edit(a: Column, b: Column) -> Column:
-    """One substitution, one swap of neighbours, or one insertion."""
-    substituted = (F.length(a) == F.length(b)) & (F.length(a) - same_positions(a, b) == 1)
+    """One substitution that isn't a conflict of marks, one swap of neighbours, or one insertion."""
+    clash = F.exists(F.zip_with(_chars(a), _chars(b), lambda x, y: (x != y) & mark_conflict(x, y)), lambda z: z)
+    substituted = (F.length(a) == F.length(b)) & (F.length(a) - same_positions(a, b) == 1) & (a.rlike(r"^[\x00-\x7F]*$") | ~clash)
     return substituted | swapped(a, b) | one_insertion(a, b)
 
 
@@ -174,6 +200,21 @@ def shared_stem(a: Column, b: Column) -> Column:
     return (n >= 6) & (p >= 4) & (3 * p >= 2 * n)
 
 
+def close(literal: Column, query: Column) -> Column:
+    """``close_tokens`` of columns."""
+    alike = (positional(literal, query) >= positional_threshold(literal, query)) | one_insertion(literal, query)
+    clash = ~literal.rlike(r"^[\x00-\x7F]*$") & ~query.rlike(r"^[\x00-\x7F]*$") & F.exists(F.zip_with(_chars(literal), _chars(query), lambda x, y: (x != y) & mark_conflict(x, y)), lambda z: z)
+    return (F.substring(literal, 1, 1) == F.substring(query, 1, 1)) & alike & ~F.coalesce(clash, F.lit(False))
+
+
+def positional_lookup(literals: DataFrame, terms: DataFrame) -> DataFrame:
+    """(qid, token, term): the literal words (token) that words of queries (qid, term) stand for by position, other words of one first character being told apart in the JVM."""
+    first = lambda c: F.substring(c, 1, 1).alias("first")
+    words = terms.select("term").distinct().select("term", first("term"))
+    pairs = literals.select("token").distinct().select("token", first("token")).join(words, "first").where(F.col("token") != F.col("term"))
+    return pairs.where(close(F.col("token"), F.col("term"))).select("token", "term").join(terms, "term").select("qid", "token", "term")
+
+
 def query_coverage(query: Column, candidate: Column) -> Column:
     """Square of the share of distinct query tokens that the candidate has; 1 for an empty query."""
     share = F.size(F.array_intersect(query, candidate)) / F.size(F.array_distinct(query))
@@ -261,39 +302,119 @@ def positional_intent_py(variants: list[list[str]], query: list[str], own: list[
 
 @F.pandas_udf(DoubleType())
 def positional_intent(variants: pd.Series, query: pd.Series, own: pd.Series) -> pd.Series:
-    return pd.Series([positional_intent_py([list(v) for v in x], list(y), list(z)) for x, y, z in zip(variants, query, own, strict=True)], dtype="float64")
+    out, seen = [], {}
+    for x, y, z in zip(variants, query, own, strict=True):
+        if x is None:
+            out.append(None)
+            continue
+        key = (tuple(tuple(v) for v in x), tuple(y), tuple(z))
+        if key not in seen:
+            seen[key] = positional_intent_py([list(v) for v in key[0]], list(y), list(z))
+        out.append(seen[key])
+    return pd.Series(out, dtype="float64")
+
+
+def one_edit_py(a: str, b: str) -> bool:
+    """``one_edit`` for two strings."""
+    short, long = sorted((a, b), key=len)
+    if len(long) > len(short):
+        return len(long) == len(short) + 1 and len(short) >= 2 and len(long) <= 1.6 * len(short) and short in {long[:i] + long[i + 1 :] for i in range(len(long))}
+    off = [(i, x, y) for i, (x, y) in enumerate(zip(a, b, strict=True)) if x != y]
+    if len(off) == 2:
+        (i, x, y), (j, u, v) = off
+        return j == i + 1 and (x, y) == (v, u)
+    return len(off) == 1 and not marks_conflict(off[0][1], off[0][2])
 
 
 @lru_cache(maxsize=65_536)
 def slot_match_py(slot: str, query: str) -> bool:
     """``slot_token_match`` for two strings."""
-    n, m = len(slot), len(query)
-    if slot == query or not n or not m or slot[0] != query[0] or min(n, m) < SLOT_MIN_LENGTH:
+    if slot == query or slot[:1] != query[:1] or min(len(slot), len(query)) < SLOT_MIN_LENGTH:
         return False
-    if m < n and slot.startswith(query):
+    return slot.startswith(query) or one_edit_py(slot, query)
+
+
+@lru_cache(maxsize=65_536)
+def slot_fuzzy_py(a: str, b: str, least: int = SLOT_RATIO) -> bool:
+    """Whether two tokens' ratio reaches ``least``; lengths that can't reach it are told without comparing."""
+    return 200 * min(len(a), len(b)) >= least * (len(a) + len(b)) and ratio(a, b) >= least
+
+
+def registry_fuzzy_py(slot: str, query: str, short: frozenset[str] = frozenset()) -> bool:
+    """``slot_fuzzy_py`` for a registry value's token: it has three characters at least, and so has the query's unless it's one of ``short``."""
+    return len(slot) >= 3 and (len(query) >= 3 or query in short) and slot_fuzzy_py(slot, query)
+
+
+@F.pandas_udf(BooleanType())
+def slot_fuzzy(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else slot_fuzzy_py(x, y) for x, y in zip(a, b, strict=True)], dtype="boolean")
+
+
+@F.pandas_udf(BooleanType())
+def registry_fuzzy(slot: pd.Series, query: pd.Series, short: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else registry_fuzzy_py(x, y, frozenset(z)) for x, y, z in zip(slot, query, short, strict=True)], dtype="boolean")
+
+
+def registry_count_py(record: list[str], query: list[str]) -> int:
+    """How many of a record's tokens have a query token of their own, exactly or one edit away."""
+    return matching(record, query, lambda r, q: r == q or (r[:1] == q[:1] and min(len(r), len(q)) >= SLOT_MIN_LENGTH and one_edit_py(r, q)))
+
+
+@F.pandas_udf(IntegerType())
+def registry_count(record: pd.Series, query: pd.Series) -> pd.Series:
+    return pd.Series([registry_count_py(list(dict.fromkeys(r)), list(dict.fromkeys(q))) for r, q in zip(record, query, strict=True)], dtype="int32")
+
+
+def shared_stem_py(a: str, b: str) -> bool:
+    """``shared_stem`` for two strings."""
+    n = min(len(a), len(b))
+    p = next((i for i in range(n) if a[i] != b[i]), n)
+    return n >= 6 and p >= 4 and 3 * p >= 2 * n
+
+
+@lru_cache(maxsize=65_536)
+def anchored_py(token: str, query: tuple[str, ...]) -> bool:
+    """Whether a payload's token stands in the query: itself, without diacritics, as a bounded variation, by a shared stem or by its ratio."""
+    from lexiform.functions.text import fold_py
+
+    return token in query or fold_py(token) in {fold_py(q) for q in query} or any(slot_match_py(token, q) or shared_stem_py(token, q) or slot_fuzzy_py(token, q) for q in query)
+
+
+def payload_py(own: list[str], other: list[str], query: list[str]) -> bool:
+    """Whether what distinguishes the payload ``own`` from ``other`` is in the query: every token of it, or all but one slip in a word of three letters among two shared words."""
+    mine, theirs, q = sorted(set(own) - set(other)), set(other) - set(own), tuple(query)
+    if mine and all(anchored_py(t, q) for t in mine):
         return True
-    if n == m:
-        off = [i for i in range(n) if slot[i] != query[i]]
-        if len(off) == 1:
-            return not marks_conflict(slot[off[0]], query[off[0]])
-        return len(off) == 2 and off[1] == off[0] + 1 and slot[off[0]] == query[off[1]] and slot[off[1]] == query[off[0]]
-    short, long = (slot, query) if n < m else (query, slot)
-    return len(long) - len(short) == 1 and len(long) <= 1.6 * len(short) and any(long[:i] + long[i + 1 :] == short for i in range(len(long)))
+    both = set(own) & set(other)
+    if len(mine) != 1 or not theirs or len(both) < 2 or len(mine[0]) != 3 or not all(anchored_py(t, q) for t in both):
+        return False
+    return any(len(w) == 3 and w[0] == mine[0][0] and sum(x != y for x, y in zip(w, mine[0], strict=True)) == 1 for w in q)
 
 
-NEAR = StructType([StructField(n, ArrayType(StringType())) for n in ("q_near", "q_near_text", "c_near")])
+@F.pandas_udf(BooleanType())
+def payload_support(own: pd.Series, other: pd.Series, query: pd.Series) -> pd.Series:
+    """``payload_py`` of columns; a null payload gives null."""
+    return pd.Series([None if x is None or y is None else payload_py(list(x), list(y), list(z)) for x, y, z in zip(own, other, query, strict=True)], dtype="boolean")
 
 
-@F.pandas_udf(NEAR)
-def near_tokens(query: pd.Series, text: pd.Series, slots: pd.Series) -> pd.DataFrame:
-    """Tokens of a query that a candidate's text or slots have, exactly or as a bounded variation; those that its text has; and the candidate's that the query has."""
+NEAR = StructType([StructField(n, ArrayType(StringType())) for n in ("q_near", "q_near_text", "c_near", "c_entity", "c_anchor")])
 
-    def near(a, others):
-        return a in others or any(slot_match_py(a, o) or slot_match_py(o, a) for o in others)
 
-    out = []
-    for q, t, s in zip(query, text, slots, strict=True):
-        q, t = list(q), list(t)
-        both = list(dict.fromkeys([*t, *s]))
-        out.append(([x for x in q if near(x, both)], [x for x in q if near(x, t)], [x for x in both if near(x, q)]))
+@F.pandas_udf(NEAR)
+def near_tokens(query: pd.Series, text: pd.Series, slots: pd.Series, short: pd.Series) -> pd.DataFrame:
+    """What a query and a candidate have of each other's tokens, exactly or alike.
+
+    q_near: tokens of the query that the candidate's text or slots have (by ratio); q_near_text: those that its text has; c_near: the candidate's tokens that
+    the query has (by ratio); c_entity: those with evidence for a registry value; c_anchor: those with that or a bounded variation.
+    """
+    out, seen = [], {}
+    for q, t, s, few in zip(query, text, slots, short, strict=True):
+        key = (tuple(q), tuple(t), tuple(s), tuple(few))
+        if key not in seen:
+            q, t, s, few = key
+            both, few = list(dict.fromkeys([*t, *s])), frozenset(few)
+            like = lambda a, others: a in others or any(slot_fuzzy_py(a, o) for o in others)
+            named = [x for x in both if x in q or any(registry_fuzzy_py(x, w, few) for w in q)]
+            seen[key] = ([x for x in q if like(x, both)], [x for x in q if like(x, t)], [x for x in both if like(x, q)], named, [x for x in both if x in named or any(slot_match_py(x, w) for w in q)])
+        out.append(seen[key])
     return pd.DataFrame(out, columns=NEAR.names)

@@ -5,14 +5,13 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from lexiform import config as C
-from lexiform.functions.similarity import close_tokens, shared_stem
+from lexiform.functions import text as T
+from lexiform.functions.similarity import anchored_py, payload_py, payload_support, shared_stem_py, slot_fuzzy_py, slot_match_py
 
 TIE_DIGITS = 12
-#: State-neutral intents that carry an action's prefix; list intents that do the same.
-NEUTRAL = ("HassNevermind", "HassRespond", "HassTimerStatus")
-EQUIVALENT = (("HassListAddItem", "HassShoppingListAddItem"), ("HassListCompleteItem", "HassShoppingListCompleteItem"))
 
 
 def slot_preference(replacements: Column, preferences: Column) -> Column:
@@ -55,24 +54,32 @@ def slots_text(slots: Column) -> Column:
 
 def equivalent_intents(a: Column, b: Column) -> Column:
     out = F.lit(False)
-    for group in EQUIVALENT:
+    for group in C.EQUIVALENT:
         out = out | (a.isin(*group) & b.isin(*group))
     return out
 
 
-def with_competition(rows: DataFrame) -> DataFrame:
+def with_competition(rows: DataFrame, supported: bool = True) -> DataFrame:
     """``rows`` with ``competes``: false for rank 1 and for rows that mean what rank 1 means.
 
-    Those are rows of one text and slots, of equivalent list intents with one slot payload, of one intent and slots, or whose slot words hold rank 1's or are held by them.
+    Those are rows of one text and slots, of equivalent list intents, and of one intent with the same slots, with slot words that hold rank 1's or are
+    held by them, or (if ``supported`` is on) where the query has the words that tell rank 1 from the row and not those that tell the row from rank 1.
     """
     q = Window.partitionBy("qid")
     top = lambda c: F.first(F.when(F.col("rank") == 1, F.col(c)), True).over(q)
     rows = rows.withColumn("__slots", slots_text(F.col("slots")))
     rows = rows.withColumns({"t_norm": top("norm"), "t_intent": top("intent"), "t_slots": top("__slots"), "t_tokens": top("slot_tokens")})
-    same = (F.col("norm") == F.col("t_norm")) & (F.col("__slots") == F.col("t_slots"))
-    twin = (F.col("__slots") == F.col("t_slots")) & (equivalent_intents(F.col("intent"), F.col("t_intent")) | (F.col("intent") == F.col("t_intent")))
-    nested = (F.col("intent") == F.col("t_intent")) & (F.size("slot_tokens") > 0) & (F.size("t_tokens") > 0) & ((F.size(F.array_except("slot_tokens", "t_tokens")) == 0) | (F.size(F.array_except("t_tokens", "slot_tokens")) == 0))
-    return rows.withColumn("competes", (F.col("rank") > 1) & ~(same | twin | nested)).drop("__slots", "t_norm", "t_intent", "t_slots", "t_tokens")
+    same_slots, same_intent = F.col("__slots") == F.col("t_slots"), F.col("intent") == F.col("t_intent")
+    twin = ((F.col("norm") == F.col("t_norm")) & same_slots) | equivalent_intents(F.col("intent"), F.col("t_intent")) | (same_intent & same_slots)
+    nested = same_intent & (F.size("slot_tokens") > 0) & (F.size("t_tokens") > 0) & ((F.size(F.array_except("slot_tokens", "t_tokens")) == 0) | (F.size(F.array_except("t_tokens", "slot_tokens")) == 0))
+    rows = rows.withColumn("__same", twin | nested)
+    if supported and "q_tokens" in rows.columns:
+        open_ = (F.col("rank") > 1) & same_intent & ~F.col("__same")  # the words are compared in Python; other rows hand it nulls
+        told = lambda a, b: payload_support(F.when(open_, F.col(a)), F.col(b), F.col("q_tokens"))
+        rows = rows.withColumns({"__mine": told("t_tokens", "slot_tokens"), "__theirs": told("slot_tokens", "t_tokens")})
+        alone = F.coalesce(F.col("__mine") & ~F.col("__theirs"), F.lit(False)) & (F.size(F.array_union("slot_tokens", "t_tokens")) > 0)
+        rows = rows.withColumn("__same", F.col("__same") | alone).drop("__mine", "__theirs")
+    return rows.withColumn("competes", (F.col("rank") > 1) & ~F.col("__same")).drop("__slots", "t_norm", "t_intent", "t_slots", "t_tokens", "__same")
 
 
 def limited(rows: DataFrame, n: int = C.MAX_CANDIDATES) -> DataFrame:
@@ -85,7 +92,7 @@ def limited(rows: DataFrame, n: int = C.MAX_CANDIDATES) -> DataFrame:
 
 
 def is_action(intent: Column) -> Column:
-    return F.startswith(intent, F.lit("Hass")) & ~F.contains(intent, F.lit("Get")) & ~intent.isin(*NEUTRAL)
+    return F.startswith(intent, F.lit("Hass")) & ~F.contains(intent, F.lit("Get")) & ~intent.isin(*C.NEUTRAL)
 
 
 def opposing(a: Column, b: Column) -> Column:
@@ -95,18 +102,17 @@ def opposing(a: Column, b: Column) -> Column:
     return out
 
 
-def payload_supported(payload: Column, query: Column) -> Column:
-    """Whether each word of a payload has the query's support: itself, a bounded variation, or a shared stem."""
-    from lexiform.operators.score import near_any
+@F.pandas_udf(BooleanType())
+def payload_supported(payload: pd.Series, query: pd.Series) -> pd.Series:
+    """Whether a payload has words and each has the query's support: itself, without diacritics, a bounded variation, a shared stem or its ratio. A null payload gives null."""
+    return pd.Series([None if p is None else len(p) > 0 and all(anchored_py(t, tuple(q)) for t in p) for p, q in zip(payload, query, strict=True)], dtype="boolean")
 
-    return F.forall(payload, lambda t: near_any(t, query) | F.exists(query, lambda w: shared_stem(t, w)))
 
-
-def supported_literal(variants: Column, query: Column) -> Column:
-    """Whether some literal variant's words all stand in the query, exactly or as a bounded variation; empty variants do."""
-    from lexiform.operators.score import near_any
-
-    return F.exists(variants, lambda v: F.forall(v, lambda t: near_any(t, query)))
+@F.pandas_udf(BooleanType())
+def supported_literal(variants: pd.Series, query: pd.Series) -> pd.Series:
+    """Whether some literal variant's words all stand in the query, exactly, without diacritics or as a bounded variation; empty variants do."""
+    alike = lambda t, w: t == w or T.fold_py(t) == T.fold_py(w) or slot_match_py(t, w) or slot_match_py(w, t)
+    return pd.Series([any(all(any(alike(t, w) for w in q) for t in v) for v in vs) for vs, q in zip(variants, query, strict=True)], dtype="boolean")
 
 
 def evidence(rows: DataFrame) -> DataFrame:
@@ -117,10 +123,15 @@ def evidence(rows: DataFrame) -> DataFrame:
     cols = ["cid", "text", "intent", "slots", "n_slots", "static_slots", "query_slots", "slot_tokens", "literal_variants", "final", "fuzzy", "char", "intent_score", "tokens", "replacement_words"]
     if "replacement_words" not in rows.columns:
         rows = rows.withColumn("replacement_words", F.lit(0).cast("long"))
+    rows = rows.withColumn("__concrete", F.col("concrete_tokens") if "concrete_tokens" in rows.columns else F.col("slot_tokens"))
     rows = rows.withColumn("__lit", supported_literal(F.col("literal_variants"), F.col("q_tokens")))
     per_intent = F.max("__lit").over(Window.partitionBy("qid", "intent"))
     rows = rows.withColumns({"__lit_intent": per_intent, "__item": F.struct("rank", *cols, F.col("__lit").alias("literal"), per_intent.alias("literal_intent"))})
-    absorbs = F.max(F.when((F.col("rank") > 1) & (F.size("slot_tokens") > 0) & payload_supported(F.col("slot_tokens"), F.col("q_tokens")), F.size(F.array_intersect("slot_tokens", "q_tokens"))))
+    # a concrete target that the query names, in a row without placeholders below one with them and without a target
+    free = F.max(F.when(F.col("rank") == 1, (F.col("replacement_words") > 0) & (F.size("__concrete") == 0))).over(Window.partitionBy("qid"))
+    rows = rows.withColumn("__free", F.coalesce(free, F.lit(False)))
+    rows = rows.withColumn("__named", payload_supported(F.when(F.col("__free") & (F.col("rank") > 1) & (F.col("replacement_words") == 0) & (F.size("__concrete") > 0), F.col("__concrete")), F.col("q_tokens")))
+    absorbs = F.max(F.col("__named").cast("int"))
     out = rows.groupBy("qid").agg(
         F.first("q_tokens").alias("query_tokens"), F.min_by("__item", F.when(F.col("rank") == 1, F.lit(1))).alias("top"),
         F.min_by("__item", F.when(F.col("competes"), F.col("rank"))).alias("rival"), F.coalesce(absorbs, F.lit(0)).alias("concrete"),
@@ -132,9 +143,9 @@ def evidence(rows: DataFrame) -> DataFrame:
         "opposing": opposing(t["intent"], r["intent"]),
         "same_intent": t["intent"] == r["intent"],
         "target_incompatible": (t["intent"] == r["intent"]) & (slots_text(t["slots"]) != slots_text(r["slots"])),
-        "target_supported": payload_supported(F.array_except(t["slot_tokens"], r["slot_tokens"]), q),
+        "target_supported": F.coalesce(payload_support(t["slot_tokens"], r["slot_tokens"], q), F.lit(False)) | (F.size(F.array_except(t["slot_tokens"], r["slot_tokens"])) == 0),
         "covers": F.forall(q, lambda w: F.array_contains(t["tokens"], w)),
-        "absorbed": (t["replacement_words"] > 0) & (F.col("concrete") > 0) & (F.size(t["slot_tokens"]) == 0),
+        "absorbed": F.col("concrete") > 0,
     })
 
 
@@ -193,25 +204,46 @@ def decision(found: DataFrame, min_confidence: float = C.MIN_CONFIDENCE, min_mar
     )
 
 
+def same_word(a: str, b: str) -> bool:
+    return T.fold_py(a) == T.fold_py(b) or slot_match_py(a, b) or shared_stem_py(a, b) or slot_fuzzy_py(a, b)
+
+
+def supported_rows(ranked: list[dict]) -> list[dict]:
+    """``ranked`` rows of one query without leaders whose target the query doesn't name while it names that of a lower row of their intent; again while there is one."""
+    while len(ranked) > 1:
+        top, query = ranked[0], list(ranked[0]["q_tokens"])
+        mine = set(top["slot_tokens"])
+        literal = {w for v in top["literal_variants"] for w in v}
+
+        def better(row: dict, top=top, query=query, mine=mine, literal=literal) -> bool:
+            own = set(row["slot_tokens"])
+            if row["intent"] != top["intent"] or dict(row["slots"]) == dict(top["slots"]) or not own or (mine and (own <= mine or mine <= own)):
+                return False
+            if not mine and all(any(same_word(w, x) for x in literal) for w in own):
+                return False
+            return payload_py(list(own), list(mine), query) and not payload_py(list(mine), list(own), query)
+
+        best = next((row for row in ranked[1:] if better(row)), None)
+        if best is None:
+            break
+        own = list(best["slot_tokens"])
+        loses = lambda row, own=own, query=query: payload_py(own, list(row["slot_tokens"]), query) and not payload_py(list(row["slot_tokens"]), own, query)
+        ranked = [row for row in ranked if row is best or row["intent"] != best["intent"] or not loses(row)]
+    return ranked
+
+
 def drop_unsupported_leaders(rows: DataFrame) -> DataFrame:
-    """Drops, query by query and again while any is left, leaders whose target the query doesn't support while a lower one of the same intent is supported.
+    """``rows`` without the leaders that ``supported_rows`` drops; ranks close up. A query has at most a few dozen ranked rows, so each group is small."""
 
-    A query has at most a few dozen ranked rows, so each group is small.
-    """
+    need = ["qid", "rank", "cid", "intent", "slots", "slot_tokens", "literal_variants", "q_tokens"]
+    slim = rows.select(*[F.map_entries(c).alias(c) if c == "slots" else c for c in need])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank")
-        query = set(pdf["q_tokens"].iloc[0])
-        ok = lambda words: all(w in query or any(close_tokens(w, q) for q in query) for w in words)
-        while len(pdf) > 1:
-            top = pdf.iloc[0]
-            lower = pdf.iloc[1:]
-            better = lower[(lower["intent"] == top["intent"]) & lower["slot_tokens"].map(lambda w: len(w) > 0 and ok(w))]
-            if ok(top["slot_tokens"]) or better.empty:
-                break
-            pdf = lower
-        pdf = pdf.copy()
-        pdf["rank"] = range(1, len(pdf) + 1)
-        return pdf
-
-    return rows.groupBy("qid").applyInPandas(run, rows.schema)
+        ranked = pdf.sort_values("rank").to_dict("records")
+        for r in ranked:
+            r["slots"] = [(e["key"], e["value"]) for e in r["slots"]]
+        left = supported_rows(ranked)
+        return pd.DataFrame({"qid": [r["qid"] for r in left], "rank": [r["rank"] for r in left], "new_rank": range(1, len(left) + 1)})
+
+    kept = slim.groupBy("qid").applyInPandas(run, f"qid {rows.schema['qid'].dataType.simpleString()}, rank int, new_rank int")
+    return rows.join(kept, ["qid", "rank"]).withColumn("rank", F.col("new_rank")).drop("new_rank")

@@ -78,10 +78,17 @@ def parse(template: str) -> Node:
     return group("", 0)
 
 
+def diagonals(n: int, m: int):
+    """The pairs (i, k) of range(n) and range(m) by their sum, then by i, one after the other."""
+    for total in range(n + m - 1 if n and m else 0):
+        for i in range(max(0, total - m + 1), min(n, total + 1)):
+            yield i, total - i
+
+
 def expand(node: Node, slots: dict[str, list[str]], rules: dict[str, str], cap: int, fair: bool = False, depth: int = 0) -> list[tuple[str, tuple]]:
     """(text, bindings) of a tree, distinct, ``cap`` at most, in order: optional parts empty first, later parts of a sequence fastest.
 
-    ``fair`` takes choices in turn instead of one after the other. Two uses of one output must agree. Unknown rules and lists give empty text.
+    ``fair`` takes choices in turn instead of one after the other. Two uses of one output must agree. Unknown rules and lists give empty text, a list without values no text at all.
     """
 
     def distinct(items):
@@ -96,7 +103,7 @@ def expand(node: Node, slots: dict[str, list[str]], rules: dict[str, str], cap:
     if node.kind == "text":
         return [(node.value, ())]
     if node.kind == "slot":
-        return distinct((v, ((node.output, v),)) for v in slots.get(node.value, [""])) if slots.get(node.value) else [("", ())]
+        return distinct((v, ((node.output, v),)) for v in slots[node.value]) if node.value in slots else [("", ())]
     if node.kind == "rule":
         body = rules.get(node.value)
         return [("", ())] if body is None or depth >= DEPTH else expand(parse(body), slots, rules, cap, fair, depth + 1)
@@ -122,10 +129,7 @@ def expand(node: Node, slots: dict[str, list[str]], rules: dict[str, str], cap:
     out: list[tuple[str, tuple]] = [("", ())]
     for p in node.parts:
         more = inner(p)
-        if fair:
-            pairs = sorted(itertools.product(range(len(out)), range(len(more))), key=lambda ij: (ij[0] + ij[1], ij[0])) if len(out) * len(more) <= 40_000 else itertools.product(range(len(out)), range(len(more)))
-        else:
-            pairs = itertools.product(range(len(out)), range(len(more)))
+        pairs = diagonals(len(out), len(more)) if fair else itertools.product(range(len(out)), range(len(more)))
         out = distinct(j for i, k in pairs if (j := join(out[i], more[k])) is not None)
     return out
 
@@ -133,12 +137,18 @@ def expand(node: Node, slots: dict[str, list[str]], rules: dict[str, str], cap:
 def cleaned(template: str, slots: dict, rules: dict, cap: int = CAP_TEMPLATE, fair: bool = False) -> list[tuple[str, dict]]:
     """Expanded texts with white space collapsed, distinct, blank ones dropped."""
     seen: dict[tuple, None] = {}
-    for t, b in expand(parse(template), slots, rules, cap * 4 if cap < 5000 else cap, fair):
-        t = " ".join(t.split())
-        if t:
-            seen.setdefault((t, b))
-        if len(seen) >= cap:
+    tree, room = parse(template), cap
+    while True:  # several expansions may clean to one sentence: then more are asked for, until there are none
+        made = expand(tree, slots, rules, room, fair)
+        for t, b in made:
+            t = " ".join(t.split())
+            if t:
+                seen.setdefault((t, b))
+            if len(seen) >= cap:
+                break
+        if len(seen) >= cap or len(made) < room:
             break
+        room *= 4
     return [(t, dict(b)) for t, b in seen]
 
 

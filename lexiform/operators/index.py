@@ -15,8 +15,8 @@ OPTIONAL = {
 }
 
 
-def candidates(rows: DataFrame) -> DataFrame:
-    """Candidate rows with every derived column; rows with a blank text or intent go.
+def candidates(rows: DataFrame, language: str | None = None) -> DataFrame:
+    """Candidate rows with every derived column; rows with a blank text or intent go. Texts are folded by ``language``'s rules.
 
     Missing optional columns become their empty value; ``pos`` defaults to cid and orders ties.
     """
@@ -25,8 +25,8 @@ def candidates(rows: DataFrame) -> DataFrame:
         if name not in rows.columns:
             empty = F.col("cid").cast("long") if name == "pos" else F.lit("built_in") if name == "source" else F.create_map().cast(kind) if kind[:3] == "map" else F.array().cast(kind) if kind[:5] == "array" else F.lit(None).cast(kind)
             rows = rows.withColumn(name, empty)
-    rows = rows.withColumn("norm", T.normalize(F.col("text"))).where("norm <> ''")
-    rows = rows.withColumns({"norm_nd": T.fold(F.col("norm")), "tokens": T.tokens(F.col("norm")), "grams": T.char_ngrams(F.col("norm"))})
+    rows = rows.withColumn("norm", T.normalize_any(F.col("text"))).where("norm <> ''")
+    rows = rows.withColumns({"norm_nd": T.fold(F.col("norm"), language), "tokens": T.tokens(F.col("norm")), "grams": T.char_ngrams(F.col("norm"))})
     slot_tokens = F.array_distinct(F.flatten(F.transform(F.map_values("slots"), lambda v: T.slot_value_tokens(v))))
     variants = F.when(F.col("literal_text").isNull(), F.array().cast("array<array<string>>")).otherwise(T.literal_variants(F.col("literal_text")))
     return rows.withColumns({"n_grams": F.size("grams"), "slot_tokens": slot_tokens, "literal_variants": variants, "n_slots": F.size("slots")})
@@ -59,19 +59,24 @@ def dedupe(rows: DataFrame) -> DataFrame:
 def capped(rows: DataFrame, per_intent: int = CAP_INTENT, total: int = CAP_LANGUAGE, group: str = "intent", item: str = "pos") -> DataFrame:
     """Fair caps: each group takes one row of each item in turn up to ``per_intent``; then the best sources up to ``total``.
 
-    Needs columns ``group``, ``item`` (rows of one item are ordered by pos), source, pos.
+    Needs columns ``group``, ``item``, source, pos; rows of one item are ordered by whether they name an entity (where there are slots), then by pos.
     """
-    turn = F.row_number().over(Window.partitionBy(group, item).orderBy("pos"))
+    named = [F.exists(F.map_keys("slots"), lambda k: k.isin("name", "entity", "entity_name")).desc()] if "slots" in rows.columns else []
+    turn = F.row_number().over(Window.partitionBy(group, item).orderBy(*named, "pos"))
     rows = rows.withColumn("__turn", turn)
     rows = rows.withColumn("__rn", F.row_number().over(Window.partitionBy(group).orderBy("__turn", item, "pos"))).where(F.col("__rn") <= per_intent)
     return rows.orderBy(source_rank(F.col("source")), group, "__rn").limit(total).drop("__turn", "__rn")
 
 
 def build(rows: DataFrame, language: str | None = None, total: int = CAP_LANGUAGE) -> DataFrame:
-    """Candidates of one language (those without one fit all), deduplicated and capped."""
+    """Candidates of one language (those without one fit all), deduplicated and capped fairly.
+
+    Data items are told by column ``item`` where there is one, else each row is its own.
+    """
     if language is not None and "language" in rows.columns:
         rows = rows.where(F.col("language").isNull() | (F.col("language") == language))
-    return dedupe(candidates(rows)).orderBy(source_rank(F.col("source")), "norm", "pos").limit(total)
+    rows = dedupe(candidates(rows, language))
+    return capped(rows, total=total, item="item" if "item" in rows.columns else "pos")
 
 
 def term_frequencies(docs: DataFrame, key: str = "cid") -> DataFrame:
@@ -94,6 +99,11 @@ def term_stats(docs: DataFrame, key: str = "cid") -> DataFrame:
     return df.crossJoin(F.broadcast(docs.agg(F.count("*").alias("n")))).select("term", "df", idf(F.col("n"), F.col("df")).alias("idf"))  # broadcast: one row
 
 
+def bm25_weight(idf_, tf, length, avgdl, k1: float = BM25_K1, b: float = BM25_B):
+    """What a term adds to the score of a document of ``length`` words that has it ``tf`` times."""
+    return idf_ * (k1 + 1) * tf / (tf + k1 * (1 - b + b * length / avgdl))
+
+
 def check_bm25(k1: float, b: float) -> None:
     if k1 <= 0 or not 0 <= b <= 1:
         raise ValueError("k1 must be above 0 and b between 0 and 1")
@@ -103,8 +113,7 @@ def postings(docs: DataFrame, key: str = "cid", k1: float = BM25_K1, b: float =
     """(term, key, w): what each term adds to a document's score."""
     check_bm25(k1, b)
     tf = term_frequencies(docs, key).join(term_stats(docs, key), "term").crossJoin(F.broadcast(corpus_stats(docs).select("avgdl")))  # broadcast: one row
-    w = F.col("idf") * (k1 + 1) * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
-    return tf.select("term", key, w.alias("w"))
+    return tf.select("term", key, bm25_weight(F.col("idf"), F.col("tf"), F.col("len"), F.col("avgdl"), k1, b).alias("w"))
 
 
 def gram_postings(docs: DataFrame, key: str = "cid") -> DataFrame:
@@ -141,7 +150,10 @@ def literal_vocabulary(rows: DataFrame) -> DataFrame:
 
 
 def fingerprint(rows: DataFrame, *columns: str) -> DataFrame:
-    """One row: a digest of a frame's content that ignores the order of its rows; each row's own digest is summed in two halves, so no list of rows is gathered."""
+    """One row: a digest of a frame's content; each row's own digest is summed in parts, so no list of rows is gathered.
+
+    Rows have no order of their own: those of a sequence carry their position in a column, and so another order gives another digest.
+    """
     d = F.sha2(F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in columns or rows.columns]), {"ignoreNullFields": "false"}), 256)
     parts = [F.coalesce(F.sum(F.conv(F.substring(d, a, 15), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("string") for a in (1, 16, 31, 46)]
     return rows.agg(F.sha2(F.concat_ws("|", F.count("*").cast("string"), *parts), 256).alias("fingerprint"))

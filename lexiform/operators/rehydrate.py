@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexiform.config import STEM_ALIGNMENT
-from lexiform.functions.similarity import ratio
+from lexiform.functions import text as tx
+from lexiform.functions.similarity import jaccard, ratio
 from lexiform.functions.text import normalize_py
+from lexiform.operators.index import bm25_weight
+from lexiform.operators.retrieve import rehydrated_bm25
 
 
 def placeholders(tokens: Column, names: Column) -> Column:
@@ -93,19 +97,40 @@ def fill(candidate: list[str], names: list[str], query: str) -> tuple[str, dict[
 RESULT = T.StructType([T.StructField("text", T.StringType()), T.StructField("replacements", T.MapType(T.StringType(), T.StringType()))])
 
 
-@F.udf(RESULT, useArrow=True)
-def rehydrated(candidate: list, names: list, query: str):
-    got = fill(list(candidate), list(names), query)
-    return None if got is None else {"text": got[0], "replacements": got[1]}
+@F.pandas_udf(RESULT)
+def rehydrated(candidate: pd.Series, names: pd.Series, query: pd.Series) -> pd.DataFrame:
+    """``fill`` of columns; text and replacements are null where it fails."""
+    got = [fill(list(c), list(n), q) or (None, None) for c, n, q in zip(candidate, names, query, strict=True)]
+    return pd.DataFrame({"text": [t for t, _ in got], "replacements": [r for _, r in got]})
 
 
 def rehydrate(rows: DataFrame) -> DataFrame:
     """``rows`` (tokens, wildcard_slots, query) with rehydrated, replacements and replacement_words; rows whose placeholders can't be filled go."""
-    rows = rows.withColumn("__r", rehydrated("tokens", "wildcard_slots", "query")).where(F.col("__r").isNotNull())
-    words = F.aggregate(F.map_values("__r.replacements"), F.lit(0).cast("long"), lambda a, v: a + F.size(F.split(v, " ")))
-    return rows.select(*rows.drop("__r").columns, F.col("__r.text").alias("rehydrated"), F.col("__r.replacements").alias("replacements"), words.alias("replacement_words"))
+    rows = rows.withColumn("__r", rehydrated("tokens", "wildcard_slots", "query")).where(F.col("__r.text").isNotNull())
+    words = F.aggregate(F.map_values("__r.replacements"), F.lit(0).cast("long"), lambda a, v: a + F.size(F.filter(F.split(v, r"\s+"), lambda w: w != "")))
+    return rows.select(*[c for c in rows.columns if c not in ("__r", "rehydrated", "replacements", "replacement_words")], F.col("__r.text").alias("rehydrated"), F.col("__r.replacements").alias("replacements"), words.alias("replacement_words"))
 
 
 def filled_slots(slots: Column, replacements: Column) -> Column:
     """Slot values with the names of placeholders replaced."""
     return F.transform_values(slots, lambda k, v: F.coalesce(F.element_at(replacements, v), v))
+
+
+def rescored(rows: DataFrame, stats: DataFrame, corpus: DataFrame, tops: DataFrame) -> DataFrame:
+    """``rows`` of pairs whose candidates have placeholders, filled from their queries: norm's own words stay, but tokens, n-grams, BM25 and literals are those of the filled text.
+
+    Rows that can't be filled go. ``stats`` is from ``index.term_stats``, ``corpus`` from ``index.corpus_stats``, ``tops`` has each query's best raw BM25 (qid, top).
+    """
+    rows = rehydrate(rows).where(F.size("replacements") > 0)
+    said = F.array_distinct(F.flatten(F.transform(F.map_values("replacements"), lambda v: tx.slot_value_tokens(v))))
+    first = F.array_min(F.transform("wildcard_slots", lambda n: F.array_position("tokens", n).cast("int") - 1))
+    rows = rows.withColumns({"first_wildcard": first, "wildcard_tokens": said, "filled_norm": tx.normalize_any(F.col("rehydrated"))})
+    spoken = lambda w: F.coalesce(tx.slot_value_tokens(F.element_at(F.col("replacements"), w)), F.array(w))
+    variants = F.transform("literal_variants", lambda v: F.array_distinct(F.flatten(F.transform(v, lambda w: F.when(F.map_contains_key("replacements", w), spoken(w)).otherwise(F.array(w))))))
+    rows = rows.withColumns({"tokens": tx.tokens(F.col("filled_norm")), "grams": tx.char_ngrams(F.col("filled_norm")), "literal_variants": variants})
+    rows = rows.withColumn("char", jaccard(F.col("grams"), tx.char_ngrams(F.col("q_norm"))))
+    terms = rows.select("qid", "cid", "tokens", F.explode(F.array_distinct(F.array_intersect("q_tokens", "tokens"))).alias("term"))
+    terms = terms.join(stats.select("term", "idf"), "term", "left").crossJoin(F.broadcast(corpus))  # broadcast: one row
+    raw = terms.groupBy("qid", "cid").agg(F.sum(bm25_weight(F.coalesce("idf", F.log1p((F.col("n") + 0.5) / 0.5)), F.size(F.filter("tokens", lambda t: t == F.col("term"))), F.size("tokens"), F.col("avgdl"))).alias("raw"))
+    rows = rows.join(raw, ["qid", "cid"], "left").join(tops, "qid", "left")
+    return rows.withColumn("bm25", rehydrated_bm25(F.coalesce("raw", F.lit(0.0)), F.coalesce("top", F.lit(0.0)))).drop("raw", "top")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiform.config import BM25_B, BM25_K1, CAP_NOMINATED, CAP_SLOT_VALUES, PREFILTER, SLOT_RESCUE, W_BM25, W_CHAR, WILDCARD_COVERAGE, WILDCARD_RESCUE
+from lexiform.config import BM25_B, BM25_K1, CAP_NOMINATED, CAP_SCORED, CAP_SLOT_VALUES, PREFILTER, SLOT_RESCUE, W_BM25, W_CHAR, WILDCARD_COVERAGE, WILDCARD_RESCUE
 from lexiform.functions import similarity as S
 from lexiform.functions import text as T
 from lexiform.operators import index as ix
@@ -41,8 +41,7 @@ def bm25_foreign(queries: DataFrame, others: DataFrame, docs: DataFrame, key: st
     stats = F.broadcast(ix.corpus_stats(docs))  # broadcast: one row
     tf = query_terms(queries).join(ix.term_frequencies(others, key), "term").join(ix.term_stats(docs, own).select("term", "idf"), "term", "left").crossJoin(stats)
     weight = F.coalesce("idf", F.log1p((F.col("n") + 0.5) / 0.5))
-    w = weight * (k1 + 1) * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
-    return tf.groupBy("qid", key).agg(F.sum(w).alias("raw"))
+    return tf.groupBy("qid", key).agg(F.sum(ix.bm25_weight(weight, F.col("tf"), F.col("len"), F.col("avgdl"), k1, b)).alias("raw"))
 
 
 def rescaled(dynamic: DataFrame, static: DataFrame, key: str = "cid") -> DataFrame:
@@ -82,9 +81,9 @@ def exact_folded(queries: DataFrame, docs: DataFrame) -> DataFrame:
     return hits.join(sure, "qid", "left_semi").select("qid", "cid")
 
 
-def touched(queries: DataFrame, posts: DataFrame, grams: DataFrame) -> DataFrame:
-    """(qid, cid, bm25, char, key) of every pair with a term or gram in common; two sparse joins meet in a full outer one."""
-    both = bm25_sparse(queries, posts).join(ngram_jaccard(queries, grams), ["qid", "cid"], "full").fillna(0.0, ["bm25", "char"])
+def touched(queries: DataFrame, posts: DataFrame, grams: DataFrame, raw: DataFrame | None = None) -> DataFrame:
+    """(qid, cid, bm25, char, key) of every pair with a term or gram in common; two sparse joins meet in a full outer one. ``raw`` is ``bm25_raw`` where it's at hand."""
+    both = relative(bm25_raw(queries, posts) if raw is None else raw).join(ngram_jaccard(queries, grams), ["qid", "cid"], "full").fillna(0.0, ["bm25", "char"])
     return both.withColumn("key", F.round(W_CHAR * F.col("char") + W_BM25 * F.col("bm25"), 12))
 
 
@@ -162,8 +161,9 @@ def wildcard_rescue(passed: DataFrame, found: DataFrame, k: int = WILDCARD_RESCU
 def registry_hits(queries: DataFrame, records: DataFrame, nominated: int = CAP_NOMINATED, kept: int = CAP_SLOT_VALUES) -> DataFrame:
     """(qid, slot, position, exact, phrase, full, matched, n): registry values a query speaks of, ``kept`` a slot at most.
 
-    Tokens met exactly and tokens one edit away nominate ``nominated`` values a slot by their count; the match key (exact, phrase, full, matched, fewer tokens)
-    decides. A value needs two matched tokens, or all it has; one short token counts exactly only.
+    Tokens met exactly and tokens one edit away nominate ``nominated`` values a slot and CAP_SCORED a query by their count; the match key (exact, phrase, full, matched, fewer tokens)
+    decides, for which tokens are matched one to one. A value needs two matched tokens, or all it has; one short token counts exactly only. Where a value of several words is
+    met exactly and whole, edits nominate nothing in its slot.
     """
     q = queries.select("qid", "norm", F.explode(F.array_distinct("tokens")).alias("q"))
     rec = records.select("slot", "position", "norm", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
@@ -171,11 +171,16 @@ def registry_hits(queries: DataFrame, records: DataFrame, nominated: int = CAP_N
     near = q.where("length(q) >= 4").select("qid", "q", F.explode(F.array_union(F.array("q"), T.deletions(F.col("q")))).alias("key"))
     near = near.join(ix.registry_fuzzy(records), "key").where(S.registry_token_match(F.col("token"), F.col("q"))).select("qid", "slot", "position", "token").distinct()
     near = near.join(rec.select("slot", "position", "n").distinct(), ["slot", "position"]).select("qid", "slot", "position", "n", "token", F.lit(0).alias("hit"))
+    sure = same.groupBy("qid", "slot", "position", "n").agg(F.count_distinct("token").alias("have")).where("have = n and n > 1").select("qid", "slot").distinct()
+    near = near.join(sure, ["qid", "slot"], "left_anti")
     hits = same.union(near).groupBy("qid", "slot", "position", "n", "token").agg(F.max("hit").alias("hit")).groupBy("qid", "slot", "position", "n").agg(F.count("*").alias("matched"), F.sum("hit").alias("sure"))
     hits = hits.where((F.col("matched") >= F.least(F.lit(2), F.col("n"))))
     cheap = Window.partitionBy("qid", "slot").orderBy(F.desc("sure"), F.desc("matched"), "n", "position")
-    hits = hits.withColumn("rn", F.row_number().over(cheap)).where(F.col("rn") <= nominated).drop("rn")
-    hits = hits.join(records.select("slot", "position", F.col("norm").alias("value")), ["slot", "position"]).join(queries.select("qid", F.col("norm").alias("query")), "qid")
+    hits = hits.withColumn("rn", F.row_number().over(cheap)).where(F.col("rn") <= nominated)
+    budget = Window.partitionBy("qid").orderBy("rn", F.desc("sure"), F.desc("matched"), "n", "slot", "position")
+    hits = hits.withColumn("rn", F.row_number().over(budget)).where(F.col("rn") <= max(CAP_SCORED, nominated)).drop("rn")
+    hits = hits.join(records.select("slot", "position", F.col("norm").alias("value"), F.col("tokens").alias("own")), ["slot", "position"]).join(queries.select("qid", F.col("norm").alias("query"), F.col("tokens").alias("said")), "qid")
+    hits = hits.withColumn("matched", F.when(F.col("sure") == F.col("n"), F.col("matched")).otherwise(S.registry_count("own", "said").cast("long"))).where((F.col("matched") >= F.least(F.lit(2), F.col("n")))).drop("own", "said")
     key = {"exact": (F.col("value") == F.col("query")).cast("int"), "phrase": T.has_phrase(F.col("query"), F.col("value")).cast("int"), "full": (F.col("matched") == F.col("n")).cast("int")}
     hits = hits.withColumns(key).where((F.col("n") > 1) | (F.length("value") > 3) | (F.col("phrase") == 1))
     best = Window.partitionBy("qid", "slot").orderBy(F.desc("exact"), F.desc("phrase"), F.desc("full"), F.desc("matched"), "n", "position", "value")

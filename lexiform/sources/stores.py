@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexiform.config import STORE_VERSION
+from lexiform.config import CUSTOM_KEYS, STORE_VERSION
 from lexiform.operators.index import fingerprint, registry_records
 
 
@@ -61,8 +61,10 @@ def read_grammar(spark: SparkSession, path: str, kind: str = "json") -> dict[str
 
 
 def grammar_rows(spark: SparkSession, sources: dict[str, dict]) -> DataFrame:
-    """One row for each sentence template of the sources: source key, intent, item position, template, lists, rules, slots, context. Custom sources come first."""
-    custom = ("config", "trigger", "custom_sentence")
+    """One row for each sentence template of the sources: source key, intent, item position, template, lists, what their values mean by output, wildcards, literal words, rules, slots, context. Custom sources come first."""
+    from lexiform.operators import grammar
+
+    custom = CUSTOM_KEYS
     rows = []
     for key in sorted(sources, key=lambda k: (k.lower() not in custom, k)):
         src = sources[key]
@@ -74,26 +76,50 @@ def grammar_rows(spark: SparkSession, sources: dict[str, dict]) -> DataFrame:
                     rules |= level.get("expansion_rules") or {}
                 for template in item.get("sentences") or []:
                     context = {k: (v if isinstance(v, list) else [str(v)]) for k, v in (item.get("requires_context") or {}).items()}
-                    rows.append((len(rows), key, "custom_sentence" if key.lower() in custom else "built_in", intent, i, template, {k: list_values(v, rules) for k, v in lists.items()}, rules, {k: str(v) for k, v in (item.get("slots") or {}).items()}, {k: [str(x) for x in v] for k, v in context.items()}))
-    return spark.createDataFrame(rows, "pos long, source_key string, source string, intent string, item int, template string, slots map<string,array<string>>, rules map<string,string>, static map<string,string>, context map<string,array<string>>")
-
-
-def list_values(spec: Any, rules: dict[str, str]) -> list[str]:
-    """The spoken values of a list: strings or in/out entries (templates expanded), a range's ends, or nothing for a wildcard."""
+                    refs = grammar.slot_references(grammar.parse(template), rules)
+                    spoken = {k: list_values(v, rules, next((o for n, o in refs if n == k), k)) for k, v in lists.items()}
+                    means = {o: meanings(lists[n], rules) for n, o in refs if n in lists}
+                    wild = [o for n, o in refs if isinstance(lists.get(n), dict) and lists[n].get("wildcard")]
+                    literal = "|".join(" ".join(v) for v in grammar.literal_variants(template, rules))
+                    static = {k: str(v) for k, v in (item.get("slots") or {}).items()}
+                    rows.append((len(rows), key, "custom_sentence" if key.lower() in custom else "built_in", intent, i, template, spoken, means, wild, literal, rules, static, {k: [str(x) for x in v] for k, v in context.items()}))
+    kinds = "pos long, source_key string, source string, intent string, item int, template string, slots map<string,array<string>>, outputs map<string,map<string,string>>, wildcards array<string>, literal_text string, rules map<string,string>, static map<string,string>, context map<string,array<string>>"
+    return spark.createDataFrame(rows, kinds)
+
+
+def list_outputs(spec: Any, rules: dict[str, str]) -> dict[str, str]:
+    """What each spoken value of a list means: itself, or the output of its in/out entry, whose templates are expanded; the first entry of a value wins."""
     from lexiform.operators.grammar import cleaned
 
     if isinstance(spec, list):
         spec = {"values": spec}
-    if spec.get("wildcard"):
-        return []
-    if "range" in spec:
+    out: dict[str, str] = {}
+    for v in spec.get("values") or []:
+        for template in [v] if isinstance(v, str) else v["in"] if isinstance(v.get("in"), list) else [v.get("in", "")]:
+            for t, _ in cleaned(template, {}, rules):
+                out.setdefault(t, str(v["out"]) if isinstance(v, dict) and "out" in v else t)
+    return out
+
+
+def list_values(spec: Any, rules: dict[str, str], name: str = "") -> list[str]:
+    """The spoken values of a list: strings or in/out entries (templates expanded), a range's ends, or a wildcard's own name."""
+    if isinstance(spec, dict) and spec.get("wildcard"):
+        return [name] if name else []
+    if isinstance(spec, dict) and "range" in spec:
         r = spec["range"]
         return [str(x) for x in sorted((r["from"], r["to"]))]
-    out: list[str] = []
-    for v in spec.get("values") or []:
-        for template in ([v] if isinstance(v, str) else v["in"] if isinstance(v.get("in"), list) else [v.get("in", "")]):
-            out += [t for t, _ in cleaned(template, {}, rules)]
-    return list(dict.fromkeys(out))
+    return list(list_outputs(spec, rules))
+
+
+def meanings(spec: Any, rules: dict[str, str]) -> dict[str, str]:
+    """What each of a list's ``list_values`` means; a range's ends are multiplied."""
+    if isinstance(spec, dict) and spec.get("wildcard"):
+        return {}
+    if isinstance(spec, dict) and "range" in spec:
+        r = spec["range"]
+        by = float(r.get("multiplier") or 1)
+        return {str(x): f"{x * by:g}" for x in (r["from"], r["to"])}
+    return list_outputs(spec, rules)
 
 
 def registry(entities: DataFrame, areas: DataFrame, floors: DataFrame) -> DataFrame:
