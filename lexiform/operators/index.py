@@ -18,13 +18,15 @@ OPTIONAL = {
 def candidates(rows: DataFrame, language: str | None = None) -> DataFrame:
     """Candidate rows with every derived column; rows with a blank text or intent go. Texts are folded by ``language``'s rules.
 
-    Missing optional columns become their empty value; ``pos`` defaults to cid and orders ties.
+    Missing optional columns and nulls in them become their empty value; ``pos`` defaults to cid and orders ties.
     """
     rows = rows.where((F.trim("text") != "") & (F.trim("intent") != ""))
     for name, kind in OPTIONAL.items():
         if name not in rows.columns:
             empty = F.col("cid").cast("long") if name == "pos" else F.lit("built_in") if name == "source" else F.create_map().cast(kind) if kind[:3] == "map" else F.array().cast(kind) if kind[:5] == "array" else F.lit(None).cast(kind)
             rows = rows.withColumn(name, empty)
+        elif kind[:3] == "map" or kind[:5] == "array":
+            rows = rows.withColumn(name, F.coalesce(F.col(name).cast(kind), (F.create_map() if kind[:3] == "map" else F.array()).cast(kind)))
     rows = rows.withColumn("norm", T.normalize_any(F.col("text"))).where("norm <> ''")
     rows = rows.withColumns({"norm_nd": T.fold(F.col("norm"), language), "tokens": T.tokens(F.col("norm")), "grams": T.char_ngrams(F.col("norm"))})
     slot_tokens = F.array_distinct(F.flatten(F.transform(F.map_values("slots"), lambda v: T.slot_value_tokens(v))))
