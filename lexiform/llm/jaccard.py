@@ -188,6 +188,8 @@ def index_lists(docs: DataFrame, counts: DataFrame) -> DataFrame:
         w = Window.partitionBy("t", "u")
         lists = lists.withColumns({"lo": F.min("k").over(w), "hi": F.max("k").over(w), "c": F.count("*").over(w)}).where("hot or lo < hi")
         held = written(lists.select("t", "k", "n", "p", "hot", "c"), "lists")
+        del index, lists
+        settle(docs.sparkSession)  # the entries' shuffle isn't read again
         long = held.where(f"not hot and c >= {LONG_LIST}").groupBy("t").agg(F.count_distinct("k").alias("c")).where(f"c >= {LONG_LIST}").orderBy(F.desc("c"), "t").limit(max(0, FREQUENT - len(frequent[0]))).toArrow()  # at most FREQUENT rows of two numbers
         if not long.num_rows:
             return held.drop("c")
@@ -210,7 +212,10 @@ def candidates(index: DataFrame, relation: DataFrame) -> DataFrame:
     """
     lists = held = written(index.select("t", "k", "n", "p").distinct().join(relation, "k").select("t", "k", "n", "p", "component"), "index")
     several = lists.groupBy("t").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("t")
-    lists = lists.join(several, "t")
+    lists = written(lists.join(several, "t"), "open-lists")
+    drop_written(held)
+    held = lists
+    settle(index.sparkSession)
     size_block = lambda x: F.floor(F.log(x.cast("double")) / F.log(F.lit(BLOCK)) + 1e-9).cast("int")
     place = f"case when p <= {SLACK} then 0 when 14 * (p - {SLACK}) <= n then 1 when 7 * (p - {SLACK}) <= n then 2 end"
     low, high = f"greatest(0.75D * n, pow({BLOCK}D, size) * 0.999999D)", f"least(cast(n as double), pow({BLOCK}D, size + 1) * 1.000001D)"
@@ -287,6 +292,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     alike = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: (u == v).cast("int")), F.lit(0), lambda r, z: r + z) >= ALIKE
     stars = keys.join(first, ["i", "v"]).where((F.col("k") != F.col("pivot.k")) & alike(F.col("m"), F.col("pivot.m")))
     stars = written(stars.select(F.col("pivot.k").alias("a"), F.col("k").alias("b")).distinct(), "stars")
+    del first, size, central
+    settle(docs.sparkSession)
     near = written(linked(stars, pool := chosen(stars)), "near")
     drop_written(pool)
     part = written(components(near), "relation")
@@ -311,6 +318,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
             break
         near = written(near.union(fresh), "near")
         part = written(components(near), "relation")
+        del owned, one, met, fresh
+        settle(docs.sparkSession)
     for done in (keys, stars):
         drop_written(done)
     settle(docs.sparkSession)
