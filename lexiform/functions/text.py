@@ -7,7 +7,7 @@ import unicodedata
 
 import pandas as pd
 import regex
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -162,6 +162,16 @@ def json_map(text: Column) -> Column:
     return F.coalesce(F.from_json(text, "map<string,string>"), F.create_map().cast("map<string,string>"))
 
 
+def slot_alias_values(rows: DataFrame, key: str, aliases: dict[str, tuple[str, ...]]) -> DataFrame:
+    """(key, "key", vals) of rows (key, slots): the values that each slot name may stand for: its own, that of a slot ``name:scope`` for ``name``, and those of the names it's an alias of."""
+    one = rows.select(key, F.explode("slots").alias("own", "val")).where("val is not null")
+    names = F.array_distinct(F.array(F.col("own"), F.split_part("own", F.lit(":"), F.lit(1))))
+    one = one.select(key, F.explode(names).alias("name"), "val")
+    table = F.create_map(*[x for k, v in aliases.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]) if aliases else F.create_map().cast("map<string,array<string>>")
+    also = F.concat(F.array("name"), F.coalesce(F.element_at(table, F.col("name")), F.array().cast("array<string>")))
+    return one.select(key, F.explode(also).alias("key"), "val").groupBy(key, "key").agg(F.collect_set("val").alias("vals"))  # a row's own slots
+
+
 def csv_names(text: Column) -> Column:
     return F.coalesce(F.filter(F.split(text, ","), lambda x: x != ""), F.array().cast("array<string>"))
 

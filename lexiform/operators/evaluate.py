@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import time
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexiform.operators.decide import equivalent_intents
+from lexiform.operators.index import source_rank
+
 
 def _n(cond: Column, name: str) -> Column:
     return F.count_if(F.coalesce(cond, F.lit(False))).alias(name)
@@ -83,10 +89,43 @@ def counts(rows: DataFrame, *keys: str) -> DataFrame:
     return long.groupBy("d.dimension", "d.value").agg(F.count("*").alias("n"))
 
 
+def native_parses(queries: DataFrame, sentences: DataFrame, domains: tuple[str, ...] = (), best: bool = False) -> DataFrame:
+    """What an exact parser makes of queries (qid, norm): the sentences (cid, norm, intent, source, pos, …) of an expanded grammar that are the query; or the best.
+
+    Best is a sentence whose slot ``domain`` is among ``domains`` in their order (where sentences have slots), then the user's own, then the first.
+    """
+    hits = queries.select("qid", "norm").join(sentences, "norm")
+    if not best:
+        return hits
+    order = []
+    if domains and "slots" in sentences.columns:
+        at = F.array_position(F.array(*map(F.lit, domains)), F.element_at("slots", "domain"))
+        order.append(F.when(at > 0, at).otherwise(len(domains) + 1))
+    order += [source_rank(F.col("source")), F.col("pos"), F.col("cid")]
+    return hits.withColumn("__rn", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).where("__rn = 1").drop("__rn")
+
+
+def profiled(spark: SparkSession, stages: dict[str, Callable[[], DataFrame]], iterations: int = 10, warm_up: int = 3) -> DataFrame:
+    """(stage, iteration, ms, n_rows): each stage run to its end ``iterations`` times after ``warm_up`` runs that don't count."""
+    rows = []
+    for name, make in stages.items():
+        for i in range(-warm_up, iterations):
+            began = time.perf_counter()
+            n = make().count()
+            if i >= 0:
+                rows.append((name, i, (time.perf_counter() - began) * 1000, n))
+    return spark.createDataFrame(rows, "stage string, iteration int, ms double, n_rows long")
+
+
+def slowest(cases: DataFrame, by: str = "ms", n: int = 10) -> DataFrame:
+    """The ``n`` slowest cases (a report's limit)."""
+    return cases.orderBy(F.desc(by)).limit(n)
+
+
 def equivalent(a: Column, b: Column) -> Column:
-    """Intents equal as such, or list intents with one action suffix."""
+    """Intents equal as such, list intents with one action suffix, or those of one group of equivalent list intents."""
     suffix = lambda x: F.regexp_extract(x, r"^Hass(?:Shopping)?List(\w+)$", 1)
-    return (a == b) | ((suffix(a) != "") & (suffix(a) == suffix(b)))
+    return (a == b) | ((suffix(a) != "") & (suffix(a) == suffix(b))) | equivalent_intents(a, b)
 
 
 def slots_equal(want: Column, got: Column) -> Column:
@@ -162,7 +201,8 @@ def slowest(rows: DataFrame, value: str, n: int = 10) -> DataFrame:
 
 
 def text_report(stats: DataFrame, limit: int = 1000) -> str:
-    """A small frame of statistics as a Markdown table; ``limit`` rows at most, as reports are for reading."""
-    rows = stats.limit(limit).collect()
+    """A small frame of statistics as a Markdown table; ``limit`` rows at most, as reports are for reading, and a line that says so where there are more."""
+    rows = stats.limit(limit + 1).collect()
     head = "| " + " | ".join(stats.columns) + " |\n|" + "---|" * len(stats.columns)
-    return head + "".join("\n| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows)
+    body = "".join("\n| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows[:limit])
+    return head + body + (f"\n\nOnly the first {limit} rows." if len(rows) > limit else "")

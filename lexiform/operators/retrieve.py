@@ -162,7 +162,7 @@ def registry_hits(queries: DataFrame, records: DataFrame, nominated: int = CAP_N
     """(qid, slot, position, exact, phrase, full, matched, n): registry values a query speaks of, ``kept`` a slot at most.
 
     Tokens met exactly and tokens one edit away nominate ``nominated`` values a slot and CAP_SCORED a query by their count; the match key (exact, phrase, full, matched, fewer tokens)
-    decides, for which tokens are matched one to one. A value needs two matched tokens, or all it has; one short token counts exactly only. Where a value of several words is
+    decides, for which tokens are matched one to one. A value needs two matched tokens, or all it has; one short token counts exactly only. Where a value of four characters and more is
     met exactly and whole, edits nominate nothing in its slot.
     """
     q = queries.select("qid", "norm", F.explode(F.array_distinct("tokens")).alias("q"))
@@ -171,7 +171,7 @@ def registry_hits(queries: DataFrame, records: DataFrame, nominated: int = CAP_N
     near = q.where("length(q) >= 4").select("qid", "q", F.explode(F.array_union(F.array("q"), T.deletions(F.col("q")))).alias("key"))
     near = near.join(ix.registry_fuzzy(records), "key").where(S.registry_token_match(F.col("token"), F.col("q"))).select("qid", "slot", "position", "token").distinct()
     near = near.join(rec.select("slot", "position", "n").distinct(), ["slot", "position"]).select("qid", "slot", "position", "n", "token", F.lit(0).alias("hit"))
-    sure = same.groupBy("qid", "slot", "position", "n").agg(F.count_distinct("token").alias("have")).where("have = n and n > 1").select("qid", "slot").distinct()
+    sure = same.groupBy("qid", "slot", "position", "n").agg(F.count_distinct("token").alias("have")).where("have = n").join(records.select("slot", "position", F.col("norm").alias("own")), ["slot", "position"]).where("length(own) >= 4").select("qid", "slot").distinct()
     near = near.join(sure, ["qid", "slot"], "left_anti")
     hits = same.union(near).groupBy("qid", "slot", "position", "n", "token").agg(F.max("hit").alias("hit")).groupBy("qid", "slot", "position", "n").agg(F.count("*").alias("matched"), F.sum("hit").alias("sure"))
     hits = hits.where((F.col("matched") >= F.least(F.lit(2), F.col("n"))))

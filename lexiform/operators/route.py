@@ -61,6 +61,18 @@ def divergence(intent: Column, slots: Column, want_intent: Column, want_slots: C
     return F.when(i & s, "intent_and_slots").when(i, "intent").when(s, "slots")
 
 
+def area_context(requests: DataFrame, devices: DataFrame, areas: DataFrame) -> DataFrame:
+    """``requests`` (qid, satellite, device) with area, area_name and context {area: words}: the area of the satellite, else of the device; null where neither has one.
+
+    ``devices`` has (device, area), ``areas`` (area, name): the registry's tables, one row for each key.
+    """
+    place = devices.select(F.col("device").alias("satellite"), F.col("area").alias("__s"))
+    rows = requests.join(place, "satellite", "left").join(devices.select("device", F.col("area").alias("__d")), "device", "left").withColumn("area", F.coalesce("__s", "__d"))
+    rows = rows.join(areas.select("area", F.col("name").alias("area_name")), "area", "left").drop("__s", "__d")
+    words = tx.slot_value_tokens(F.col("area_name"))
+    return rows.withColumn("context", F.when(F.size(words) > 0, F.create_map(F.lit("area"), words)))
+
+
 def trace(rows: DataFrame) -> DataFrame:
     """Trace rows with digests in place of texts. Needs qid, delegated, source, kind, intent, attempts, divergence, recovered."""
     return rows.select("qid", F.sha2("delegated", 256).alias("delegated_sha256"), "source", "kind", "intent", "attempts", "divergence", "recovered")

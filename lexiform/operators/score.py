@@ -71,10 +71,10 @@ def context_agreement(slots: Column, context_slots: Column, context: Column, sil
 def explicit_context_keys(rows: DataFrame) -> DataFrame:
     """(qid, silent): the context keys that a query states itself, from scored pairs (qid, slots, c_anchor, context): a spoken entity silences places too."""
     anchored = F.map_filter("slots", lambda k, v: (F.size(T.slot_value_tokens(v)) > 0) & (F.size(F.array_except(T.slot_value_tokens(v), "c_anchor")) == 0))
-    stated = rows.where(F.size("context") > 0).select("qid", "context", F.explode(F.map_keys(anchored)).alias("slot")).distinct()
+    stated = rows.where(F.size("context") > 0).select("qid", F.map_keys("context").alias("context"), F.explode(F.map_keys(anchored)).alias("slot")).distinct()
     places = F.array(*[F.lit(s) for s in C.LOCATION_SLOTS])
     hit = lambda k: (k == F.col("slot")) | (F.array_contains(places, k) & F.col("slot").isin(*C.LOCATION_SLOTS, *C.ENTITY_SLOTS))
-    return stated.select("qid", F.explode(F.filter(F.map_keys("context"), hit)).alias("key")).groupBy("qid").agg(F.collect_set("key").alias("silent"))  # a context has a few keys
+    return stated.select("qid", F.explode(F.filter("context", hit)).alias("key")).groupBy("qid").agg(F.collect_set("key").alias("silent"))  # a context has a few keys
 
 
 def unknown_queries(rows: DataFrame) -> DataFrame:

@@ -75,11 +75,12 @@ def normalize_ascii(spark, d):
     return table(spark, d, "orders").select("o_orderkey", T.normalize(text).alias("norm"))
 
 
-@query(r"""SELECT conv_id, turn, len(regexp_extract_all(translate(lower(text), 'áàâãäéèêëíìîïóòôõöúùûüñç', 'aaaaaeeeeiiiiooooouuuunc'), '[^\s.,;:!?]+'))::BIGINT AS n, translate(lower(text), 'áàâãäéèêëíìîïóòôõöúùûüñç', 'aaaaaeeeeiiiiooooouuuunc') = lower(text) AS plain FROM conversations WHERE regexp_full_match(text, '(?s)[\p{Latin}\s.,]*') AND NOT contains(text, 'ß')""")
+@query("""SELECT conv_id, turn, md5(strip_accents(replace(replace(replace(replace(replace(replace(replace(replace(replace(lower(text), 'đ', 'd'), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe'), 'ø', 'o'), 'ł', 'l'), 'ı', 'i'), 'ð', 'd'), 'þ', 'th'))) AS plain,
+md5(strip_accents(replace(replace(replace(replace(lower(text), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss'))) AS german FROM conversations""")
 def fold_latin(spark, d):
-    rows = table(spark, d, "conversations").where(F.col("text").rlike(r"(?s)^[\p{IsLatin}\s.,]*$") & ~F.contains("text", F.lit("ß")))
-    f = T.fold(T.normalize(F.col("text")))
-    return rows.select("conv_id", "turn", F.size(T.tokens(f)).cast("long").alias("n"), (T.fold(F.lower("text")) == F.lower("text")).alias("plain"))
+    """Every text without diacritics, by the general rules and by the German ones."""
+    low = F.lower("text")
+    return table(spark, d, "conversations").select("conv_id", "turn", F.md5(T.fold(low).cast("binary")).alias("plain"), F.md5(T.fold(low, "de").cast("binary")).alias("german"))
 
 
 @query("SELECT c_custkey, unnest(['customer', substr(c_name, 10)]) AS token, unnest([0, 1]) AS pos FROM customer")
@@ -105,13 +106,17 @@ def range_grid(spark, d):
     return rows.select("l_orderkey", "l_linenumber", T.on_grid(F.col("l_quantity"), F.lit(0.0), F.lit(5.0)).alias("fives"), T.on_grid(F.round(F.col("l_extendedprice") * 100), F.lit(0.0), F.lit(50.0)).alias("halves"))
 
 
-@query("""SELECT b.item_id, d.doc_id FROM documents d JOIN benchmark b ON contains(' ' || lower(d.text) || ' ', ' ' || lower(list_aggregate(list_slice(string_split(replace(b.text, chr(10), ' '), ' '), 2, 7), 'string_agg', ' ')) || ' ')""")
+@query(r"""WITH b AS (SELECT DISTINCT item_id, trim(regexp_replace(unnest(string_split(lower(text), chr(10))), '\s+', ' ', 'g')) AS phrase FROM benchmark), d AS (SELECT doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS t FROM documents)
+SELECT DISTINCT item_id, doc_id, phrase FROM d JOIN b ON contains(' ' || t || ' ', ' ' || phrase || ' ') WHERE len(string_split(phrase, ' ')) >= 3""")
 def phrase_in_text(spark, d):
-    words = F.split(F.lower(F.replace("text", F.lit("\n"), F.lit(" "))), " ")
-    items = table(spark, d, "benchmark").select("item_id", F.array_join(F.slice(words, 2, 6), " ").alias("phrase"))
-    docs = table(spark, d, "documents").select("doc_id", F.lower("text").alias("t"))
-    hit = F.instr(F.concat(F.lit(" "), F.col("t"), F.lit(" ")), F.concat(F.lit(" "), F.col("phrase"), F.lit(" "))) > 0
-    return docs.join(F.broadcast(items), hit).select("item_id", "doc_id")  # broadcast: the benchmark's items, a fixed set
+    """Every line of three words and more of an item that a document has at word borders; a line's first three words nominate documents, the whole line decides."""
+    even = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+    three = lambda w, i: F.concat_ws(" ", w[i], w[i + 1], w[i + 2])
+    lines = table(spark, d, "benchmark").select("item_id", F.explode(F.split("text", "\n")).alias("line")).select("item_id", even("line").alias("phrase")).distinct()
+    lines = lines.withColumn("w", F.split("phrase", " ")).where(F.size("w") >= 3).select("item_id", "phrase", three(F.col("w"), 0).alias("head"))
+    docs = table(spark, d, "documents").select("doc_id", even("text").alias("t")).withColumn("w", F.split("t", " "))
+    heads = docs.select("doc_id", "t", F.explode(F.array_distinct(F.when(F.size("w") >= 3, F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: three(F.col("w"), i))).otherwise(F.array().cast("array<string>")))).alias("head"))
+    return heads.join(lines, "head").where(T.has_phrase(F.col("t"), F.col("phrase"))).select("item_id", "doc_id", "phrase").distinct()
 
 
 @query("SELECT DISTINCT t AS token, unnest(list_distinct(list_transform(range(1, len(t) + 1), lambda i: substr(t, 1, (i - 1)::INT) || substr(t, (i + 1)::INT)))) AS deletion FROM (SELECT unnest(string_split(p_name, ' ')) AS t FROM part)")
@@ -138,9 +143,11 @@ def json_metadata(spark, d):
     return table(spark, d, "events").select("event_id", F.element_at(T.json_map(F.col("props")), "k").cast("long").alias("k"))
 
 
-@query("SELECT n_nationkey, replace(lower(n_name), '_', '-') AS code, 'order!' AS bare FROM nation")
+@query(r"""SELECT n_nationkey, replace(lower(n_name), '_', '-') AS code, regexp_replace(['...', '  ', '(!', '$ ^ '][n_nationkey % 4 + 1] || ['', 'a.', '42', '('][n_nationkey % 3 + 1] || n_name, '^[\s\p{P}$+<=>^`|~]+', '') AS bare FROM nation""")
 def language_and_punctuation(spark, d):
-    return table(spark, d, "nation").select("n_nationkey", T.language_code(F.concat(F.lit(" "), "n_name", F.lit(" "))).alias("code"), T.strip_leading_punctuation(F.lit(" ,.$!  order!")).alias("bare"))
+    pick = lambda xs, n: F.element_at(F.array(*map(F.lit, xs)), (F.col("n_nationkey") % n + 1).cast("int"))
+    text = F.concat(pick(("...", "  ", "(!", "$ ^ "), 4), pick(("", "a.", "42", "("), 3), F.col("n_name"))
+    return table(spark, d, "nation").select("n_nationkey", T.language_code(F.concat(F.lit(" "), "n_name", F.lit(" "))).alias("code"), T.strip_leading_punctuation(text).alias("bare"))
 
 
 # --- index ----------------------------------------------------------------
@@ -271,11 +278,14 @@ def one_edit_tokens(spark, d):
     return retrieve.slot_tokens_of_queries(spoken(spark, d, typo=True), index.slot_index(parts(spark, d)))
 
 
-@query("""WITH p AS (SELECT DISTINCT p_name AS a, substr(p_name, 1, 2) || substr(p_name, 4) AS b FROM part)
-SELECT a, b, round(len(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: substr(a, i::INT, 1) = substr(b, i::INT, 1))) / greatest(len(a), len(b)), 6) AS sim, CASE WHEN least(len(a), len(b)) <= 2 THEN 0.75 WHEN least(len(a), len(b)) <= 3 THEN 0.66 WHEN least(len(a), len(b)) <= 5 THEN 0.6 ELSE 0.5 END::DOUBLE AS need, TRUE AS inserted FROM p""")
+@query("""WITH n AS (SELECT DISTINCT p_name AS a FROM part), p AS (SELECT a, substr(a, 1, 2) || substr(a, 4) AS b, TRUE AS inserted FROM n UNION ALL SELECT a, substr(a, 1, 2) || '#' || substr(a, 4), FALSE FROM n UNION ALL SELECT a, substr(a, 3), FALSE FROM n UNION ALL SELECT a, 'x' || a, TRUE FROM n UNION ALL SELECT substr(a, 1, 1), substr(a, 1, 2), FALSE FROM n)
+SELECT DISTINCT a, b, round(len(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: substr(a, i::INT, 1) = substr(b, i::INT, 1))) / greatest(len(a), len(b)), 6) AS sim, CASE WHEN least(len(a), len(b)) <= 2 THEN 0.75 WHEN least(len(a), len(b)) <= 3 THEN 0.66 WHEN least(len(a), len(b)) <= 5 THEN 0.6 ELSE 0.5 END::DOUBLE AS need, inserted FROM p""")
 def positional_similarity(spark, d):
-    p = table(spark, d, "part").select(F.col("p_name").alias("a"), F.concat(F.substring("p_name", 1, 2), F.expr("substr(p_name, 4)")).alias("b")).distinct()
+    """Names against themselves with a letter less, another letter, two letters less, a letter more, and heads too short to tell."""
+    n = table(spark, d, "part").select(F.col("p_name").alias("a")).distinct()
     a, b = F.col("a"), F.col("b")
+    others = [(a, F.concat(F.substring("a", 1, 2), F.expr("substr(a, 4)"))), (a, F.concat(F.substring("a", 1, 2), F.lit("#"), F.expr("substr(a, 4)"))), (a, F.expr("substr(a, 3)")), (a, F.concat(F.lit("x"), a)), (F.substring("a", 1, 1), F.substring("a", 1, 2))]
+    p = n.select(F.explode(F.array(*[F.struct(x.alias("a"), y.alias("b")) for x, y in others])).alias("p")).select("p.*").distinct()
     return p.select("a", "b", F.round(S.positional(a, b), 6).alias("sim"), S.positional_threshold(a, b).alias("need"), S.one_insertion(a, b).alias("inserted"))
 
 
@@ -323,6 +333,7 @@ def prefilter_topk(spark, d):
 h AS (SELECT q.qid, c.cid FROM q, c WHERE list_contains(q.tokens, c.tokens[2]) AND NOT EXISTS (SELECT 1 FROM f WHERE f.qid = q.qid AND f.cid = c.cid))
 SELECT qid, cid FROM h QUALIFY row_number() OVER (PARTITION BY qid ORDER BY cid) <= 32""")
 def slot_rescue(spark, d):
+    """With a window of 10, so that candidates are left to be rescued."""
     docs, q = parts(spark, d), spoken(spark, d)
     found = retrieve.prefilter(q, index.postings(docs), index.gram_postings(docs), 10)
     exact = retrieve.slot_tokens_of_queries(q, index.slot_index(docs)).where("how = 'exact'")
@@ -366,6 +377,7 @@ def merge_static_dynamic(spark, d):
 @query("""WITH t AS (SELECT p_type AS intent, p_brand AS item, p_partkey AS cid, row_number() OVER (PARTITION BY p_type, p_brand ORDER BY p_partkey) AS turn FROM part)
 SELECT intent, item, cid FROM t QUALIFY row_number() OVER (PARTITION BY intent ORDER BY turn, item, cid) <= 40""")
 def cap_round_robin(spark, d):
+    """With a cap of 40 an intent, so that it takes effect."""
     rows = table(spark, d, "part").select(F.col("p_type").alias("intent"), F.col("p_brand").alias("item"), F.col("p_partkey").alias("cid"), F.col("p_partkey").alias("pos"), F.lit("built_in").alias("source"))
     return index.capped(rows, per_intent=40, item="item").select("intent", "item", "cid")
 
@@ -431,12 +443,15 @@ def hotword_exact(spark, d):
 # --- grammar --------------------------------------------------------------
 
 
-@query("""WITH n AS (SELECT DISTINCT p_name FROM part), h AS (SELECT unnest(['turn ', 'turn the ']) AS h, unnest([0, 1]) AS i), s AS (SELECT unnest([' on', ' off']) AS s, unnest([0, 1]) AS j)
-SELECT h || p_name || s AS sentence, p_name AS name FROM n, h, s""")
+@query("""WITH n AS (SELECT DISTINCT p_name FROM part), h AS (SELECT unnest(['turn ', 'turn the ']) AS h), s AS (SELECT unnest([' on', ' off']) AS s)
+SELECT 0 AS t, h || p_name || s AS sentence, p_name AS name FROM n, h, s UNION ALL SELECT 1, p_name || x, p_name FROM n, (VALUES (' now please'), (' please now')) v(x)
+UNION ALL SELECT 2, 'show ' || p_name || x, p_name FROM n, (VALUES (''), (' in red'), (' in blue')) v(x) UNION ALL SELECT 3, p_name || ' is ' || p_name, p_name FROM n""")
 def expand_template(spark, d):
+    """An optional word and a choice; any order; a rule in an optional part; and a slot twice, which must agree."""
     names = table(spark, d, "part").select("p_name").distinct()
-    rows = names.select(F.lit("turn [the] {name} (on|off)").alias("template"), F.create_map(F.lit("name"), F.array("p_name")).alias("slots"), F.create_map().cast("map<string,string>").alias("rules"))
-    return grammar.expanded(rows).select("sentence", F.element_at("bindings", "name").alias("name"))
+    forms = spark.createDataFrame([(0, "turn [the] {name} (on|off)"), (1, "{name} (now;please)"), (2, "show {name} [<colour>]"), (3, "{name} is {other:name}")], "t int, template string")
+    rows = names.crossJoin(F.broadcast(forms)).select("t", "template", F.create_map(F.lit("name"), F.array("p_name"), F.lit("other"), F.array("p_name", F.lit("else"))).alias("slots"), F.create_map(F.lit("colour"), F.lit("in (red|blue)")).alias("rules"))  # broadcast: four templates
+    return grammar.expanded(rows).select("t", "sentence", F.element_at("bindings", "name").alias("name"))
 
 
 @query("""WITH r AS (SELECT * FROM (VALUES (1, 0.0, 50.0, 5.0, 2.0), (2, 10.0, 90.0, 1.0, 1.0)) t(range_id, lo, hi, step, m))
@@ -570,6 +585,7 @@ def disambiguation(spark, d):
 @query(f"""{ORDERED}, t1 AS (SELECT qid, intent AS i FROM o WHERE rank = 1), c1 AS (SELECT o.qid, min(rank) AS c FROM o JOIN t1 USING (qid) WHERE intent <> i GROUP BY o.qid)
 SELECT o.qid, o.cid, least(o.rank, 3)::INT AS rank FROM o LEFT JOIN c1 USING (qid) WHERE CASE WHEN c > 3 THEN rank < 3 OR rank = c ELSE rank <= 3 END""")
 def limit_with_competitor(spark, d):
+    """With a limit of 3, so that it takes effect."""
     return decide.limited(decide.with_competition(gate_rows(spark, d)), 3).select("qid", "cid", "rank")
 
 
@@ -587,19 +603,31 @@ def rescue_kinds(spark, d):
     return table(spark, d, "orders").select("o_orderkey", merge.rescue_kind(F.col("o_orderstatus") == "F", text).alias("kind"))
 
 
-@query("SELECT p_partkey, p_type = split_part(p_name, ' ', 1) AS same, TRUE AS list_alike, FALSE AS others FROM part")
+@query("""WITH i AS (SELECT unnest(['HassListAddItem', 'HassShoppingListAddItem', 'HassListCompleteItem', 'HassShoppingListCompleteItem', 'HassListRemoveItem', 'HassTurnOn']) AS i)
+SELECT p_partkey, i, p_type = i OR (p_size % 2 = 0 AND i LIKE '%ListAddItem') OR (p_size % 2 = 1 AND (i LIKE '%ListCompleteItem' OR i = 'HassListRemoveItem')) AS alike FROM part, i""")
 def intent_equivalence(spark, d):
-    eq = evaluate.equivalent
-    return table(spark, d, "part").select("p_partkey", eq(F.col("p_type"), F.split_part("p_name", F.lit(" "), F.lit(1))).alias("same"), eq(F.lit("HassListAddItem"), F.lit("HassShoppingListAddItem")).alias("list_alike"), eq(F.lit("HassListAddItem"), F.lit("HassListCompleteItem")).alias("others"))
+    """A part's own kind is no intent; even ones stand for adding to a shopping list and odd ones for completing its items."""
+    names = ("HassListAddItem", "HassShoppingListAddItem", "HassListCompleteItem", "HassShoppingListCompleteItem", "HassListRemoveItem", "HassTurnOn")
+    own = F.when(F.col("p_size") % 2 == 0, "HassShoppingListAddItem").otherwise("HassShoppingListCompleteItem")
+    rows = table(spark, d, "part").select("p_partkey", own.alias("own"), F.explode(F.array(*map(F.lit, names))).alias("i"))
+    return rows.select("p_partkey", "i", evaluate.equivalent(F.col("own"), F.col("i")).alias("alike"))
 
 
-@query("SELECT p_partkey, TRUE AS by_alias, p_size % 2 = 0 AS by_number, len(p_name) > 0 AS joined FROM part")
+@query("""SELECT p_partkey, p_size % 3 < 2 AS by_alias, p_size % 2 = 0 AS by_number, p_size % 3 = 0 AS joined, p_size % 2 = 0 AS missing FROM part""")
 def slot_equality(spark, d):
+    """A name under an alias, under another slot, or another name; a number written otherwise; a name said with its area; and a slot that may be missing."""
     p = table(spark, d, "part")
-    m = F.create_map
-    by_number = evaluate.slots_equal(m(F.lit("n"), F.col("p_size").cast("string")), m(F.lit("n"), F.when(F.col("p_size") % 2 == 0, F.format_string("%d.0", "p_size")).otherwise("-1")))
-    joined = evaluate.slots_equal(m(F.lit("name"), F.col("p_name")), m(F.lit("area"), F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit("name"), F.split_part("p_name", F.lit(" "), F.lit(2))))
-    return p.select("p_partkey", evaluate.slots_equal(m(F.lit("name"), F.upper("p_name")), m(F.lit("entity"), F.col("p_name"))).alias("by_alias"), by_number.alias("by_number"), joined.alias("joined"))
+    m, k = F.create_map, F.col("p_size") % 3
+    two, one = F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(2))
+    alias = F.when(k == 0, m(F.lit("entity"), F.col("p_name"))).when(k == 1, m(F.lit("name:light"), F.upper("p_name"))).otherwise(m(F.lit("colour"), F.lit("none")))
+    number = m(F.lit("n"), F.when(F.col("p_size") % 2 == 0, F.format_string("%d.0", "p_size")).otherwise(F.format_string("%d.5", "p_size")))
+    parts_ = F.when(k == 0, m(F.lit("area"), two, F.lit("name"), one)).otherwise(m(F.lit("area"), two, F.lit("name"), F.lit("none")))
+    bare = m(F.lit("name"), F.col("p_name"), F.lit("area"), F.lit("hall"))
+    less = F.when(F.col("p_size") % 2 == 0, bare).otherwise(m(F.lit("name"), F.col("p_name")))
+    return p.select(
+        "p_partkey", evaluate.slots_equal(m(F.lit("name"), F.lower("p_name")), alias).alias("by_alias"), evaluate.slots_equal(m(F.lit("n"), F.col("p_size").cast("string")), number).alias("by_number"),
+        evaluate.slots_equal(m(F.lit("name"), F.col("p_name")), parts_).alias("joined"), evaluate.slots_equal(bare, less).alias("missing"),
+    )
 
 
 @query("""WITH a AS (SELECT DISTINCT p_type AS intent FROM part), b AS (SELECT DISTINCT p_type AS intent FROM part WHERE p_size > 60), c AS (SELECT DISTINCT o_orderpriority AS intent FROM orders)
@@ -636,12 +664,17 @@ def strip_and_delegate(spark, d):
     return c.select("c_custkey", route.strip_hotword(F.concat(F.lit("hey you,  order "), "c_name"), F.lit(2)).alias("stripped"), route.delegated(F.lit("raw"), F.lit("canon"), F.when(even, "execute").otherwise("fallback")).alias("delegated"), F.sha2("c_name", 256).alias("delegated_sha256"))
 
 
-@query("SELECT DISTINCT p_name, TRUE AS fixed, FALSE AS template, p_name AS span, 'own' AS winner FROM part")
+@query("""WITH p AS (SELECT DISTINCT p_name, len(p_name) % 4 AS k FROM part) SELECT p_name, k IN (0, 3) AS fixed, CASE WHEN k < 2 THEN p_name END AS span, CASE WHEN k = 0 THEN 'own' WHEN k = 1 THEN 'intent' ELSE 'source' END AS winner FROM p""")
 def template_tests(spark, d):
-    p = table(spark, d, "part").select("p_name").distinct()
-    lists = grammar.effective_lists(F.create_map(F.lit("l"), F.array(F.lit("source"))), F.create_map(F.lit("l"), F.array(F.lit("intent"))), F.create_map(F.lit("l"), F.array(F.lit("own"))))
-    window = grammar.anchored_window(F.concat(F.lit("turn on "), "p_name", F.lit(" now")), F.lit("turn on "), F.lit(" now"))
-    return p.select("p_name", grammar.is_fixed_sentence(F.col("p_name")).alias("fixed"), grammar.is_fixed_sentence(F.concat("p_name", F.lit(" [x]"))).alias("template"), window.alias("span"), F.element_at(F.element_at(lists, "l"), 1).alias("winner"))
+    """Sentences with an option, a slot or neither; spans whose frame fits or doesn't; lists that an item, its intent or only the source has."""
+    p = table(spark, d, "part").select("p_name").distinct().withColumn("k", F.length("p_name") % 4)
+    k = F.col("k")
+    form = F.when(k == 1, F.concat("p_name", F.lit(" [now]"))).when(k == 2, F.concat("p_name", F.lit(" {place}"))).otherwise(F.col("p_name"))
+    said = F.when(k < 2, F.concat(F.lit("turn on "), "p_name", F.lit(" now"))).when(k == 2, F.concat(F.lit("turn off "), "p_name", F.lit(" now"))).otherwise(F.lit("turn on now"))
+    none = F.create_map().cast("map<string,array<string>>")
+    one = lambda who, when: F.when(when, F.create_map(F.lit("l"), F.array(F.lit(who)))).otherwise(none)
+    found = grammar.effective_lists(one("source", F.lit(True)), one("intent", k < 2), one("own", k == 0))
+    return p.select("p_name", grammar.is_fixed_sentence(form).alias("fixed"), grammar.anchored_window(said, F.lit("turn on "), F.lit(" now")).alias("span"), F.element_at(F.element_at(found, "l"), 1).alias("winner"))
 
 
 @query("SELECT event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) = 1")
@@ -673,9 +706,11 @@ def positional_intent(spark, d):
     return both.select("qid", "norm", F.round(S.positional_intent("literal_variants", "tokens", F.array().cast("array<string>")), 6).alias("intent"))
 
 
-@query()
+@query("""SELECT p_partkey AS cid, 'add ' || p_name || ' to list' AS rehydrated, len(string_split(p_name, ' '))::BIGINT AS replacement_words FROM part WHERE p_partkey % 5 > 0""")
 def rehydrate_placeholders(spark, d):
-    rows = table(spark, d, "part").select(F.col("p_partkey").alias("cid"), F.split(F.lit("add item to list"), " ").alias("tokens"), F.array(F.lit("item")).alias("wildcard_slots"), F.concat(F.lit("Add "), F.initcap("p_name"), F.lit(" to list")).alias("query"))
+    """Templates filled from queries that have their words; a fifth of the queries end too early and fill nothing."""
+    said = F.when(F.col("p_partkey") % 5 > 0, F.concat(F.lit("Add "), "p_name", F.lit(" to list"))).otherwise(F.lit("Add to"))
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("cid"), F.split(F.lit("add item to list"), " ").alias("tokens"), F.array(F.lit("item")).alias("wildcard_slots"), said.alias("query"))
     return rehydrate.rehydrate(rows).select("cid", "rehydrated", "replacement_words")
 
 
@@ -703,3 +738,6 @@ def adjusted_scores(spark, d):
     return score.scored(found.select("qid", "cid", "bm25", "char"), q, docs).select("qid", "cid", F.round("weighted", 6).alias("weighted"), F.round("final", 6).alias("final"))
 
 
+
+
+from lexiform.plans import rules  # noqa: E402, F401  registers more queries
