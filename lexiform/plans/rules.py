@@ -13,7 +13,11 @@ from lexiform.sources import stores
 
 WORDS = "w AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS w FROM part)"
 LESS = "substr(w, 1, 2) || substr(w, 4)"
-SPARK_LESS = F.concat(F.substring("w", 1, 2), F.expr("substr(w, 4)"))
+
+
+def less(c="w"):
+    """A word without its third letter."""
+    return F.concat(F.substring(c, 1, 2), F.expr(f"substr({c}, 4)"))
 
 
 def part_words(spark, d):
@@ -28,7 +32,7 @@ UNION ALL SELECT w, substr(w, 1, 2), 400.0 / (len(w) + 2) FROM w UNION ALL SELEC
 def slot_ratio(spark, d):
     """Words against themselves with a letter less, doubled, cut to two letters, and unchanged."""
     w = part_words(spark, d)
-    pairs = [w.select(F.col("w").alias("a"), b.alias("b")) for b in (SPARK_LESS, F.concat("w", "w"), F.substring("w", 1, 2), F.col("w"))]
+    pairs = [w.select(F.col("w").alias("a"), b.alias("b")) for b in (less(), F.concat("w", "w"), F.substring("w", 1, 2), F.col("w"))]
     both = pairs[0].union(pairs[1]).union(pairs[2]).union(pairs[3]).distinct()
     return both.select("a", "b", F.when(S.may_match(F.col("a"), F.col("b")), S.slot_fuzzy("a", "b")).otherwise(False).alias("alike"))
 
@@ -38,7 +42,7 @@ def registry_ratio(spark, d):
     """A registry word's first three letters against two (only where the query's short word is known to be no literal), its own letters but one, and a slot word of two."""
     w = part_words(spark, d).where("length(w) >= 4")
     none, two, three = F.array().cast("array<string>"), F.substring("w", 1, 2), F.substring("w", 1, 3)
-    return w.select("w", S.registry_fuzzy(three, two, F.when(F.length("w") % 2 == 0, F.array(two)).otherwise(none)).alias("short"), S.registry_fuzzy(F.col("w"), SPARK_LESS, none).alias("long"), S.registry_fuzzy(two, two, none).alias("tiny"))
+    return w.select("w", S.registry_fuzzy(three, two, F.when(F.length("w") % 2 == 0, F.array(two)).otherwise(none)).alias("short"), S.registry_fuzzy(F.col("w"), less(), none).alias("long"), S.registry_fuzzy(two, two, none).alias("tiny"))
 
 
 @query("""WITH p AS (SELECT DISTINCT split_part(lower(p_name), ' ', 1) AS a, split_part(lower(p_name), ' ', 2) AS b FROM part)
@@ -47,7 +51,7 @@ def one_to_one_count(spark, d):
     """A slip of the first word and the second; and the slip twice, which counts once."""
     p = table(spark, d, "part").select(F.split_part(F.lower("p_name"), F.lit(" "), F.lit(1)).alias("a"), F.split_part(F.lower("p_name"), F.lit(" "), F.lit(2)).alias("b")).distinct()
     p = p.where((F.col("a") != F.col("b")) & (F.substring("a", 1, 1) != F.substring("b", 1, 1)))
-    slip = F.concat(F.substring("a", 1, 2), F.expr("substr(a, 4)"))
+    slip = less("a")
     return p.select("a", "b", S.registry_count(F.array("a", "b"), F.array(slip, F.col("b"))).alias("both_said"), S.registry_count(F.array("a", "b"), F.array(slip, slip)).alias("one_said_twice"))
 
 
