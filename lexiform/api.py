@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexiform.config import CAP_TEMPLATE, Options
+from lexiform.config import CAP_TEMPLATE, RANK_CACHE, SOURCES, STORE_VERSION, Options
 from lexiform.functions import similarity
 from lexiform.functions import text as T
 from lexiform.operators import decide, evaluate, grammar, index, merge, rehydrate, retrieve, route, score
 from lexiform.shipping import ship
+from lexiform.streaming import refresh
 from lexiform.streaming.refresh import Generations, SingleFlight, drain
 from lexiform.tables import release, result, scratch, settled, written
 
@@ -136,6 +137,9 @@ class Engine:
         self.generations = Generations()
         self._flight = SingleFlight(self.generations)
         self._index: dict[str, DataFrame] = {}
+        self._memo: DataFrame | None = None
+        self._snapshots: dict[str, tuple[tuple[int, ...], object]] = {}
+        self.wildcards: dict[str, frozenset[str]] = {}
         self.closed = False
 
     def load_candidates(self, rows: DataFrame, language: str) -> DataFrame:
@@ -154,6 +158,8 @@ class Engine:
 
     def load_grammar(self, templates: DataFrame, language: str) -> DataFrame:
         """Builds an index from grammar rows (see ``sources.stores.grammar_rows``)."""
+        names = templates.select(F.explode("wildcards").alias("w")).distinct().collect()  # a grammar's placeholders
+        self.wildcards = {**self.wildcards, language.strip().lower().replace("_", "-"): frozenset(r.w for r in names)}
         sentences = grammar.expanded(templates, CAP_TEMPLATE)
         value = lambda k, v: F.coalesce(F.element_at(F.element_at(F.col("outputs"), k), v), v)
         slots = F.map_concat(F.transform_values("bindings", value), F.map_filter("static", lambda k, v: ~F.map_contains_key("bindings", k)))
@@ -184,6 +190,46 @@ class Engine:
             rows = ranked(both, self.options)
         return rows, decisions(rows, self.options, q)
 
+    def evaluate(self, queries: DataFrame, language: str) -> DataFrame:
+        """The decision of each query (qid, text, context if any). Requests that are alike are ranked once, and accepted decisions are kept for later calls.
+
+        They hold as long as the index, the options and the sources don't change; the RANK_CACHE last used ones stay.
+        """
+        q = prepared_queries(queries, language)
+        key = refresh.request_key(F.lit(language), F.col("norm"), F.col("context") if "context" in q.columns else None)
+        q = written(q.withColumn("key", key), "requests")
+        generation = sum(self.generations.token())
+        fresh = refresh.cache_misses(q, self._memo, generation) if self._memo is not None else q.dropDuplicates(["key"])
+        fresh = written(fresh, "misses")
+        found = None
+        if not fresh.isEmpty():
+            decided = self.rank_and_evaluate(fresh.drop("norm", "norm_nd", "tokens", "grams"), language)[1]
+            found = written(fresh.select("qid", "key").join(decided, "qid").drop("qid"), "decided")
+        now = F.current_timestamp()
+        old = None if self._memo is None else self._memo.join(q.select("key").distinct(), "key", "left_semi").where(F.col("generation") == generation)
+        used = [x for x in (old, found) if x is not None]
+        rows = used[0] if len(used) == 1 else used[0].unionByName(used[1], allowMissingColumns=True)
+        out = written(q.select("qid", "key").join(rows.drop("generation", "used_at"), "key").drop("key"), "decisions")
+        fresh_rows = rows.drop("generation").withColumn("used_at", now)
+        empty = fresh_rows.withColumn("generation", F.lit(generation)).limit(0)
+        self._memo = written(refresh.remembered(empty if self._memo is None else self._memo, fresh_rows, generation, RANK_CACHE), "memo")
+        return out
+
+    def prepare(self, languages: list[str]) -> DataFrame:
+        """(language, candidates, generation) of each language's index, read through once so that its files are at hand."""
+        stamp = sum(self.generations.token())
+        rows = [(code, self.index_of(code).count(), stamp) for code in languages]
+        return self.spark.createDataFrame(rows, "language string, candidates long, generation long")
+
+    def snapshot(self, language: str, make: Callable[[], object]) -> object:
+        """What ``make`` gives for a language (templates, registry records, …), made again only after a generation has changed; concurrent calls share one."""
+        code = language.strip().lower().replace("_", "-")
+        have = self._snapshots.get(code)
+        if have is None or have[0] != self.generations.token():
+            value = self._flight.run(f"snapshot {code}", make)
+            have = self._snapshots[code] = (self.generations.token(), value)
+        return have[1]
+
     def test_match(self, text: str, language: str) -> DataFrame:
         """The ranked rows of one text, lexical scores only."""
         return self.rank(self.spark.createDataFrame([(0, text)], "qid long, text string"), language).orderBy("rank")
@@ -215,9 +261,18 @@ class Engine:
         return evaluate.counts(rows, "source", "intent"), rows.orderBy("pos").limit(sample)
 
     def diagnostics(self) -> DataFrame:
-        """One row a language: candidates, intents, slots, wildcard rows."""
-        rows = [(k, *v.agg(F.count("*"), F.countDistinct("intent"), F.sum("n_slots"), F.count_if(F.size("wildcard_slots") > 0)).first()) for k, v in self._index.items()]
-        return self.spark.createDataFrame(rows, "language string, candidates long, intents long, slots long, wildcards long")
+        """One row a language: candidates by source, intents, slots, placeholders, words of its literals, n-grams, its fingerprint, version and generation, and what is remembered."""
+        kinds = "language string, candidates long, custom long, built_in long, generated long, intents long, slots long, wildcards long, wildcard_names long, static_rows long, context_rows long, literal_words long, tokens long, grams long, fingerprint string, index_version int, generation long, remembered long"
+        kept = 0 if self._memo is None else self._memo.count()
+        rows = []
+        for code, docs in self._index.items():
+            by = [F.count_if(F.col("source") == x) for x in SOURCES]
+            some = lambda c: F.count_if(F.size(c) > 0)
+            counts = docs.agg(F.count("*"), *by, F.countDistinct("intent"), F.coalesce(F.sum("n_slots"), F.lit(0)), some("wildcard_slots")).first()
+            more = docs.agg(some("static_slots"), some("context_slots")).first()
+            sizes = docs.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0)), F.coalesce(F.sum("n_grams"), F.lit(0))).first()
+            rows.append((code, *counts, len(self.wildcards.get(code, ())), *more, index.literal_vocabulary(docs).count(), *sizes, index.fingerprint(docs, "norm", "intent", "slots", "source").first()[0], STORE_VERSION, sum(self.generations.token()), kept))
+        return self.spark.createDataFrame(rows, kinds)
 
     def clear_index(self, language: str | None = None) -> int:
         """Forgets one language's index, or all; returns how many there were."""
@@ -225,6 +280,7 @@ class Engine:
         for k in gone:
             self._index.pop(k)
         self.generations.bump("index")
+        self._memo = None
         return len(gone)
 
     def register_functions(self) -> None:

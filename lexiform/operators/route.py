@@ -37,13 +37,23 @@ def strip_hotword(text: Column, words: Column) -> Column:
     return F.when(rest == "", text).otherwise(rest)
 
 
-def route(matched: Column, shortcut: Column, indexed: Column, accepted: Column, reason: Column, valid: Column) -> tuple[Column, Column]:
-    """(route, reason) of a request: hotword to the fallback, the native shortcut, an empty index, the gate, validation, then execution."""
-    where = F.when(matched, "fallback").when(shortcut, "native").when(~indexed, "fallback").when(~accepted, "fallback").when(~valid, "fallback").otherwise("execute")
-    why = F.when(matched, "hotword_matched").when(shortcut, F.lit(None)).when(~indexed, "empty_index").when(~accepted, F.coalesce(reason, F.lit("no_candidate"))).when(~valid, "validation_failed")
+def route(matched: Column, shortcut: Column, indexed: Column, accepted: Column, reason: Column, valid: Column, ranked: Column | None = None, failed: Column | None = None) -> tuple[Column, Column]:
+    """(route, reason) of a request: hotword to the fallback, the native shortcut, an empty index, a failed ranking, the gate, validation, another failure, then execution."""
+    ranked, failed = F.lit(True) if ranked is None else ranked, F.lit(False) if failed is None else failed
+    steps = [(matched, "fallback", F.lit("hotword_matched")), (shortcut, "native", F.lit(None)), (~indexed, "fallback", F.lit("empty_index")), (~ranked, "fallback", F.lit("ranking_failed"))]
+    steps += [(~accepted, "fallback", F.coalesce(reason, F.lit("no_candidate"))), (~valid, "fallback", F.lit("validation_failed")), (failed, "fallback", F.lit("unexpected_exception"))]
+    where, why = F.lit("execute"), F.lit(None).cast("string")
+    for when, to, because in reversed(steps):
+        where, why = F.when(when, to).otherwise(where), F.when(when, because).otherwise(why)
     return where, why
 
 
+def target(where: Column, primary: str, fallback: str | None, own: str) -> Column:
+    """Which agent gets a request: the primary one where it's executed or native, else the fallback one; never the engine itself, and null where there is none."""
+    agent = F.when(where.isin("execute", "native"), F.lit(primary)).otherwise(F.lit(fallback))
+    return F.when(agent != own, agent)
+
+
 def delegated(original: Column, rehydrated: Column, where: Column) -> Column:
     """The text handed on: the canonical one on execution (the original where a placeholder stayed open), else the original."""
     return F.when(where == "execute", F.coalesce(rehydrated, original)).otherwise(original)

@@ -74,6 +74,26 @@ def test_dynamic_candidates_win_what_the_static_index_lacks(spark):
     engine.close()
 
 
+def test_accepted_decisions_are_remembered(spark, monkeypatch):
+    engine = api.Engine(spark)
+    engine.load_candidates(spark.createDataFrame([(0, "turn on everything", "HassTurnOn"), (1, "turn off everything", "HassTurnOff")], "cid long, text string, intent string"), "en")
+    asked = spark.createDataFrame([(1, "Turn on everything!"), (2, "turn on everything"), (3, "what is this")], "qid long, text string")
+    ranked = []
+    real = engine.rank_and_evaluate
+    monkeypatch.setattr(engine, "rank_and_evaluate", lambda q, language: ranked.append(q.count()) or real(q, language))
+    first = {r.qid: r.accepted for r in engine.evaluate(asked, "en").collect()}
+    again = {r.qid: r.accepted for r in engine.evaluate(asked, "en").collect()}
+    assert first == again == {1: True, 2: True, 3: False} and ranked == [2, 1]
+    assert engine.diagnostics().first().remembered == 1 and engine.prepare(["en"]).first().candidates == 2
+    made_ = []
+    assert engine.snapshot("en", lambda: made_.append(1) or "x") == engine.snapshot("EN", lambda: made_.append(1) or "y") == "x" and made_ == [1]
+    engine.generations.bump("registry")
+    assert engine.snapshot("en", lambda: "z") == "z"
+    engine.evaluate(asked, "en")
+    assert ranked == [2, 1, 2]
+    engine.close()
+
+
 def test_fixed_sentences_are_left_to_the_index(spark):
     source = {"intents": {"A": {"data": [{"sentences": ["good night", "good [old] day", "{area} news"]}]}}}
     rows = dynamic.template_rows(spark, {"x": source}, area_only=False).collect()
