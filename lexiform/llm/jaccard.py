@@ -174,13 +174,12 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
-def index_lists(docs: DataFrame, counts: DataFrame) -> DataFrame:
+def index_lists(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(t, k, n, p, hot): the prefix index's lists of shingles that two sets have, written.
 
-    Shingles go by their counts, the tasks' own to begin with. Where lists of LONG_LIST sets and more turn up of shingles that weren't counted as frequent,
+    Shingles go by their counts, the tasks' own in ``frequent`` to begin with. Where lists of LONG_LIST sets and more turn up of shingles that weren't counted as frequent,
     those take their places among the frequent ones with their lengths as counts, and the index is made again.
     """
-    frequent = frequent_shingles(counts)
     while True:
         index = prefix_index(docs, frequent)
         # a frequent shingle is in several sets for certain: its entries are spread by set, and only rare ones are gathered to see whether two sets have them
@@ -251,7 +250,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     Sets are compared by 64-bit hashes of their shingles. Columns other than the two are ignored.
     """
     seen = written(survey(docs), "survey")
-    sig = seen.where("n IS NOT NULL").select("doc_id", "n", "k", "m")
+    frequent = frequent_shingles(seen.where("c IS NOT NULL").select("t", "c"))
+    sig = written(seen.where("n IS NOT NULL").select("doc_id", "n", "k"), "documents")
     known = sig.where("doc_id IS NOT NULL AND k IS NOT NULL")
     nodes = written(known.groupBy("k").agg(F.min("doc_id").alias("rep")), "nodes")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
@@ -281,12 +281,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
         return found.mapInArrow(run, "k long, s array<long>")
 
-    sets = known.groupBy("k").agg(F.first("m").alias("m"))
+    sets = written(seen.where("doc_id IS NOT NULL AND k IS NOT NULL").groupBy("k").agg(F.first("m").alias("m")), "sets")
+    drop_written(seen)
     keys = sets.select("k", F.posexplode("m").alias("i", "v"))
     size = keys.groupBy("i", "v").agg(F.count("*").alias("c")).where("c > 1")
     keys = keys.join(size, ["i", "v"])
     central = keys.groupBy("k").agg(F.sum("c").alias("score"))  # the set that most others are like has the most common keys
-    sets = written(sets, "sets")
     keys = written(keys.join(central.join(sets, "k"), "k"), "keys")
     first = keys.groupBy("i", "v").agg(F.max_by(F.struct("k", "m"), F.struct("score", "k")).alias("pivot"))
     alike = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: (u == v).cast("int")), F.lit(0), lambda r, z: r + z) >= ALIKE
@@ -320,7 +320,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         part = written(components(near), "relation")
         del owned, one, met, fresh
         settle(docs.sparkSession)
-    for done in (keys, stars):
+    for done in (keys, stars, sets):
         drop_written(done)
     settle(docs.sparkSession)
     twice = known.select("doc_id", "k").distinct()
@@ -330,7 +330,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     part = written(components(near), "relation")
     relation = nodes.join(part, nodes.k == part.node, "left").select("k", F.coalesce("component", "k").alias("component"))
 
-    index = index_lists(docs.select("text"), seen.where("c IS NOT NULL").select("t", "c"))
+    index = index_lists(docs.select("text"), frequent)
     pairs = written(candidates(index, relation), "candidates")
     drop_written(index)
     # first the likeliest pair of each two components: where it links, the answer holds for both and their other pairs are settled
