@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiform.llm.common import documents, shielded, written
+from lexiform.llm.common import documents, drop_written, shielded, written
 
 #: Bits of the hash; it's the head of an MD5, so other engines can compute it too.
 HASH_BITS = 60
 #: Bits by which the counted cells are finer than buckets of the limit would be on average.
 FINER = 6
+#: First bits of the hash whose prefixes' sums the driver holds, and by which cells are dealt to tasks.
+HEAD_BITS = 12
 
 
 def key_hash(key) -> F.Column:
@@ -18,13 +22,40 @@ def key_hash(key) -> F.Column:
     return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
+def first_fits(cells: np.ndarray, n_bytes: np.ndarray, top: int, low: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the distinct cells of ``top`` bits: the first depth from ``low`` on at which its prefix's bytes fit the limit (-1 if none does), and those bytes."""
+    depth, size = np.full(len(cells), -1), np.zeros(len(cells), np.int64)
+    for d in range(low, top + 1):
+        _, own = np.unique(cells >> (top - d), return_inverse=True)
+        total = np.zeros(own.max(initial=-1) + 1, np.int64)
+        np.add.at(total, own, n_bytes)
+        fits = (depth < 0) & ((total[own] <= limit) | (d == HASH_BITS))
+        depth[fits], size[fits] = d, total[own][fits]
+    return depth, size
+
+
+def leaves_of(bits: int, low: int, head: int, known: dict[int, tuple[int, int]], limit: int):
+    """A function from the cells of one prefix of ``head`` bits to their depths and buckets' bytes; ``known`` has the prefixes that are settled already."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        cell = pdf["cell"].to_numpy(np.int64)
+        if (found := known.get(int(cell[0] >> (bits - head)))) is not None:
+            depth, size = np.full(len(cell), found[0]), np.full(len(cell), found[1])
+        else:
+            depth, size = first_fits(cell, pdf["n_bytes"].to_numpy(np.int64), bits, max(low, head + 1), limit)
+        return pd.DataFrame({"cell": cell, "depth": depth, "n_bytes": size})
+
+    return run
+
+
 def directory(sizes: DataFrame, limit_bytes: int) -> DataFrame:
     """(cell, bits, depth, bucket, n_bytes) from ``sizes`` of (h, n_bytes): where each cell of hash space goes.
 
     A bucket is the set of hashes that share their first ``depth`` bits. Starting from one bucket, a bucket
     over the limit splits on its next bit; a bucket within the limit never splits. As a bucket's bytes only
     fall when it splits, the final depth of a hash is the first at which its prefix fits the limit. Bytes are
-    counted once in cells of a few bits more than needed on average, all depths read off the cells; only
+    counted once in cells of a few bits more than needed on average. The depths of the first HEAD_BITS bits are read off
+    the 2^HEAD_BITS sums of their prefixes, the further ones within each prefix, whose cells meet in one task; only
     cells that are still too large are counted again by more bits. A bucket whose rows all have one hash
     can't split: it ends at 60 bits and may exceed the limit (one huge document, or rows with one key).
     """
@@ -32,20 +63,21 @@ def directory(sizes: DataFrame, limit_bytes: int) -> DataFrame:
     top = min(HASH_BITS, max(1, (max(1, total // limit_bytes)).bit_length() + FINER))
     done, over, low = None, sizes, 0
     while True:
-        cells = written(over.groupBy(F.shiftright("h", HASH_BITS - top).alias("cell")).agg(F.sum("n_bytes").alias("n_bytes")), "cells")
-        leaf = cells.select("cell", F.lit(None).cast("int").alias("depth"), F.lit(None).cast("long").alias("bytes"))
-        for d in range(top, low - 1, -1):
-            up = F.shiftright("cell", top - d)
-            sums = cells.groupBy(up.alias("p")).agg(F.sum("n_bytes").alias("s")).where(F.col("s") <= limit_bytes if d < HASH_BITS else F.lit(True))
-            leaf = leaf.withColumn("p", up).join(sums, "p", "left").select("cell", F.when(F.col("s").isNotNull(), F.lit(d)).otherwise(F.col("depth")).alias("depth"), F.coalesce("s", "bytes").alias("bytes"))
-        leaf = written(leaf, "leaves")
-        ended = leaf.where("depth IS NOT NULL").select("cell", F.lit(top).alias("bits"), "depth", F.expr(f"shiftright(cell, {top} - depth)").alias("bucket"), F.col("bytes").alias("n_bytes"))
+        bits, from_, head = top, low, min(HEAD_BITS, top)
+        cells = written(over.groupBy(F.shiftright("h", HASH_BITS - bits).alias("cell")).agg(F.sum("n_bytes").alias("n_bytes")), "cells")
+        sums = cells.groupBy(F.shiftright("cell", bits - head).alias("p")).agg(F.sum("n_bytes").alias("s")).toPandas()  # 2^HEAD_BITS rows at most
+        depth, size = first_fits(sums["p"].to_numpy(np.int64), sums["s"].to_numpy(np.int64), head, from_, limit_bytes) if from_ <= head and len(sums) else (np.full(len(sums), -1), np.zeros(len(sums), np.int64))
+        known = {int(p): (int(x), int(y)) for p, x, y in zip(sums["p"], depth, size, strict=True) if x >= 0}
+
+        leaf = written(cells.groupBy(F.shiftright("cell", bits - head).alias("p")).applyInPandas(leaves_of(bits, from_, head, known, limit_bytes), "cell long, depth int, n_bytes long"), "leaves")
+        drop_written(cells)
+        ended = leaf.where("depth >= 0").select("cell", F.lit(bits).alias("bits"), "depth", F.expr(f"shiftright(cell, {bits} - depth)").alias("bucket"), "n_bytes")
         done = ended if done is None else done.union(ended)
-        rest = leaf.where("depth IS NULL").select("cell")
+        rest = leaf.where("depth < 0").select("cell")
         if rest.isEmpty():
             return done
-        over = over.withColumn("cell", F.shiftright("h", HASH_BITS - top)).join(rest, "cell", "left_semi").drop("cell")
-        low, top = top + 1, min(HASH_BITS, top + 2 + FINER)
+        over = over.withColumn("cell", F.shiftright("h", HASH_BITS - bits)).join(rest, "cell", "left_semi").drop("cell")
+        low, top = bits + 1, min(HASH_BITS, bits + 2 + FINER)
 
 
 def assign(rows: DataFrame, limit_bytes: int) -> DataFrame:
