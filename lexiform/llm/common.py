@@ -134,6 +134,8 @@ def components(edges: DataFrame) -> DataFrame:
         mark = nxt.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.expr("sum(cast(xxhash64(b, a) as decimal(38,0)))")).first()
         drop_written(cur)
         cur = nxt
+        del both, low, large, small
+        settle(cur.sparkSession)
         if mark == seen or mark[0] == 0:
             break
         seen = mark

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexiform.llm.common import components, documents, drop_written, settle, slices, written
+from lexiform.llm.common import components, documents, drop_written, settle, slices, written, written_alone
 from lexiform.llm.words import mixed, shingles, word_hashes
 
 #: Words of a shingle; similarity from which two sets link, in hundredths.
@@ -19,7 +19,7 @@ KEYS = 16
 #: Keys of KEYS that two sets have in common before they're compared ahead of the index; sets of a random cell, in which each meets its neighbour; rounds of that.
 ALIKE, CELL, ROUNDS = 8, 64, 2
 #: Positions by which later common shingles of a pair may lie deeper than its first one may.
-SLACK = 2
+SLACK = 0
 #: Ids that are broadcast to the texts at most (16 bytes each).
 SMALL = 1 << 20
 #: Most frequent shingles that go last in the order of a set's shingles; the bound of what is broadcast (16 bytes each).
@@ -249,6 +249,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     the links found are relations, whose components answer for all their members; components that a key still has then meet in rounds. The exact index join then finds every link between components.
     Sets are compared by 64-bit hashes of their shingles. Columns other than the two are ignored.
     """
+    return written_alone(lambda: _components_of(docs), "components")
+
+
+def _components_of(docs: DataFrame) -> DataFrame:
+    """``jaccard_components`` before it's written."""
     seen = written(survey(docs), "survey")
     frequent = frequent_shingles(seen.where("c IS NOT NULL").select("t", "c"))
     sig = written(seen.where("n IS NOT NULL").select("doc_id", "n", "k"), "documents")
