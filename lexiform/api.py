@@ -285,12 +285,9 @@ class Engine:
 
     def register_functions(self) -> None:
         """Makes the engine's functions usable from SQL."""
-        from lexiform.functions.similarity import combined_fuzzy, ratio
-        from lexiform.functions.text import normalize_py
-
-        self.spark.udf.register("lex_normalize", normalize_py, "string")
-        self.spark.udf.register("lex_fuzzy", combined_fuzzy, "double")
-        self.spark.udf.register("lex_ratio", ratio, "double")
+        self.spark.udf.register("lex_normalize", T.normalize_arrow)
+        self.spark.udf.register("lex_fuzzy", similarity.fuzzy)
+        self.spark.udf.register("lex_ratio", similarity.indel_ratio)
         self.spark.udtf.register("expand_template", grammar.ExpandTemplate)
 
     def close(self) -> None:

@@ -66,14 +66,14 @@ def normalize_py(text: str | None) -> str | None:
 
 
 @F.pandas_udf(StringType())
-def _normalize_arrow(text: pd.Series) -> pd.Series:
+def normalize_arrow(text: pd.Series) -> pd.Series:
     return text.map(normalize_py, na_action="ignore")
 
 
 def normalize_any(text: Column) -> Column:
     """``normalize`` for any script: the JVM path for ASCII text, an Arrow UDF for what isn't."""
     plain = text.isNull() | text.rlike(r"^[\x00-\x7F]*$")
-    return F.when(plain, normalize(text)).otherwise(_normalize_arrow(F.when(~plain, text)))
+    return F.when(plain, normalize(text)).otherwise(normalize_arrow(F.when(~plain, text)))
 
 
 _ACCENTED = "".join(c for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if len(d := unicodedata.normalize("NFD", c)) > 1 and d[0].isascii() and c.islower())

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexiform.config import BM25_B, BM25_K1, CAP_INTENT, CAP_LANGUAGE, SOURCES
 from lexiform.functions import text as T
+from lexiform.tables import written
 
 #: The columns of a candidate that the index needs; all but cid, text and intent may be missing.
 OPTIONAL = {
@@ -112,9 +113,11 @@ def check_bm25(k1: float, b: float) -> None:
 
 
 def postings(docs: DataFrame, key: str = "cid", k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
-    """(term, key, w): what each term adds to a document's score."""
+    """(term, key, w): what each term adds to a document's score. Frequencies are counted once and written; documents' frequencies are derived from them."""
     check_bm25(k1, b)
-    tf = term_frequencies(docs, key).join(term_stats(docs, key), "term").crossJoin(F.broadcast(corpus_stats(docs).select("avgdl")))  # broadcast: one row
+    tf = written(term_frequencies(docs, key), "frequencies")
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    tf = tf.join(df, "term").crossJoin(F.broadcast(corpus_stats(docs))).withColumn("idf", idf(F.col("n"), F.col("df")))  # broadcast: one row
     return tf.select("term", key, bm25_weight(F.col("idf"), F.col("tf"), F.col("len"), F.col("avgdl"), k1, b).alias("w"))
 
 

@@ -236,11 +236,12 @@ def inverted_index(spark, d):
     return index.registry_postings(registry(spark, d))
 
 
-@query("SELECT coalesce(p.slot, f.slot) AS slot, coalesce(p.n, f.n) AS n FROM (SELECT p_type AS slot, count(*) AS n FROM part GROUP BY 1) p FULL JOIN (SELECT unnest(['PROMO', 'OTHER']) AS slot, 1::BIGINT AS n) f ON p.slot = f.slot")
+@query("WITH p AS (SELECT DISTINCT p_type AS slot, p_name AS value FROM part) SELECT * FROM p UNION ALL SELECT slot, value FROM (VALUES ('PROMO', 'x'), ('OTHER', 'y'), ('OTHER', 'z')) f(slot, value) WHERE slot NOT IN (SELECT slot FROM p)")
 def merged_slot_values(spark, d):
-    p = table(spark, d, "part").groupBy(F.col("p_type").alias("slot")).agg(F.collect_list("p_name").alias("values"))
-    f = spark.createDataFrame([("PROMO", ["x"]), ("OTHER", ["y"])], "slot string, values array<string>")
-    return stores.merge_slot_values(p, f).select("slot", F.size("values").cast("long").alias("n"))
+    """The values of each slot: those of the parts where they have any, else the fallback's."""
+    p = table(spark, d, "part").groupBy(F.col("p_type").alias("slot")).agg(F.collect_set("p_name").alias("values"))
+    f = spark.createDataFrame([("PROMO", ["x"]), ("OTHER", ["y", "z"])], "slot string, values array<string>")
+    return stores.merge_slot_values(p, f).select("slot", F.explode("values").alias("value"))
 
 
 # --- match ----------------------------------------------------------------
