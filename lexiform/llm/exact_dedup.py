@@ -81,6 +81,7 @@ def exact_dedup(docs: DataFrame, block_chars: int = 4096) -> DataFrame:
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 of every document; nulls and odd rows as in ``exact_dedup``."""
     return exact_dedup(documents(spark, sf_dir))
 
 

@@ -259,6 +259,7 @@ def described(media: DataFrame) -> DataFrame:
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and the media columns of every document; a null text counts as empty, rows that repeat count each, an empty table gives an empty result."""
     folder = new_path(spark, "media")
     write_archives(documents(spark, sf_dir).select(F.col("doc_id").alias("name"), "text"), folder)
     spark.dataSource.register(MediaArchives)
