@@ -19,7 +19,7 @@ KEYS = 16
 #: Keys of KEYS that two sets have in common before they're compared ahead of the index; sets of a random cell, in which each meets its neighbour; rounds of that.
 ALIKE, CELL, ROUNDS = 8, 64, 2
 #: Positions by which later common shingles of a pair may lie deeper than its first one may.
-SLACK = 0
+SLACK = 1
 #: Ids that are broadcast to the texts at most (16 bytes each).
 SMALL = 1 << 20
 #: Most frequent shingles that go last in the order of a set's shingles; the bound of what is broadcast (16 bytes each).
