@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]"
 #: Fixed value: a word.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Edges whose components the driver finds at most (16 bytes each); beyond, they're found in rounds of joins.
+GATHERED = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -113,14 +116,39 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def labelled(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, component) of the edges a[i], b[i]: the component is the smallest node that links reach."""
+    node, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    low = np.arange(len(node))
+    while len(x):
+        m = np.minimum(low[x], low[y])
+        new = low.copy()
+        np.minimum.at(new, low[x], m)
+        np.minimum.at(new, low[y], m)
+        while (new[new] != new).any():
+            new = new[new]
+        low = new
+        open_ = low[x] != low[y]
+        x, y = x[open_], y[open_]
+    return node, node[low]
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): connected components of the edges (a, b) of longs; the label is the smallest node.
+    """(node, component): connected components of the edges (a, b) of longs; the label is the smallest node. Nulls and self-loops are dropped.
 
-    Alternating large-star and small-star rounds. Each round is one aggregation with map-side combine and
-    one equi-join that the adaptive planner may split, so a hub's neighbours never meet in one list; rounds
-    grow with the logarithm of the longest chain. Nulls and self-loops are dropped.
+    Up to GATHERED edges, which are counted first, are labelled by the driver. Beyond, alternating large-star and small-star rounds: each is one
+    aggregation with map-side combine and one equi-join that the adaptive planner may split, so a hub's neighbours never meet in one list; rounds
+    grow with the logarithm of the longest chain.
     """
+    spark = edges.sparkSession
     cur = written(edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct(), "cc")
+    if cur.count() <= GATHERED:
+        table = cur.toArrow()  # a checked number of rows of two numbers
+        node, low = labelled(table.column("a").to_numpy(), table.column("b").to_numpy())
+        drop_written(cur)
+        settle(spark)
+        return spark.createDataFrame(pa.table({"node": node, "component": low}), "node long, component long")
     seen = None
     while True:
         both = cur.union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -123,3 +124,16 @@ def test_components_against_union_find(spark):
         assert got == {x: find(x) for x in par}
 
     run()
+
+
+def test_few_edges_need_no_rounds(spark, monkeypatch):
+    """Up to GATHERED edges one table is written; the rounds beyond give the same."""
+    r = random.Random(4)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(-(1 << 62) + i, -(1 << 62) + i + 1) for i in range(40)] + [(5, 5), (None, 1)]
+    frame = spark.createDataFrame(edges, "a long, b long")
+    names = []
+    monkeypatch.setattr(common, "written", lambda df, name, f=common.written: names.append(name) or f(df, name))
+    few = sorted(map(tuple, common.components(frame).collect()))
+    assert names == ["cc"] and common.components(frame.limit(0)).count() == 0
+    monkeypatch.setattr(common, "GATHERED", 10)
+    assert few == sorted(map(tuple, common.components(frame).collect())) and len(names) > 3
