@@ -25,6 +25,8 @@ BUCKET_BITS = 18
 GRID = 256
 #: Steps at most; the share of all tokens that a domain's may be off its target by when they end; times that targets are scaled down at most.
 STEPS, ENOUGH, SCALINGS = 120, 1e-4, 20
+#: Beyond this share of the whole targets count as out of reach at any scale.
+LOST = 0.05
 #: The same for the tokens of the documents drawn, and steps towards it.
 DRAWN_ENOUGH, DRAWN_STEPS = 2e-3, 8
 
@@ -169,7 +171,9 @@ def fit_rates(rows: DataFrame, weights: tuple[float, ...]) -> Fit:
     rate depends on its posteriors only, so documents of one cell of posteriors have one rate for ever: the corpus is summed into cells once, and each iteration is an
     aggregation over the cells. It ends when no target is off by more than ENOUGH of the whole. As a document belongs to several domains in part, thinning one
     domain also takes from others: where the steps end short of the targets, the target of a domain taken whole becomes what is left of it, and the others are scaled
-    down alike to what was reached of the first, SCALINGS times at most.
+    down alike, to what was reached of the first and from then on to where the last two scales' differences lead, SCALINGS times at most.
+    Targets that no scale comes within LOST of aren't scaled, as that would only empty the corpus: the fit to ``targets`` themselves counts. Where all rows have the
+    same posteriors, thinning changes no proportion, and every rate is 1.
     A row without tokens or posteriors' weight changes nothing; without any tokens every rate is 1.
     """
     k = len(weights)
@@ -179,7 +183,11 @@ def fit_rates(rows: DataFrame, weights: tuple[float, ...]) -> Fit:
     expected = np.array([grams[f"e{i}"] for i in range(k)])
     inverse = np.linalg.pinv(gram, rcond=1e-9, hermitian=True)
     wanted = targets(expected, weights)
+    if expected[0] > 0 and np.linalg.matrix_rank(gram, tol=1e-9 * gram.trace(), hermitian=True) < 2:
+        drop_written(cells)
+        return Fit([], expected.tolist(), wanted.tolist(), expected.tolist(), expected.tolist(), 0.0, np.zeros_like(inverse))
     target, now, moves = wanted, expected, []
+    scale, last, first = 1.0, None, None
     off = lambda: float(np.abs(now - target).max() / max(target.sum(), 1.0))
     for _ in range(SCALINGS + 1):
         before = np.inf
@@ -190,9 +198,16 @@ def fit_rates(rows: DataFrame, weights: tuple[float, ...]) -> Fit:
             now = np.array(got, float)
         if off() <= ENOUGH or len(moves) >= STEPS:
             break
+        first = first or (off(), wanted, now, list(moves))
         short = wanted >= expected  # what is taken whole yields what thinning the others leaves of it
         short[0] = False
-        target = np.where(short, np.minimum(target, now), target * min(1.0, now[0] / max(target[0], 1e-9)) * (1 - ENOUGH))
+        factor = min(1.0, now[0] / max(target[0], 1e-9)) * (1 - ENOUGH)
+        if last and off() < last[1]:
+            factor = min(factor, max(0.5, 1 - off() * (last[0] / scale - 1) / (last[1] - off())))
+        last, scale = (scale, off()), scale * factor
+        target = np.where(short, np.minimum(target, now), target * factor)
+    if first and off() > min(LOST, first[0]):
+        _, target, now, moves = first
     drop_written(cells)
     return Fit(moves, expected.tolist(), wanted.tolist(), target.tolist(), now.tolist(), off(), inverse)
 

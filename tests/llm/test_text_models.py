@@ -268,6 +268,15 @@ def test_rates_against_numpy(spark):
     assert np.abs((other * n) @ p - np.array(fit.target)).max() > np.abs(np.array(fit.reached) - np.array(fit.target)).max() - 0.005 * sum(fit.target)
 
 
+def test_rates_that_thinning_cannot_reach(spark):
+    rows = lambda ps: spark.createDataFrame([(100 + i, [x / 256 for x in p]) for i, p in enumerate(ps)], "n_tokens long, p array<double>")
+    alike = mixing.fit_rates(rows([(86, 85, 85)] * 9), mixing.WEIGHTS)
+    assert alike.moves == [] and alike.reached == alike.expected
+    # no row is as clean as the targets ask: scaling them down would only empty the corpus
+    far = mixing.fit_rates(rows([(150 - i, 60, 46 + i) for i in range(40)]), mixing.WEIGHTS)
+    assert far.target == far.wanted and far.reached[0] > 0.2 * far.expected[0] and far.off > mixing.LOST
+
+
 def test_mixing_odd_rows(spark):
     docs = spark.createDataFrame(TEXTS, "doc_id long, text string").withColumn("n", F.lit(1))
     labels = spark.createDataFrame([(1, 1, 0), (None, 1, 0), (7, 0, 1), (6, None, None)], "doc_id long, quality int, toxic int")
