@@ -269,10 +269,17 @@ def window_rows(contexts: DataFrame) -> DataFrame:
     return contexts.select("c1", "c2", "context", "doc").mapInArrow(run, "c1 long, c2 long, i int, d1 long, d2 long, doc long")
 
 
+def earlier(rows: DataFrame) -> DataFrame:
+    """(c1, c2, i, x): those of ``window_rows`` whose window also stands in a context of a smaller document, x being the smallest."""
+    best = rows.groupBy("d1", "d2").agg(F.min("doc").alias("x"), F.max("doc").alias("hi")).where("x < hi").select("d1", "d2", "x")
+    return rows.join(best, ["d1", "d2"]).where("x < doc").select("c1", "c2", "i", "x")
+
+
 def lowest_of_all(distinct: DataFrame) -> DataFrame:
     """``lowest``, where no anchor's contexts meet in one task beyond HOT of them.
 
-    The contexts of an anchor with more are cut into their windows; equal ones meet by their digests, with map-side combine.
+    The contexts of an anchor with more are cut into their windows; equal ones meet by their digests, with map-side combine. Only
+    windows that also stand in a context of a smaller document are joined with it; the others have their own context's.
     """
     hot = written(distinct.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("h"), "hot")
     few = F.broadcast(hot) if hot.count() <= SMALL else hot  # broadcast: a checked number of ids
@@ -280,10 +287,12 @@ def lowest_of_all(distinct: DataFrame) -> DataFrame:
     low = written(lowest(rest.repartition("h").sortWithinPartitions("h", "c1", "c2")), "lowest")
     if hot.isEmpty():
         return low
-    rows = written(window_rows(distinct.join(few, "h", "left_semi")), "windows")
-    best = rows.groupBy("d1", "d2").agg(F.min("doc").alias("x"))
-    per = rows.select("c1", "c2", "i", "d1", "d2").join(best, ["d1", "d2"]).groupBy("c1", "c2").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("w"))  # at most a context's own windows
-    return low.union(per.select("c1", "c2", F.col("w.x").alias("low")))
+    around = distinct.join(few, "h", "left_semi")
+    rows = written(window_rows(around), "windows")
+    per = earlier(rows).groupBy("c1", "c2").agg(F.map_from_entries(F.collect_list(F.struct("i", "x"))).alias("w"))  # at most a context's own windows
+    own = around.select("c1", "c2", "doc", F.expr(f"sequence(0, size(split(context, ' ')) - {WINDOW})").alias("at"))
+    low_of = F.expr("transform(at, i -> coalesce(try_element_at(w, i), doc))")
+    return low.union(own.join(per, ["c1", "c2"], "left").select("c1", "c2", low_of.alias("low")))
 
 
 def finished(rows: DataFrame, with_text: bool) -> DataFrame:

@@ -171,6 +171,15 @@ def test_contexts_of_a_hot_anchor_meet_by_their_windows(spark, monkeypatch):
     assert sorted(map(tuple, got.collect()), key=str) == brute_substrings(rows)
 
 
+def test_windows_of_one_document_are_not_joined(spark):
+    text = [" ".join(f"{k}w{i}" for i in range(70)) for k in range(3)]
+    contexts = spark.createDataFrame([(1, 1, text[0], 5), (2, 2, "x " + text[0], 7), (3, 3, text[1], 6), (4, 4, text[2], 9)], "c1 long, c2 long, context string, doc long")
+    rows = substring_dedup.window_rows(contexts)
+    assert rows.count() == 21 * 4 + 1
+    got = sorted(map(tuple, substring_dedup.earlier(rows).collect()))
+    assert got == [(2, 2, i + 1, 5) for i in range(21)]
+
+
 def test_broadcast_shards_of_a_reference(spark, monkeypatch):
     """The corpus as its own reference gives the same as the routed form; another reference loses its spans from every document."""
     monkeypatch.setattr(substring_dedup, "SHARD_WORDS", 300)
