@@ -152,6 +152,7 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """
     many = pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > SALT)
     salted = pairs.join(many, "a", "left").select("a", "b", F.when(F.col("n").isNull(), 0).otherwise(F.expr(f"pmod(xxhash64(b), cast(ceil(n / {SALT}) as int))")).cast("int").alias("salt"))
+    salted = written(salted, "salted")
     heads = salted.select("a", "salt").distinct().join(sets, F.col("a") == F.col("k")).select("a", "salt", F.lit(None).cast("long").alias("b"), "s")
     tails = salted.join(sets, F.col("b") == F.col("k")).select("a", "salt", "b", "s")
     both = heads.union(tails).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())

@@ -89,6 +89,16 @@ def test_small_sets_of_all_sizes(spark, monkeypatch, words_):
     assert sorted(map(tuple, got), key=str) == brute_components(rows)
 
 
+def test_pairs_are_salted_once(spark, monkeypatch):
+    """The sets of one hub meet in several places, and its pairs are joined with their salts once."""
+    names = []
+    monkeypatch.setattr(jaccard, "SALT", 4)
+    monkeypatch.setattr(jaccard, "written", lambda df, name, f=jaccard.written: names.append(name) or f(df, name))
+    sets = spark.createDataFrame([(k, list(range(20 + (k > 0 and k % 3)))) for k in range(30)], "k long, s array<long>")
+    pairs = spark.createDataFrame([(0, k) for k in range(1, 30)], "a long, b long")
+    assert jaccard.linked(pairs, sets).count() == 29 and names == ["salted"]
+
+
 def test_very_long_text_and_other_columns(spark):
     long = " ".join(f"w{i}" for i in range(60_000))
     rows = [(1, long, "x"), (2, long.replace("w7 ", "v "), "x"), (3, long[: len(long) // 2], "x")]
