@@ -26,6 +26,8 @@ GRAM = 8
 SHARD_WORDS, ROUND_WORDS = 40_000, 1_000_000
 #: Contexts of one anchor from which on its windows are told apart one by one; ids of such anchors that are broadcast at most.
 HOT, SMALL = 1000, 1 << 20
+#: Words of the longer grams by which contexts of a hot anchor are cut again, one after the other.
+LONGER = (25, 38)
 #: What a window has that stands in no reference document.
 NONE = 1 << 62
 
@@ -275,10 +277,35 @@ def earlier(rows: DataFrame) -> DataFrame:
     return rows.join(best, ["d1", "d2"]).where("x < doc").select("c1", "c2", "i", "x")
 
 
-def lowest_of_all(distinct: DataFrame) -> DataFrame:
+def cut_rows(contexts: DataFrame, gram: int) -> DataFrame:
+    """(c1, c2, first, h, s1, s2, context, doc): each context cut where the smallest gram of ``gram`` words of its windows changes.
+
+    A cut's windows start at ``first`` in the context; together the cuts have each of its windows once. ``h`` comes from the context's anchor and that gram, so equal
+    windows have equal ones; s1 and s2 are the digest of the cut's words. A context has as many cuts as windows at most, and mostly two or three.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            out: list[tuple] = []
+            rows = list(zip(*(c.to_pylist() for c in b.columns), strict=True))
+            for (c1, c2, h, context, doc), (w, s, e) in zip(rows, word_hashes([r[3].encode() for r in rows]), strict=True):
+                text = context.encode()
+                for g, a, z in zip(*(x.tolist() for x in anchors(w, gram=gram)), strict=True):
+                    cut = text[s[a] : e[z + WINDOW - 1]]
+                    d = hashlib.blake2b(cut, digest_size=16).digest()
+                    out.append((c1, c2, a, h, g - (1 << 63), int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), cut.decode(), doc))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 4, pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], k) for j, k in enumerate(kinds)], ["c1", "c2", "first", "h", "g", "s1", "s2", "context", "doc"])
+
+    made = contexts.select("c1", "c2", "h", "context", "doc").mapInArrow(run, "c1 long, c2 long, first int, h long, g long, s1 long, s2 long, context string, doc long")
+    return made.select("c1", "c2", "first", F.xxhash64("h", "g").alias("h"), "s1", "s2", "context", "doc")
+
+
+def lowest_of_all(distinct: DataFrame, longer: tuple[int, ...] = LONGER) -> DataFrame:
     """``lowest``, where no anchor's contexts meet in one task beyond HOT of them.
 
-    The contexts of an anchor with more are cut into their windows; equal ones meet by their digests, with map-side combine. Only
+    The contexts of an anchor with more are cut by a longer gram, whose equal cuts are one context, and so on by the grams of ``longer``: contexts that differ somewhere
+    part, and what they share is kept once. What is hot then is cut into its windows; equal ones meet by their digests, with map-side combine. Only
     windows that also stand in a context of a smaller document are joined with it; the others have their own context's.
     """
     hot = written(distinct.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("h"), "hot")
@@ -288,6 +315,13 @@ def lowest_of_all(distinct: DataFrame) -> DataFrame:
     if hot.isEmpty():
         return low
     around = distinct.join(few, "h", "left_semi")
+    if longer:
+        cuts = written(cut_rows(around, longer[0]), "cuts")
+        once = cuts.groupBy("s1", "s2").agg(F.first("h").alias("h"), F.first("context").alias("context"), F.min("doc").alias("doc"))
+        inner = lowest_of_all(written(once.withColumnsRenamed({"s1": "c1", "s2": "c2"}), "contexts"), longer[1:])
+        found = cuts.select("c1", "c2", "first", "s1", "s2").join(inner.select(F.col("c1").alias("s1"), F.col("c2").alias("s2"), "low"), ["s1", "s2"])
+        per = found.groupBy("c1", "c2").agg(F.array_sort(F.collect_list(F.struct("first", "low"))).alias("w"))  # at most a context's own windows
+        return low.union(per.select("c1", "c2", F.flatten("w.low").alias("low")))
     rows = written(window_rows(around), "windows")
     per = earlier(rows).groupBy("c1", "c2").agg(F.map_from_entries(F.collect_list(F.struct("i", "x"))).alias("w"))  # at most a context's own windows
     own = around.select("c1", "c2", "doc", F.expr(f"sequence(0, size(split(context, ' ')) - {WINDOW})").alias("at"))

@@ -181,6 +181,48 @@ def test_contexts_of_a_hot_anchor_meet_by_their_windows(spark, monkeypatch):
     assert sorted(map(tuple, got.collect()), key=str) == brute_substrings(rows)
 
 
+def test_near_copies_of_a_hot_anchor_are_not_cut_into_all_their_windows(spark, monkeypatch):
+    """Near copies with an edit each part by longer grams: all rows made of them are far fewer than their windows, and no window is lost."""
+    made = {}
+
+    def counted(df, name, f=substring_dedup.written):
+        out = f(df, name)
+        made.setdefault(name, []).append(out)
+        return out
+
+    monkeypatch.setattr(substring_dedup, "HOT", 40)
+    monkeypatch.setattr(substring_dedup, "written", counted)
+    r = random.Random(11)
+    base, rows = [f"b{i}" for i in range(160)], []
+    for i in range(300):
+        w = list(base)
+        for _ in range(r.choice([1, 2, 5])):
+            w[r.randrange(len(w))] = f"e{r.randrange(1000)}"
+        rows.append((i, " ".join(w)))
+    got = substring_dedup.substring_dedup(spark.createDataFrame(rows, DOCS), with_text=False)
+    assert sorted(map(tuple, got.collect()), key=str) == brute_substrings(rows)
+    around = made["contexts"][0]
+    hot = around.join(around.groupBy("h").count().where("count > 40"), "h", "left_semi")
+    windows = hot.agg(F.sum(F.size(F.split("context", " ")) - 49)).first()[0]
+    assert windows > 5000
+    assert sum(x.count() for name in ("cuts", "windows") for x in made.get(name, [])) < windows / 2
+
+
+@pytest.mark.parametrize("gram", substring_dedup.LONGER)
+def test_cuts_have_each_window_once(spark, gram):
+    r = random.Random(gram)
+    texts = [" ".join(f"v{r.randrange(v)}" for _ in range(n)) for v, n in ((1, 90), (2, 92), (500, 92), (500, 50))]
+    contexts = spark.createDataFrame([(k, k, 9, t, k) for k, t in enumerate(texts)], "c1 long, c2 long, h long, context string, doc long")
+    got, keys = {k: [] for k in range(len(texts))}, {}
+    for x in sorted(substring_dedup.cut_rows(contexts, gram).collect(), key=lambda x: x["first"]):
+        w = x.context.split(" ")
+        assert len(got[x.c1]) == x["first"]
+        for k in range(len(w) - 49):
+            got[x.c1].append(w[k : k + 50])
+            assert keys.setdefault(tuple(w[k : k + 50]), x.h) == x.h
+    assert got == {k: [t.split(" ")[i : i + 50] for i in range(len(t.split(" ")) - 49)] for k, t in enumerate(texts)}
+
+
 def test_windows_of_one_document_are_not_joined(spark):
     text = [" ".join(f"{k}w{i}" for i in range(70)) for k in range(3)]
     contexts = spark.createDataFrame([(1, 1, text[0], 5), (2, 2, "x " + text[0], 7), (3, 3, text[1], 6), (4, 4, text[2], 9)], "c1 long, c2 long, context string, doc long")
