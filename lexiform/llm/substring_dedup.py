@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiform.llm.common import documents, give_back, slices, written
+from lexiform.llm.common import documents, drop_written, give_back, settle, slices, written
 from lexiform.llm.words import window_hashes, word_hashes
 
 #: Words of a window: what repeats over so many consecutive words is removed.
@@ -367,12 +367,19 @@ def substring_dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
     known = rows.where("doc_id IS NOT NULL")
     found = written(anchor_rows(known), "anchors")
     shared = found.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h")
-    own = found.join(shared, "h").groupBy("doc_id").agg(F.collect_set("h").alias("shared"))  # at most a document's own anchors
+    own = written(found.join(shared, "h").groupBy("doc_id").agg(F.collect_set("h").alias("shared")), "own")  # at most a document's own anchors
+    drop_written(found)
+    del found, shared
+    settle(docs.sparkSession)  # before the texts are shuffled
     table = written(parts(rows.join(own.hint("merge"), "doc_id", "left")), "parts")
+    drop_written(own)
+    settle(docs.sparkSession)
 
     around = table.where("kind = 'context'").select("h", "c1", "c2", "context", F.col("doc_id").alias("doc"))
     distinct = around.groupBy("c1", "c2").agg(F.first("h").alias("h"), F.first("context").alias("context"), F.min("doc").alias("doc"))
-    low = lowest_of_all(written(distinct, "contexts"))
+    once = written(distinct, "contexts")
+    settle(docs.sparkSession)
+    low = lowest_of_all(once)
     places = table.where("kind = 'context'").select("doc_id", "th", "c1", "c2", "first")
     hits = places.join(low, ["c1", "c2"]).select("doc_id", "th", F.expr("filter(transform(low, (x, i) -> if(x < doc_id, first + i, -1)), x -> x >= 0)").alias("at")).where("size(at) > 0")
     hits = hits.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("at")).alias("starts"))  # at most a text's own windows
