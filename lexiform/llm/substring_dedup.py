@@ -281,7 +281,7 @@ def cut_rows(contexts: DataFrame, gram: int) -> DataFrame:
     """(c1, c2, first, h, s1, s2, context, doc): each context cut where the smallest gram of ``gram`` words of its windows changes.
 
     A cut's windows start at ``first`` in the context; together the cuts have each of its windows once. ``h`` comes from the context's anchor and that gram, so equal
-    windows have equal ones; s1 and s2 are the digest of the cut's words. A context has as many cuts as windows at most, and mostly two or three.
+    windows have equal ones; s1 and s2 are the digest of the cut's words, which differs by ``gram``. A context has as many cuts as windows at most, and mostly two or three.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +292,7 @@ def cut_rows(contexts: DataFrame, gram: int) -> DataFrame:
                 text = context.encode()
                 for g, a, z in zip(*(x.tolist() for x in anchors(w, gram=gram)), strict=True):
                     cut = text[s[a] : e[z + WINDOW - 1]]
-                    d = hashlib.blake2b(cut, digest_size=16).digest()
+                    d = hashlib.blake2b(cut, digest_size=16, salt=b"%d" % gram).digest()
                     out.append((c1, c2, a, h, g - (1 << 63), int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), cut.decode(), doc))
             kinds = (pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 4, pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], k) for j, k in enumerate(kinds)], ["c1", "c2", "first", "h", "g", "s1", "s2", "context", "doc"])
@@ -301,32 +301,45 @@ def cut_rows(contexts: DataFrame, gram: int) -> DataFrame:
     return made.select("c1", "c2", "first", F.xxhash64("h", "g").alias("h"), "s1", "s2", "context", "doc")
 
 
-def lowest_of_all(distinct: DataFrame, longer: tuple[int, ...] = LONGER) -> DataFrame:
+def lowest_of_all(distinct: DataFrame) -> DataFrame:
     """``lowest``, where no anchor's contexts meet in one task beyond HOT of them.
 
-    The contexts of an anchor with more are cut by a longer gram, whose equal cuts are one context, and so on by the grams of ``longer``: contexts that differ somewhere
+    The contexts of an anchor with more are cut by a longer gram, whose equal cuts are one context, and so on by the grams of LONGER: contexts that differ somewhere
     part, and what they share is kept once. What is hot then is cut into its windows; equal ones meet by their digests, with map-side combine. Only
-    windows that also stand in a context of a smaller document are joined with it; the others have their own context's.
+    windows that also stand in a context of a smaller document are joined with it; the others have their own context's. The contexts that aren't hot, of all lengths of
+    gram, pass ``lowest`` together; the result also has the cuts' rows.
     """
-    hot = written(distinct.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("h"), "hot")
-    few = F.broadcast(hot) if hot.count() <= SMALL else hot  # broadcast: a checked number of ids
-    rest = distinct.join(few, "h", "left_anti")
+
+    def of(how: str) -> DataFrame:
+        own = rows.join(few, "h", how)
+        return own if rows is distinct else own.groupBy("c1", "c2").agg(F.first("h").alias("h"), F.first("context").alias("context"), F.min("doc").alias("doc"))
+
+    rows, calm, cut, around = distinct, [], [], None
+    for gram in (*LONGER, None):
+        names = rows if rows is distinct else rows.select("h", "c1", "c2").distinct()
+        hot = written(names.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("h"), "hot")
+        few = F.broadcast(hot) if hot.count() <= SMALL else hot  # broadcast: a checked number of ids
+        calm.append(of("left_anti"))
+        around = None if hot.isEmpty() else of("left_semi")
+        if around is None or gram is None:
+            break
+        cut.append(written(cut_rows(around, gram), "cuts"))
+        rows = cut[-1].select("h", F.col("s1").alias("c1"), F.col("s2").alias("c2"), "context", "doc")
+    rest = calm[0]
+    for x in calm[1:]:
+        rest = rest.unionByName(x)
     low = written(lowest(rest.repartition("h").sortWithinPartitions("h", "c1", "c2")), "lowest")
-    if hot.isEmpty():
-        return low
-    around = distinct.join(few, "h", "left_semi")
-    if longer:
-        cuts = written(cut_rows(around, longer[0]), "cuts")
-        once = cuts.groupBy("s1", "s2").agg(F.first("h").alias("h"), F.first("context").alias("context"), F.min("doc").alias("doc"))
-        inner = lowest_of_all(written(once.withColumnsRenamed({"s1": "c1", "s2": "c2"}), "contexts"), longer[1:])
-        found = cuts.select("c1", "c2", "first", "s1", "s2").join(inner.select(F.col("c1").alias("s1"), F.col("c2").alias("s2"), "low"), ["s1", "s2"])
+    if around is not None:
+        rows = written(window_rows(around), "windows")
+        per = earlier(rows).groupBy("c1", "c2").agg(F.map_from_entries(F.collect_list(F.struct("i", "x"))).alias("w"))  # at most a context's own windows
+        own = around.select("c1", "c2", "doc", F.expr(f"sequence(0, size(split(context, ' ')) - {WINDOW})").alias("at"))
+        low_of = F.expr("transform(at, i -> coalesce(try_element_at(w, i), doc))")
+        low = low.union(own.join(per, ["c1", "c2"], "left").select("c1", "c2", low_of.alias("low")))
+    for cuts in reversed(cut):
+        found = cuts.select("c1", "c2", "first", "s1", "s2").join(low.select(F.col("c1").alias("s1"), F.col("c2").alias("s2"), "low"), ["s1", "s2"])
         per = found.groupBy("c1", "c2").agg(F.array_sort(F.collect_list(F.struct("first", "low"))).alias("w"))  # at most a context's own windows
-        return low.union(per.select("c1", "c2", F.flatten("w.low").alias("low")))
-    rows = written(window_rows(around), "windows")
-    per = earlier(rows).groupBy("c1", "c2").agg(F.map_from_entries(F.collect_list(F.struct("i", "x"))).alias("w"))  # at most a context's own windows
-    own = around.select("c1", "c2", "doc", F.expr(f"sequence(0, size(split(context, ' ')) - {WINDOW})").alias("at"))
-    low_of = F.expr("transform(at, i -> coalesce(try_element_at(w, i), doc))")
-    return low.union(own.join(per, ["c1", "c2"], "left").select("c1", "c2", low_of.alias("low")))
+        low = low.union(per.select("c1", "c2", F.flatten("w.low").alias("low")))
+    return low
 
 
 def finished(rows: DataFrame, with_text: bool) -> DataFrame:
@@ -367,12 +380,10 @@ def substring_dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
     known = rows.where("doc_id IS NOT NULL")
     found = written(anchor_rows(known), "anchors")
     shared = found.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h")
-    own = written(found.join(shared, "h").groupBy("doc_id").agg(F.collect_set("h").alias("shared")), "own")  # at most a document's own anchors
-    drop_written(found)
-    del found, shared
-    settle(docs.sparkSession)  # before the texts are shuffled
+    own = found.join(shared, "h").groupBy("doc_id").agg(F.collect_set("h").alias("shared"))  # at most a document's own anchors
     table = written(parts(rows.join(own.hint("merge"), "doc_id", "left")), "parts")
-    drop_written(own)
+    drop_written(found)
+    del found, shared, own
     settle(docs.sparkSession)
 
     around = table.where("kind = 'context'").select("h", "c1", "c2", "context", F.col("doc_id").alias("doc"))
